@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def account_means(texts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, account, m): each account's mean score; texts without account or score don't count."""
-    return texts.filter("account is not null and score is not null").groupBy(*by, "account").agg(F.avg("score").alias("m"))
+    """(by, account, m): each account's mean score; texts without account or score don't count.
+
+    Rounded to 12 places, so that a mean of 0 is 0 in whatever order scores are summed.
+    """
+    return texts.filter("account is not null and score is not null").groupBy(*by, "account").agg(F.round(F.avg("score"), 12).alias("m"))
 
 
 def sentiment(texts: DataFrame, by: Sequence[str], least_accounts: int = 1) -> DataFrame:

@@ -73,7 +73,7 @@ def assign_trade_date(spark, d):
 
 _DAILY = """per_day as (select trade_date, count(case when kind = 'article' then 1 end) as n_articles, count(case when kind = 'comment' then 1 end) as n_comments, count(distinct account) as n_accounts,
   count(case when tag = 'push' then 1 end) / nullif(count(case when tag in ('push', 'boo') then 1 end), 0) as push_ratio from aligned where trade_date is not null {0} group by trade_date),
-acct as (select trade_date, account, avg(score) as m from aligned where trade_date is not null and account is not null and score is not null {0} group by all),
+acct as (select trade_date, account, round(avg(score), 12) as m from aligned where trade_date is not null and account is not null and score is not null {0} group by all),
 polar as (select trade_date, avg(m) as sent_mean, avg(case when m > 0 then 1.0 else 0.0 end) as bull_ratio, stddev_pop(m) as sent_std, count(*) as n_polar from acct group by trade_date)"""
 
 
@@ -86,7 +86,7 @@ def daily_sentiment(spark, d):
     return rounded(out.withColumn("trade_date", F.col("trade_date").cast("string")), 9)
 
 
-@R.add(f"""with {ALIGNED}, acct as (select code, pos, account, avg(score) as m from aligned where pos is not null and account is not null and score is not null group by all)
+@R.add(f"""with {ALIGNED}, acct as (select code, pos, account, round(avg(score), 12) as m from aligned where pos is not null and account is not null and score is not null group by all)
 select code, pos, round(case when count(*) >= 3 then avg(m) end, 9) as sent, count(*) as n_polar from acct group by code, pos""")
 def code_sentiment(spark, d):
     s = sentiment.sentiment(aligned(spark, d).filter("pos is not null"), ["code", "pos"], 3)
@@ -151,19 +151,19 @@ def price_features(spark, d):
     return rounded(panel.price_features(rets(spark, d)).withColumn("date", F.col("date").cast("string")))
 
 
-@R.add(f"""with {ALIGNED}, {RETS}, acct as (select code, trade_date, account, avg(score) as m from aligned where trade_date is not null and account is not null and score is not null group by all),
+@R.add(f"""with {ALIGNED}, {RETS}, acct as (select code, trade_date, account, round(avg(score), 12) as m from aligned where trade_date is not null and account is not null and score is not null group by all),
 sent as (select code, trade_date, avg(m) as s, count(*) as n from acct group by all),
 j as (select r.code, r.market, r.date, r.ret, s.s, coalesce(s.n, 0) as n from rets r left join sent s on s.code = r.code and s.trade_date = r.date)
-select code, market, cast(date as varchar) as date, round(coalesce(s, 0), 6) as sent, s is not null as has_sent,
- round(coalesce(s, 0) - case when count(*) over p5 = 5 then avg(coalesce(s, 0)) over p5 end, 6) as sent_chg, round(ln(1 + n), 6) as log_n,
- round(ln(1 + n) - case when count(*) over p20 = 20 then avg(ln(1 + n)) over p20 end, 6) as attention,
- round(lead(ret) over w, 6) as ret_next, case when lead(ret) over w > 0 then 1 when lead(ret) over w < 0 then 0 end as up_next, cast(lead(date) over w as varchar) as target_date
+select code, market, cast(date as varchar) as date, round(coalesce(s, 0), 9) as sent, s is not null as has_sent,
+ round(coalesce(s, 0) - case when count(*) over p5 = 5 then avg(coalesce(s, 0)) over p5 end, 9) as sent_chg, round(ln(1 + n), 9) as log_n,
+ round(ln(1 + n) - case when count(*) over p20 = 20 then avg(ln(1 + n)) over p20 end, 9) as attention,
+ round(lead(ret) over w, 9) as ret_next, case when lead(ret) over w > 0 then 1 when lead(ret) over w < 0 then 0 end as up_next, cast(lead(date) over w as varchar) as target_date
 from j window w as (partition by code, market order by date), p5 as (partition by code, market order by date rows between 5 preceding and 1 preceding), p20 as (partition by code, market order by date rows between 20 preceding and 1 preceding)""")
 def build_daily(spark, d):
     s = sentiment.sentiment(aligned(spark, d).filter("trade_date is not null"), ["code", "trade_date"]).select("code", F.col("trade_date").alias("date"), "sent_mean", "n_polar")
     j = panel.targets(rets(spark, d)).join(s, ["code", "date"], "left").withColumn("n", F.coalesce("n_polar", F.lit(0))).withColumn("sent", F.coalesce("sent_mean", F.lit(0.0)))
     w = frames.ordered(["code", "market"], "date")
-    return rounded(j.select("code", "market", F.col("date").cast("string").alias("date"), "sent", F.col("sent_mean").isNotNull().alias("has_sent"), (F.col("sent") - frames.rolling(F.avg, F.col("sent"), w, 5, until=-1)).alias("sent_chg"), F.log1p("n").alias("log_n"), frames.abnormal(F.col("n"), w).alias("attention"), "ret_next", "up_next", F.col("target_date").cast("string").alias("target_date")))
+    return rounded(j.select("code", "market", F.col("date").cast("string").alias("date"), "sent", F.col("sent_mean").isNotNull().alias("has_sent"), (F.col("sent") - frames.rolling(F.avg, F.col("sent"), w, 5, until=-1)).alias("sent_chg"), F.log1p("n").alias("log_n"), frames.abnormal(F.col("n"), w).alias("attention"), "ret_next", "up_next", F.col("target_date").cast("string").alias("target_date")), 9)
 
 
 @R.add(f"with {DENSE} select d.code, cast(d.date as varchar) as date, d.pos, round(d.ret, 6) as ret, d.market, d.traded, round(k.mkt_ret, 6) as mkt_ret from dense d left join mkt k on k.date = d.date and k.market = d.market")
