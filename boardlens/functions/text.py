@@ -46,7 +46,7 @@ def norm_text(x: Column) -> Column:
 
 def norm_name(x: Column) -> Column:
     """A stock's name without marks (*, -KY, -DR) and in one spelling."""
-    return norm_text(F.regexp_replace(x, r"\*|(?i:-(?:KY|DR))$", ""))
+    return norm_text(F.regexp_replace(F.replace(x, F.lit("*"), F.lit("")), r"(?i:-(?:KY|DR))$", ""))
 
 
 def code_pattern(code: str) -> str:

@@ -11,13 +11,19 @@ from boardlens.operators import frames
 
 
 def market_model(rows: DataFrame, n: int = 250, least: int = 120, sigma_n: int = 60, sigma_least: int = 40) -> DataFrame:
-    """rows (code, pos, ret, mkt_ret) with beta over the n rows before, ar = ret - beta * mkt_ret, and sigma, ar's deviation over the sigma_n rows before; the row itself never counts."""
+    """rows (code, pos, ret, mkt_ret) with beta over the n rows before, ar = ret - beta * mkt_ret, and sigma, ar's deviation over the sigma_n rows before; the row itself never counts.
+
+    The sums behind beta are differences of running totals, so that a row costs the same whatever n.
+    """
     w = frames.ordered(["code"], "pos")
     both = F.col("ret").isNotNull() & F.col("mkt_ret").isNotNull()
-    y, x = F.when(both, F.col("ret")), F.when(both, F.col("mkt_ret"))
-    back = w.rowsBetween(-n, -1)
-    beta = F.when(F.count(y).over(back) >= least, F.regr_slope(y, x).over(back))
-    m = rows.withColumn("beta", beta).withColumn("ar", F.col("ret") - F.col("beta") * F.col("mkt_ret"))
+    x, y = (F.when(both, F.col(c)).otherwise(0.0) for c in ("mkt_ret", "ret"))
+    sums = {"n": both.cast("double"), "x": x, "y": y, "xx": x * x, "xy": x * y}
+    m = rows.withColumns({f"__{k}": frames.running(F.sum, v, w) for k, v in sums.items()})
+    m = m.withColumns({f"__{k}": frames.between(f"__{k}", w, n) for k in sums})
+    spread = F.col("__n") * F.col("__xx") - F.col("__x") * F.col("__x")
+    beta = F.when((F.col("__n") >= least) & (spread > 0), (F.col("__n") * F.col("__xy") - F.col("__x") * F.col("__y")) / spread)
+    m = m.withColumn("beta", beta).drop(*[f"__{k}" for k in sums]).withColumn("ar", F.col("ret") - F.col("beta") * F.col("mkt_ret"))
     return m.withColumn("sigma", frames.rolling(F.stddev_samp, F.col("ar"), w, sigma_n, sigma_least, until=-1))
 
 

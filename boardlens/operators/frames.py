@@ -26,6 +26,15 @@ def expanding(fn, x: Column, w: WindowSpec, least: int, until: int = -1) -> Colu
     return gated(fn(x), x, w.rowsBetween(Window.unboundedPreceding, until), least)
 
 
+def running(fn, x: Column, w: WindowSpec) -> Column:
+    return fn(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def between(total: str, w: WindowSpec, n: int) -> Column:
+    """Of a running total the part of the n rows before the current one."""
+    return F.coalesce(F.lag(total, 1).over(w), F.lit(0.0)) - F.coalesce(F.lag(total, n + 1).over(w), F.lit(0.0))
+
+
 def forward_sum(x: Column, w: WindowSpec, h: int) -> Column:
     """Sum of the next h rows' x; null where one is missing, null or beyond the end."""
     return gated(F.sum(x), x, w.rowsBetween(1, h), h)

@@ -143,7 +143,7 @@ class TextClassifier:
                 self.weights[index[r.g]] = math.log((1 + n) / (1 + r["count"])) + 1
         balance = F.create_map(*[F.lit(x) for r in per for x in (r["__label"], n / (len(per) * r["count"]))])
         number = F.create_map(*[F.lit(x) for i, lab in enumerate(self.labels) for x in (lab, float(i))])
-        rows = self._vectors(grams.withColumn("w", balance[F.col("__label")]).withColumn("y", number[F.col("__label")]), text).select("features", "y", "w").cache()
+        rows = self._vectors(grams.drop("grams").withColumn("w", balance[F.col("__label")]).withColumn("y", number[F.col("__label")]), text).select("features", "y", "w").cache()
         self.model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(rows)
         rows.unpersist()
         self.meta = {"n": n, "labels": self.labels, "features": len(index)}

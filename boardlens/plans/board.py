@@ -39,7 +39,7 @@ def strip_quotes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.strip_quotes(F.col("text"))).alias("body"))
 
 
-@R.add("select ticker as code, replace(regexp_replace(name_short, '\\*|(?i:-(?:KY|DR))$', '', 'g'), '臺', '台') as name from universe_267")
+@R.add("select ticker as code, replace(regexp_replace(replace(name_short, '*', ''), '(?i:-(?:KY|DR))$', ''), '臺', '台') as name from universe_267")
 def norm_names(spark, d):
     return names(spark, d).select("code", tx.norm_name(F.col("name")).alias("name"))
 

@@ -45,11 +45,13 @@ def classify_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     else the first that holds of quoting, column_count and value. names and fields are arrays of
     equal length in good rows; fields is null where quoting is broken. A null raw is an empty
     line. In a file without a header, or with one whose quoting is broken, each line is a case of
-    column_count. Values of feeds not in feeds aren't checked. Extra columns are kept.
+    column_count. Values of feeds not in feeds aren't checked. Extra columns are kept, but for
+    ones called names, fields or reason, which give way.
 
     Headers are joined to lines by file; a file with a third of all lines is split by adaptive
     skew handling, as the join is followed by no other exchange.
     """
+    lines = lines.drop("names", "fields", "reason")
     head = (
         lines.filter("line_no = 1")
         .select(F.col("feed").alias("__feed"), F.col("file").alias("__file"), F.coalesce("raw", F.lit("")).alias("__raw"))
@@ -76,8 +78,7 @@ def classify_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
         .when(~F.col("__clean") & F.coalesce(F.size("fields") != F.size("names"), F.lit(True)), "column_count")
         .when(bad_value, "value")
     )
-    out = [c for c in lines.columns if c not in ("names", "fields", "reason")]
-    return read.select(*[F.col(f"`{c}`") for c in out], "names", "fields", reason.alias("reason"))
+    return read.select(*[F.col(f"`{c}`") for c in lines.columns], "names", "fields", reason.alias("reason"))
 
 
 def _bad_value(feed: Feed) -> Column:

@@ -96,10 +96,10 @@ def common_table(files: DataFrame, targets: list[Target]) -> DataFrame:
     """(feed, seq, row_no, one typed column per target, failed): all data rows of all files in one table.
 
     failed lists the targets whose cell holds a value that isn't of the target's kind; the column
-    is null there. Of files repeated under a seq the one with the least file_id is taken.
+    is null there. Of files repeated under a seq the one with the least file_id is taken, once.
     """
     first = files.groupBy("feed", "seq").agg(F.min("file_id").alias("file_id"))
-    rows = cells(files).join(first, ["feed", "seq", "file_id"], "left_semi").join(file_names(files), ["feed", "seq"])
+    rows = cells(files).join(first, ["feed", "seq", "file_id"], "left_semi").dropDuplicates(["feed", "seq", "row_no"]).join(file_names(files), ["feed", "seq"])
     raws: list[Column] = []
     for i, t in enumerate(targets):
         at = F.coalesce(*[F.nullif(F.array_position("names", n), F.lit(0)) for n in t.known_as])
