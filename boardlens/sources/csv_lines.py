@@ -63,11 +63,12 @@ def classify_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     width = head.agg(F.max(F.size("names"))).first()[0] or 1  # one number
     body = lines.filter("line_no > 1").withColumn("__text", F.coalesce("raw", F.lit("")))
     body = body.join(head, F.col("feed").eqNullSafe(F.col("__feed")) & F.col("file").eqNullSafe(F.col("__file")), "left").drop("__feed", "__file")
+    # A blank line passes for a row of nulls, so it counts as set aside.
     # Padding each line by the columns that its file lacks lets one schema hold for all files: a line fits if its own number of columns is right.
     padded = F.concat("__text", F.repeat(F.lit(","), F.lit(width) - F.coalesce(F.size("names"), F.lit(width))))
     schema = ", ".join(f"c{i} string" for i in range(width)) + ", __corrupt string"
     read = body.withColumn("__csv", F.from_csv(padded, F.lit(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(max(width + 16, 20480))}))
-    clean = F.col("__csv").isNotNull() & F.col("__csv.__corrupt").isNull() & ~F.col("__text").contains('"') & F.col("names").isNotNull()
+    clean = F.col("__csv").isNotNull() & F.col("__csv.__corrupt").isNull() & ~F.col("__text").contains('"') & (F.trim("__text") != "") & F.col("names").isNotNull()
     fields = F.when(clean, F.slice(F.array(*[F.coalesce(F.col(f"__csv.c{i}"), F.lit("")) for i in range(width)]), F.lit(1), F.size("names"))).when(quoting_ok(F.col("__text")), strict_fields(F.col("__text")))
     read = read.withColumn("fields", fields).withColumn("__clean", clean)
     bad_value = F.lit(False)

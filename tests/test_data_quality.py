@@ -156,11 +156,12 @@ def test_reasons(spark):
         "d1": ["code,start", "1,110/02/28", "1,110/02/29", "1,109年2月29日", "1,110-02-01", "1,", "1,00/00/00", "1,1100/1/1", "1,１10/1/1"],
         "q3": ['"open', "1"],
         "q4": ["open"],
+        "q5": ["c1,c2,c3,c4", "", " ", "1,2,3,4"],
     }
     df = csv_lines.classify_lines(_line_frame(spark, files).withColumn("names", F.lit("clash")), FEEDS)
     got = {r.line_id: r.reason for r in df.collect()}
     q, n, v = "quoting", "column_count", "value"
-    want = {"q1": [None, None, n, n, n, n, q, q, q, v, v, v, n, v, None, None, None], "q2": [None, v, v, None], "d1": [None, v, None, v, v, v, v, v], "q3": [n]}
+    want = {"q1": [None, None, n, n, n, n, q, q, q, v, v, v, n, v, None, None, None], "q2": [None, v, v, None], "d1": [None, v, None, v, v, v, v, v], "q3": [n], "q5": [n, n, None]}
     assert got == {f"{f}{i}": r for f, rs in want.items() for i, r in enumerate(rs, 2)}
 
 
