@@ -231,14 +231,27 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, w: Windows)
     return met.filter(agrees).select("doc_a", "pos_a", "doc_b", "pos_b")
 
 
-def seeds(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
-    """(doc_a, pos_a, doc_b, pos_b), doc_a < doc_b: one or more windows of each stretch of at least `least` code points that two texts share.
+def hot_doc_pairs(index: Index, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: the documents that share a window of `least` around a hot hash.
 
-    The documents go through the index in batches, as they would over time: what a batch finds are
-    its pairs with itself and with all before. Stretches count exactly as written; within one
-    document they don't count. Null and shorter texts share nothing; key is unique and bigint
-    (rows that repeat a key are taken as one document). Extra columns are left out.
+    Windows of `least` that stand in the same documents say the same of them: of each set of
+    documents one window is kept, told by two sums over its members, so that a copied text makes
+    each pair once however long it is, and a run of one character once however often it holds
+    itself.
     """
+    w = index.windows
+    near = _around(index.hot_rows().select("doc", "pos").distinct(), docs, key, text, w)
+    windows = near.select("doc", "around", "lead", F.explode(F.sequence(F.lit(0), F.lit(w.side))).alias("j")).select("doc", _window_at(F.col("j"), F.col("around"), F.col("lead"), w).alias("at")).filter("at is not null")
+    windows = cut(windows.select("doc", F.xxhash64("at").alias("h1"), F.xxhash64(F.lit(1), "at").alias("h2")).distinct())
+    sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("s2")).filter("n > 1")
+    one = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*")
+    members = windows.join(one, ["h1", "h2"])
+    a, b = (members.select("h1", "h2", F.col("doc").alias(f"doc_{x}")) for x in "ab")
+    return a.join(b, ["h1", "h2"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+
+
+def _found(docs: DataFrame, key: str, text: str, least: int, batches: int, buckets: int | None, hot) -> tuple[DataFrame, DataFrame | None, Windows]:
+    """The pairs of windows that the batches find, and what hot makes of the index if any hash is hot."""
     spark = docs.sparkSession
     index = Index(spark, Windows(least), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=2)
     part = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("bigint")), F.lit(batches))
@@ -246,15 +259,28 @@ def seeds(docs: DataFrame, key: str, text: str, least: int = 100, batches: int =
     for b in range(batches):
         pairs = index.add(docs.filter(part == b), key, text)
         found = pairs if found is None else found.unionByName(pairs)
-    if any(not spark.table(h).isEmpty() for h in index.hot):
-        found = found.unionByName(cut(hot_pairs(index, docs, key, text)))
+    more = cut(hot(index, docs, key, text)) if any(not spark.table(h).isEmpty() for h in index.hot) else None
     index.close()
-    return verified(found, docs, key, text, index.windows)
+    return found, more, index.windows
+
+
+def seeds(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
+    """(doc_a, pos_a, doc_b, pos_b), doc_a < doc_b: one or more windows of each stretch of at least `least` code points that two texts share.
+
+    The documents go through the index in batches, as they would over time: what a batch finds are
+    its pairs with itself and with all before. Stretches count exactly as written; within one
+    document they don't count. Null and shorter texts share nothing; key is unique and bigint
+    (rows that repeat a key are taken as one document). Extra columns are left out.
+    """
+    found, more, w = _found(docs, key, text, least, batches, buckets, hot_pairs)
+    return verified(found if more is None else found.unionByName(more), docs, key, text, w)
 
 
-def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 100, **how: int) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch of at least `least` code points; see seeds."""
-    return seeds(docs, key, text, least, **how).select("doc_a", "doc_b").distinct()
+def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch of at least `least` code points; on odd cases see seeds."""
+    found, more, w = _found(docs, key, text, least, batches, buckets, hot_doc_pairs)
+    pairs = verified(found, docs, key, text, w).select("doc_a", "doc_b")
+    return (pairs if more is None else pairs.unionByName(more)).distinct()
 
 
 def shared_parts(docs: DataFrame, key: str, text: str, least: int = 100, **how: int) -> DataFrame:

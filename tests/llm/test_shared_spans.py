@@ -75,6 +75,29 @@ def test_increments(spark):
     assert got == brute_pairs(docs, 30)
 
 
+@pytest.mark.parametrize("hot", [2, 200])
+def test_shared_parts_of_hot_texts(spark, hot, monkeypatch):
+    monkeypatch.setattr(s, "HOT", hot)
+    docs = texts(0, 30)[:40]
+    df = spark.createDataFrame(docs, "id bigint, body string")
+    assert {x.id: (x.chars, x.shared) for x in s.shared_parts(df, "id", "body", 30, buckets=2).collect()} == brute_shared(docs, 30)
+
+
+def test_boilerplate_and_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOT", 20)
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    footer = word(29)
+    docs = [(i, word(40) + footer + word(40)) for i in range(60)] + [(100 + i, word(5) + "z" * 20_000) for i in range(3)] + [(200, "z" * 29), (201, word(9) + docs_tail(footer) + word(9)), (202, docs_tail(footer))]
+    df = spark.createDataFrame(docs, "id bigint, body string")
+    got = {tuple(x) for x in s.sharing_pairs(df, "id", "body", 30, buckets=2).collect()}
+    assert got == brute_pairs(docs, 30) >= {(100, 101), (100, 102), (101, 102), (201, 202)}
+
+
+def docs_tail(footer):
+    return footer + "!"
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, body string")
     assert s.sharing_pairs(df, "id", "body", 30, buckets=2).count() == 0
