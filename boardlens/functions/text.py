@@ -89,13 +89,14 @@ def without_label_lines(content: Column) -> Column:
     return F.array_join(F.filter(F.split(content, r"\r\n|\r|\n"), lambda x: ~x.contains("分類")), "\n")
 
 
-def clean_markup(x: Column, limit: int = 300) -> Column:
-    """Entities resolved twice, tags dropped, blanks collapsed, the first `limit` characters."""
+def clean_markup(x: Column, limit: int | None = None) -> Column:
+    """Entities resolved twice, tags dropped, blanks collapsed; of the result the first `limit` characters, if given."""
     named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
     for _ in range(2):
         for k, v in named.items():
             x = F.replace(x, F.lit(k), F.lit(v))
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), f"{BLANKS}+", " ")), 1, limit)
+    x = F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), f"{BLANKS}+", " "))
+    return x if limit is None else F.substring(x, 1, limit)
 
 
 def table_rows(page: Column) -> Column:

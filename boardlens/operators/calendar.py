@@ -24,6 +24,13 @@ def day_map(cal: DataFrame) -> DataFrame:
     return spans.select(F.explode(F.sequence("__from", "date")).alias("day"), F.col("date").alias("trade_date"), "pos")
 
 
+def every_day(keys: DataFrame, cal: DataFrame) -> DataFrame:
+    """keys with a row for each trading day, its date and pos; the calendar's length is one number."""
+    last = cal.agg(F.max("pos")).first()[0]
+    days = F.expr("cast(array() as array<int>)") if last is None else F.sequence(F.lit(0), F.lit(last))
+    return keys.withColumn("pos", F.explode(days)).join(F.broadcast(cal), "pos")
+
+
 def _since_midnight(ts: Column) -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardlens.operators.calendar import every_day
+
 
 def account_means(texts: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, account, m): each account's mean score; texts without account or score don't count.
@@ -43,7 +45,6 @@ def daily_sentiment(texts: DataFrame, cal: DataFrame, by: Sequence[str] = ()) ->
     )
     counts = counts.withColumn("push_ratio", F.when(F.col("__push") + F.col("__boo") > 0, F.col("__push") / (F.col("__push") + F.col("__boo")))).drop("__push", "__boo")
     both = counts.join(sentiment(t, keys), keys, "left")
-    days = F.broadcast(cal.select(F.col("date").alias("trade_date")))
-    grid = texts.select(*by).distinct().crossJoin(days) if by else days
+    grid = (every_day(texts.select(*by).distinct(), cal) if by else cal).select(*by, F.col("date").alias("trade_date"))
     names = ("n_articles", "n_comments", "n_accounts", "n_polar")
     return grid.join(both, keys, "left").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in names], "push_ratio", "sent_mean", "bull_ratio", "sent_std")

@@ -161,7 +161,7 @@ def granger(df: DataFrame, x: str, y: str, order: str, lags: int = 5) -> list[tu
 def hac_mean(df: DataFrame, x: str, order: str, by: Sequence[str] = (), lags: int = 5) -> DataFrame:
     """(by, n, mean, se, t) of a series' mean with Newey-West errors."""
     d = df.filter(F.col(x).isNotNull())
-    centred = d.join(d.groupBy(*by).agg(F.avg(x).alias("__m")), list(by)) if by else d.crossJoin(d.agg(F.avg(x).alias("__m")))
+    centred = d.join(d.groupBy(*by).agg(F.avg(x).alias("__m")), list(by)) if by else d.withColumn("__m", F.lit(d.agg(F.avg(x)).first()[0]).cast("double"))
     w = ordered(by, order)
     u = centred.select(*by, "__m", (F.col(x) - F.col("__m")).alias("__u"), order)
     u = u.select(*by, "__m", "__u", *[F.lag("__u", k).over(w).alias(f"__u{k}") for k in range(1, lags + 1)])
@@ -206,15 +206,16 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFra
 
 def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, kappa) of two label columns; null if chance alone agrees on all."""
-    d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    own, by = by, by or ["__all"]
+    d = df.withColumn("__all", F.lit(1)).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = d.groupBy(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
     total = cells.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum(F.when(F.col("__a") == F.col("__b"), F.col("__n")).otherwise(0)).alias("__same"))
     pa = cells.groupBy(*by, F.col("__a").alias("__l")).agg(F.sum("__n").alias("__na"))
     pb = cells.groupBy(*by, F.col("__b").alias("__l")).agg(F.sum("__n").alias("__nb"))
     chance = pa.join(pb, [*by, "__l"]).groupBy(*by).agg(F.sum(F.col("__na") * F.col("__nb")).alias("__c"))
-    j = total.join(chance, list(by), "left") if by else total.crossJoin(chance)
+    j = total.join(chance, list(by), "left")
     po, pe = F.col("__same") / F.col("n"), F.coalesce("__c", F.lit(0)) / (F.col("n") * F.col("n"))
-    return j.select(*by, "n", F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
+    return j.select(*own, "n", F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -204,7 +204,7 @@ def _win(name, a, b):
 select code, pos, {', '.join(events.WINDOWS)}, round(base, 6) as base, round(ln(1 + pre5 / 5) - base, 6) as pre5_abn, case when post is not null then cast(post > 0 as double) end as post_any from s""")
 def window_counts(spark, d):
     a = aligned(spark, d).filter("pos is not null and code is not null").groupBy("code", "pos").agg(F.count("*").alias("n"))
-    grid = a.select("code").distinct().crossJoin(F.broadcast(cal(spark, d).select("pos"))).join(a, ["code", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = calendar.every_day(a.select("code").distinct(), cal(spark, d)).join(a, ["code", "pos"], "left").select("code", "pos", F.coalesce("n", F.lit(0)).alias("n"))
     w = events.window_counts(grid, "n")
     _, _, abn = events.outcome(F.col("pre5"), 5, F.col("base"))
     any_, _, _ = events.outcome(F.col("post"), 4, F.col("base"))
@@ -340,12 +340,12 @@ def accumulated_between(spark, d):
 
 
 @R.add(f"""with {RETS}, ev as (select code, market, date, close, row_number() over (partition by code, market order by date) as pos from rets),
-h as (select e.code, e.market, e.date, e.pos, min(case when b.high >= e.close * 1.05 then b.pos end) as t, min(case when b.low <= e.close * 0.95 then b.pos end) as s from (select * from ev where pos % 20 = 0) e
+h as (select e.code, e.market, e.date, e.pos, min(case when b.high >= e.close * 1.05 then b.pos end) as t, min(case when b.low <= e.close * 0.95 then b.pos end) as s from ev e
  left join (select r.*, ev.pos from rets r join ev using (code, market, date)) b on b.code = e.code and b.market = e.market and b.pos between e.pos + 1 and e.pos + 10 group by all)
 select code, market, cast(date as varchar) as date, case when t is null and s is null then 'none' when t = s then 'both' when s is null or t < s then 'target' else 'stop' end as outcome from h""")
 def first_touch(spark, d):
     p = rets(spark, d).withColumn("pos", F.row_number().over(frames.ordered(["code", "market"], "date")))
-    ev = p.filter("pos % 20 = 0").select("code", "market", "date", "pos", F.concat_ws("|", "code", "market", "pos").alias("event_id"), (F.col("close") * 1.05).alias("target"), (F.col("close") * 0.95).alias("stop"))
+    ev = p.select("code", "market", "date", "pos", F.concat_ws("|", "code", "market", "pos").alias("event_id"), (F.col("close") * 1.05).alias("target"), (F.col("close") * 0.95).alias("stop"))
     return events.first_touch(ev, p, ["code", "market"], 10).select("code", "market", F.col("date").cast("string").alias("date"), "outcome")
 
 

@@ -87,7 +87,7 @@ def chart_daily(spark: SparkSession, path: str, zone: str = "America/New_York")
     return c.select(F.inline("z")).select(F.to_date(F.from_utc_timestamp(F.timestamp_seconds("ts"), zone)).alias("date"), "adj", "high", "low", "volume").dropna(subset=["date", "adj", "high", "low"])
 
 
-def news_pages(spark: SparkSession, path: str, zone: str = "Asia/Taipei", limit: int = 300) -> DataFrame:
+def news_pages(spark: SparkSession, path: str, zone: str = "Asia/Taipei", limit: int | None = None) -> DataFrame:
     """(newsid, time, title, content, stock) of news pages; one row per identifier, of the last file."""
     item = "newsId: string, publishAt: bigint, title: string, content: string, stock: array<string>"
     n = _json(spark, path, f"items struct<data: array<struct<{item}>>>").select("__file", F.explode("items.data").alias("i"))
