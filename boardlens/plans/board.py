@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.functions import text as tx
-from boardlens.operators import joins, matching, redelivery
+from boardlens.operators import joins, labels, matching, redelivery
 from boardlens.plans.market import RETS, UNIQ, rets, texts
 from boardlens.plans.registry import Registry, rounded
 from boardlens.session import table
@@ -166,3 +166,14 @@ def lexicon_scores(spark, d):
     a = table(spark, d, "articles").select("article_id", "content").filter("content is not null and content != ''")
     s = a.select("content").distinct().withColumn("score", score("content"))
     return a.join(s, "content").select("article_id", "score")
+
+
+@R.add(f"""with {_UNI}, {_NEWS}, n as (select distinct trim(newsid, ' ') as item, code from news join uni on contains(title, name)), t as (select distinct trim(newsid, ' ') as item, unnest(stock) as code from news),
+k as (select * from t where code in (select ticker from universe_267))
+select code, count(n.item) as hits, count(case when n.item is not null and k.item is not null then 1 end) as tagged_hits, count(k.item) as tags, round(count(case when n.item is not null and k.item is not null then 1 end) / nullif(count(n.item), 0), 6) as tag_frac
+from (select item, code, item as i from n) n0(item, code, i) full join (select item, code, item as i from k) k0(item, code, i) using (item, code), lateral (select n0.i as item) n, lateral (select k0.i as item) k group by code""")
+def hit_stats(spark, d):
+    n = news(spark, d).withColumn("item", F.trim("newsid"))
+    named = matching.name_hits(n, "item", "title", names(spark, d), "code", "name")
+    tagged = n.select("item", F.explode("stock").alias("code")).distinct().join(names(spark, d).select("code").distinct(), "code", "left_semi").select("item", "code")
+    return rounded(labels.hit_stats(tagged, named))

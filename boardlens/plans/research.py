@@ -185,3 +185,30 @@ def large_move_regression(spark, d):
     return spark.createDataFrame([(n, float(b), float(s), fit.n) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)], "name string, coef double, se double, n bigint")
 
 
+
+
+_GRID = f"""{_J}, v as (select code, date, ret_next, ptt_base, pre_abn from j where ptt_base is not null),
+g as (select code, date, ret_next, 'follow' as strategy, cast(case when pre_abn > 0 then 1 when pre_abn < 0 then -1 else 0 end as double) as p from v union all select code, date, ret_next, 'contrary', cast(case when pre_abn > 0 then -1 when pre_abn < 0 then 1 else 0 end as double) from v union all select code, date, ret_next, 'hold', cast(1 as double) from v),
+gn as (select code, strategy, date, p * (exp(ret_next) - 1) as net from g where ret_next is not null)"""
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    v = joined(spark, d).filter("ptt_base is not null")
+    follow = F.coalesce(F.signum("pre_abn"), F.lit(0.0))
+    g = portfolio.with_strategies(v.select("code", "date", "ret_next", "pre_abn"), {"follow": follow, "contrary": -follow, "hold": F.lit(1.0)})
+    return portfolio.backtest(g, ["code", "strategy"], "date", "ret_next", "position", 0.0, 0.0)
+
+
+@R.add(f"with {_GRID} select strategy, count(net) as n, round(avg(net), 7) as mean, round(stddev_samp(net), 7) as sd from gn group by strategy")
+def strategy_grid(spark, d):
+    return rounded(_grid(spark, d).groupBy("strategy").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd")), 7)
+
+
+@R.add(f"""with {_GRID}, day as (select strategy, date, round(avg(net), 9) as net from gn group by all),
+lv as (select *, sum(ln(1 + net)) over (partition by strategy order by date) as e from day), dd as (select *, e - greatest(max(e) over (partition by strategy order by date), 0) as dd from lv),
+ends as (select strategy, cast(year(date) as int) as y, max_by(e, date) as total, min(dd) as m from dd group by all),
+past as (select strategy, y + 1 as year, total, min(m) over (partition by strategy order by y) as dd from ends), ok as (select p.* from past p join past r on r.year = p.year and r.strategy = 'hold' where p.dd >= r.dd and p.year >= 2023)
+select year, max_by(strategy, (total, strategy)) as strategy from ok group by year""")
+def yearly_choice(spark, d):
+    day = _grid(spark, d).filter("net is not null").groupBy("strategy", "date").agg(F.round(F.avg("net"), 9).alias("net"))
+    return portfolio.yearly_choice(day, "hold", 2023)
