@@ -9,9 +9,9 @@ from boardlens.operators import frames
 
 
 def traded(rows: DataFrame) -> DataFrame:
-    """One row per (code, market, date) with a close and a volume; repeated rows count once, before any lag sees them."""
+    """One row per (code, market, date) with a close and a volume, its figures only; repeated rows count once, before any lag sees them. Names are left out: a text among the figures would turn the hash aggregation into a sort."""
     ok = rows.filter("close > 0 and volume > 0")
-    cols = [c for c in ("name", "open", "high", "low", "close", "volume", "value") if c in rows.columns]
+    cols = [c for c in ("open", "high", "low", "close", "volume", "value") if c in rows.columns]
     return ok.groupBy("code", "market", "date").agg(*[F.max(c).alias(c) for c in cols])
 
 

@@ -43,9 +43,8 @@ def cal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Each text once; repeated rows of a uid are equal in all but their arrival."""
-    t = table(spark, d, "texts")
-    return t.groupBy("uid").agg(*[F.max(c).alias(c) for c in ("kind", "code", "time", "account", "tag", "score")])
+    """Each text once; repeated rows of a uid are equal in all but their arrival, so that a hash aggregation of keys alone does it."""
+    return table(spark, d, "texts").select("uid", "kind", "code", "time", "account", "tag", "score").distinct()
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -79,18 +78,18 @@ polar as (select trade_date, avg(m) as sent_mean, avg(case when m > 0 then 1.0 e
 
 @R.add(f"""with {ALIGNED}, {_DAILY.format('')}
 select cast(c.date as varchar) as trade_date, coalesce(n_articles, 0) as n_articles, coalesce(n_comments, 0) as n_comments, coalesce(n_accounts, 0) as n_accounts, coalesce(n_polar, 0) as n_polar,
-  round(push_ratio, 9) as push_ratio, round(sent_mean, 9) as sent_mean, round(bull_ratio, 9) as bull_ratio, round(sent_std, 9) as sent_std
+  round(push_ratio, 10) as push_ratio, round(sent_mean, 10) as sent_mean, round(bull_ratio, 10) as bull_ratio, round(sent_std, 10) as sent_std
 from cal c left join per_day p on p.trade_date = c.date left join polar q on q.trade_date = c.date""")
 def daily_sentiment(spark, d):
     out = sentiment.daily_sentiment(aligned(spark, d), cal(spark, d))
-    return rounded(out.withColumn("trade_date", F.col("trade_date").cast("string")), 9)
+    return rounded(out.withColumn("trade_date", F.col("trade_date").cast("string")), 10)
 
 
 @R.add(f"""with {ALIGNED}, acct as (select code, pos, account, round(avg(score), 12) as m from aligned where pos is not null and account is not null and score is not null group by all)
-select code, pos, round(case when count(*) >= 3 then avg(m) end, 9) as sent, count(*) as n_polar from acct group by code, pos""")
+select code, pos, round(case when count(*) >= 3 then avg(m) end, 10) as sent, count(*) as n_polar from acct group by code, pos""")
 def code_sentiment(spark, d):
     s = sentiment.sentiment(aligned(spark, d).filter("pos is not null"), ["code", "pos"], 3)
-    return rounded(s.select("code", F.col("pos").cast("bigint").alias("pos"), F.col("sent_mean").alias("sent"), "n_polar"), 9)
+    return rounded(s.select("code", F.col("pos").cast("bigint").alias("pos"), F.col("sent_mean").alias("sent"), "n_polar"), 10)
 
 
 _PRE = "(cast(time as date) < trade_date or (cast(time as date) = trade_date and cast(time as time) < time '{0}'))"
@@ -154,16 +153,16 @@ def price_features(spark, d):
 @R.add(f"""with {ALIGNED}, {RETS}, acct as (select code, trade_date, account, round(avg(score), 12) as m from aligned where trade_date is not null and account is not null and score is not null group by all),
 sent as (select code, trade_date, avg(m) as s, count(*) as n from acct group by all),
 j as (select r.code, r.market, r.date, r.ret, s.s, coalesce(s.n, 0) as n from rets r left join sent s on s.code = r.code and s.trade_date = r.date)
-select code, market, cast(date as varchar) as date, round(coalesce(s, 0), 9) as sent, s is not null as has_sent,
- round(coalesce(s, 0) - case when count(*) over p5 = 5 then avg(coalesce(s, 0)) over p5 end, 9) as sent_chg, round(ln(1 + n), 9) as log_n,
- round(ln(1 + n) - case when count(*) over p20 = 20 then avg(ln(1 + n)) over p20 end, 9) as attention,
- round(lead(ret) over w, 9) as ret_next, case when lead(ret) over w > 0 then 1 when lead(ret) over w < 0 then 0 end as up_next, cast(lead(date) over w as varchar) as target_date
+select code, market, cast(date as varchar) as date, round(coalesce(s, 0), 10) as sent, s is not null as has_sent,
+ round(coalesce(s, 0) - case when count(*) over p5 = 5 then avg(coalesce(s, 0)) over p5 end, 10) as sent_chg, round(ln(1 + n), 10) as log_n,
+ round(ln(1 + n) - case when count(*) over p20 = 20 then avg(ln(1 + n)) over p20 end, 10) as attention,
+ round(lead(ret) over w, 10) as ret_next, case when lead(ret) over w > 0 then 1 when lead(ret) over w < 0 then 0 end as up_next, cast(lead(date) over w as varchar) as target_date
 from j window w as (partition by code, market order by date), p5 as (partition by code, market order by date rows between 5 preceding and 1 preceding), p20 as (partition by code, market order by date rows between 20 preceding and 1 preceding)""")
 def build_daily(spark, d):
     s = sentiment.sentiment(aligned(spark, d).filter("trade_date is not null"), ["code", "trade_date"]).select("code", F.col("trade_date").alias("date"), "sent_mean", "n_polar")
     j = panel.targets(rets(spark, d)).join(s, ["code", "date"], "left").withColumn("n", F.coalesce("n_polar", F.lit(0))).withColumn("sent", F.coalesce("sent_mean", F.lit(0.0)))
     w = frames.ordered(["code", "market"], "date")
-    return rounded(j.select("code", "market", F.col("date").cast("string").alias("date"), "sent", F.col("sent_mean").isNotNull().alias("has_sent"), (F.col("sent") - frames.rolling(F.avg, F.col("sent"), w, 5, until=-1)).alias("sent_chg"), F.log1p("n").alias("log_n"), frames.abnormal(F.col("n"), w).alias("attention"), "ret_next", "up_next", F.col("target_date").cast("string").alias("target_date")), 9)
+    return rounded(j.select("code", "market", F.col("date").cast("string").alias("date"), "sent", F.col("sent_mean").isNotNull().alias("has_sent"), (F.col("sent") - frames.rolling(F.avg, F.col("sent"), w, 5, until=-1)).alias("sent_chg"), F.log1p("n").alias("log_n"), frames.abnormal(F.col("n"), w).alias("attention"), "ret_next", "up_next", F.col("target_date").cast("string").alias("target_date")), 10)
 
 
 @R.add(f"with {DENSE} select d.code, cast(d.date as varchar) as date, d.pos, round(d.ret, 6) as ret, d.market, d.traded, round(k.mkt_ret, 6) as mkt_ret from dense d left join mkt k on k.date = d.date and k.market = d.market")
@@ -293,7 +292,7 @@ s as (select code, date, pos, sum(coalesce(ret, 0)) over a - sum(coalesce(ret, 0
 me as (select date from (select date, lead(date) over (order by date) as n from cal) where date_trunc('month', n) <> date_trunc('month', date)),
 liq as (select *, row_number() over (partition by date order by liq desc, code) as lr from s where date in (select date from me) and liq is not null and vol is not null),
 ranked as (select *, row_number() over (partition by date order by round(mom, 9) desc, code) as rank from liq where lr <= 300)
-select code, cast(date as varchar) as date, rank, round(mom, 5) as mom from ranked where rank <= 5""")
+select code, cast(date as varchar) as date, cast(rank as int) as rank, round(mom, 5) as mom from ranked where rank <= 5""")
 def factor_picks(spark, d):
     value = panel.traded(table(spark, d, "panel")).groupBy("code", "date").agg(F.max("value").alias("value"))
     s = panel.trailing_signals(dense(spark, d).join(value, ["code", "date"], "left"))
@@ -320,7 +319,7 @@ def interval_flag(spark, d):
 
 @R.add(f"""with {MODEL}, {ALIGNED.replace(CAL + ', ', '')}, it as (select uid, code, pos from aligned where pos is not null), ev as (select code, pos, row_number() over (order by code, pos) as e from evented where event),
 near as (select ev.code, ev.pos, it.uid, it.pos - ev.pos as off, row_number() over (partition by ev.code, ev.pos order by abs(it.pos - ev.pos), it.uid) as k from ev join it on it.code = ev.code and it.pos between ev.pos - 2 and ev.pos + 1)
-select code, pos, uid, off, k from near where k <= 15""")
+select code, pos, uid, off, cast(k as int) as k from near where k <= 15""")
 def window_items(spark, d):
     ev = model(spark, d).filter("event").select("code", F.col("pos").alias("e"))
     it = aligned(spark, d).filter("pos is not null").select("uid", "code", "pos")

@@ -16,6 +16,9 @@ from boardlens.functions.parse import kind_of, number, roc_day
 from boardlens.operators.ancestry import inherit
 
 
+KINDS = ("number", "roc_day", "iso_day", "text")
+
+
 def _clean_names(fields: Column) -> Column:
     return F.transform(fields, lambda n: F.regexp_replace(F.coalesce(n, F.lit("")), r"[\s　]+", ""))
 
@@ -40,9 +43,12 @@ def path_kinds(files: DataFrame) -> DataFrame:
 
     Null without a value; text where values of several kinds meet, the only kind that holds them all.
     """
+    known = F.array(*[F.lit(k) for k in KINDS])
     flat = cells(files).select("feed", "seq", F.explode("paths").alias("pos", "cell"))
-    per = flat.groupBy("feed", "seq", "pos").agg(F.count("cell.kind").alias("n_values"), F.min("cell.kind").alias("__lo"), F.max("cell.kind").alias("__hi"))
-    return per.select("feed", "seq", "pos", F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).when(F.col("__lo").isNotNull(), "text").alias("kind"), "n_values", F.when(F.col("__lo") != F.col("__hi"), 2).otherwise(F.col("__lo").isNotNull().cast("int")).alias("n_kinds"))
+    flat = flat.select("feed", "seq", "pos", F.when(F.col("cell.kind").isNotNull(), F.array_position(known, F.col("cell.kind"))).alias("__k"))  # numbers, so that hashing aggregates them
+    per = flat.groupBy("feed", "seq", "pos").agg(F.count("__k").alias("n_values"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi"))
+    kind = F.when(F.col("__lo") == F.col("__hi"), F.element_at(known, F.col("__lo").cast("int"))).when(F.col("__lo").isNotNull(), "text")
+    return per.select("feed", "seq", "pos", kind.alias("kind"), "n_values", F.when(F.col("__lo") != F.col("__hi"), 2).otherwise(F.col("__lo").isNotNull().cast("int")).alias("n_kinds"))
 
 
 def name_changes(names: DataFrame) -> DataFrame:
