@@ -15,17 +15,16 @@ def name_hits(texts: DataFrame, key: str, text: str, names: DataFrame, code: str
     """(key, code): the texts in which a name stands.
 
     A text asks for its grams, a name answers to its first one; what meets is checked as a whole.
-    So rows meet by equality, and only names shorter than gram are compared with all texts, as a
-    broadcast of a handful of them.
+    So rows meet by equality; names shorter than gram meet texts by their first character.
     """
     t = texts.select(F.col(key), F.col(text).alias("__t")).filter("__t is not null")
     n = names.select(F.col(code), F.col(name).alias("__n")).filter("__n is not null and __n != ''").distinct()
-    asked = t.select(key, "__t", F.explode(grams(F.col("__t"), gram)).alias("__g"))
-    long = n.filter(F.char_length("__n") >= gram).withColumn("__g", F.substring("__n", 1, gram))
-    met = asked.join(long, "__g").filter(F.col("__t").contains(F.col("__n"))).select(key, code)
-    short = n.filter(F.char_length("__n") < gram)
-    rest = t.join(short, F.col("__t").contains(F.col("__n"))).select(key, code)
-    return met.unionByName(rest).distinct()
+    def met(size: int, some: DataFrame) -> DataFrame:
+        asked = t.select(key, "__t", F.explode(grams(F.col("__t"), size)).alias("__g"))
+        return asked.join(some.withColumn("__g", F.substring("__n", 1, size)), "__g").filter(F.col("__t").contains(F.col("__n"))).select(key, code)
+
+    short = F.char_length("__n") < gram
+    return met(gram, n.filter(~short)).unionByName(met(1, n.filter(short))).distinct()
 
 
 def code_hits(texts: DataFrame, key: str, text: str, codes: DataFrame, code: str) -> DataFrame:

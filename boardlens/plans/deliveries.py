@@ -189,5 +189,8 @@ union all select src, code, cast(date as varchar), 'burst' from late where src =
   round(cast(sum7 as double) / 7, 9) as avg7, round(cast(sum30 as double) / 30, 9) as avg30, round(case when n7 > 0 then cast(sum7 as double) / n7 end, 9) as mean7, round(case when n30 > 0 then cast(sum30 as double) / n30 end, 9) as mean30 from state""",
     "p4_found": _P4,
     "p5_found": _P5 + "select line_id, case when not quoted then 'quoting' when names is null or len(names) <> len(fields) then 'column_count' else 'value' end as reason from split where not quoted or names is null or len(names) <> len(fields) or line_id in (select line_id from bad)",
+    "p5_good": _P5 + """select line_id, feed, max(case when name in ('證券代號', 'code') then v end) as code, max(case when name = '成交股數' then try_cast(replace(v, ',', '') as double) end) as volume,
+  max(case when name = '收盤價' then try_cast(replace(v, ',', '') as double) end) as close, max(case when name = 'start' then printf('%04d-%02d-%02d', cast(y as int) + 1911, cast(nums[2] as int), cast(nums[3] as int)) end) as start,
+  max(case when name = 'end' then printf('%04d-%02d-%02d', cast(y as int) + 1911, cast(nums[2] as int), cast(nums[3] as int)) end) as "end" from parts where line_id not in (select line_id from bad) group by line_id, feed""",
     "p6_found": _P6_RECURSIVE,
 }
