@@ -8,10 +8,6 @@ of its rank among the documents of its length.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +15,8 @@ from boardlens.session import cut
 
 #: Documents of one length that one task ranks.
 RANKED_TOGETHER = 500_000
+#: Ranks of a length that are joined to slots under one key.
+CELL = 4096
 
 
 def byte_tokens(text: Column) -> Column:
@@ -86,7 +84,10 @@ def pack(df: DataFrame, key: str, length: Column, capacity: int) -> DataFrame:
 
     What reaches the driver is the histogram, at most capacity numbers, and the plan made of it.
     Ranks come from counts per length and share of it, a share being a bounded part of the
-    items by hash, so that a length that a third of all items have is ranked by many tasks.
+    items by hash, so that a length that a third of all items have is ranked by many tasks. Slots
+    and items meet by length and cell of ranks; as the plan has a few entries per length, the
+    ranks that an item is compared with and that aren't its own are bounded by plan and cell, not
+    by the items.
     """
     items = df.select(F.col(f"`{key}`").alias("__key"), length.cast("bigint").alias("__n"))
     pieces = F.when(F.coalesce("__n", F.lit(0)) <= 0, 0).otherwise(F.ceil(F.col("__n") / F.lit(capacity))).cast("int")
@@ -102,25 +103,10 @@ def pack(df: DataFrame, key: str, length: Column, capacity: int) -> DataFrame:
     offsets = sized.groupBy("length", "__share").agg(F.count("*").alias("__c")).select("length", "__share", F.coalesce(before, F.lit(0)).alias("__before"))
     ranked = sized.withColumn("__rank", F.expr("row_number() over (partition by length, __share order by __key, piece) - 1")).join(offsets, ["length", "__share"])
     ranked = ranked.select("__key", "pieces", "piece", "length", (F.col("__rank") + F.col("__before")).alias("__rank"))
-    spark = df.sparkSession
-    table = spark.sparkContext.broadcast(np.array(slots or [(1, 0, 0, 0, 1, 0)], dtype=np.int64).T.copy())  # a few entries per length
-    kind = dict(items.dtypes)["__key"]
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, first, _, container, each, at = table.value
-        order = np.lexsort((first, lengths))
-        lengths, first, container, each, at = (x[order] for x in (lengths, first, container, each, at))
-        starts = np.searchsorted(lengths, np.arange(capacity + 2))
-        for b in batches:
-            n, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
-            slot = np.zeros(len(n), dtype=np.int64)
-            for one in np.unique(n):
-                mine = n == one
-                lo, hi = starts[one], starts[one + 1]
-                slot[mine] = lo + np.searchsorted(first[lo:hi], rank[mine], side="right") - 1
-            k = rank - first[slot]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(container[slot] + k // each[slot]), pa.array((at[slot] + k % each[slot] * n).astype(np.int32))], names=["__key", "pieces", "piece", "length", "container", "at"])
-
-    placed = ranked.select("__key", "pieces", "piece", "length", "__rank").mapInArrow(take, f"__key {kind}, pieces int, piece int, length int, container bigint, at int")
+    table = df.sparkSession.createDataFrame(slots, "length int, __first bigint, __until bigint, __base bigint, __each bigint, __used int")
+    table = table.withColumn("__cell", F.explode(F.expr(f"sequence(__first div {CELL}, (__until - 1) div {CELL})")))
+    k = F.col("__rank") - F.col("__first")
+    met = ranked.withColumn("__cell", F.expr(f"__rank div {CELL}")).join(table, ["length", "__cell"]).filter("__rank >= __first and __rank < __until")
+    placed = met.select("__key", "pieces", "piece", "length", (F.col("__base") + F.expr("(__rank - __first) div __each")).alias("container"), (F.col("__used") + k % F.col("__each") * F.col("length")).cast("int").alias("at"))
     none = all_pieces.filter("length = 0").select("*", F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("at"))
     return placed.unionByName(none).select(F.col("__key").alias(key), "piece", "pieces", (F.col("piece").cast("bigint") * capacity).alias("start"), "length", "container", "at")

@@ -45,6 +45,7 @@ def test_plan_is_best_fit_decreasing(seed):
 
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 20)
+    monkeypatch.setattr(packing, "CELL", 7)
     rows = [(i, "x" * n) for i, n in enumerate([5, 5, 5] * 40 + [1, 2, 3, 9, 10, 11, 25, 30, 0])] + [(1000, None), (1001, "é€")]
     df = spark.createDataFrame(rows, "doc bigint, text string").withColumn("length", F.lit("clash"))
     got = packing.pack(df, "doc", packing.byte_tokens(F.col("text")), 10).collect()
