@@ -73,7 +73,7 @@ def changes(files: DataFrame) -> DataFrame:
     retyped compares a field's kind with that in the last earlier file with a value in it, through
     renaming but not across removal; no-value cells have no kind. A file without names has those
     of the preceding file; one without data has no kinds. Of two equal names in a file the first
-    counts. Everything is joined on (feed, seq, ...): a feed with a third of all files is spread
+    counts. Files with null feed or seq belong to no series and give nothing; null data is empty, extra columns change nothing. Everything is joined on (feed, seq, ...): a feed with a third of all files is spread
     like any other.
     """
     names = file_names(files)

@@ -199,6 +199,14 @@ def test_changes(spark):
     assert drift.changes(df.limit(0)).count() == 0
 
 
+def test_drift_with_nulls(spark):
+    rows = [(1, None, 1, ["a"], [["1"]]), (2, "f", None, ["a"], [["1"]]), (3, "f", 1, None, None), (4, "f", 2, ["a", None], [None, ["1"], ["1", "2", "3"]]), (5, "f", 3, ["a", "b"], [["x", "2"]]), (6, None, None, None, None)]
+    df = spark.createDataFrame(rows, "file_id bigint, feed string, seq int, fields array<string>, data array<array<string>>")
+    assert sorted(tuple(r) for r in drift.changes(df).collect()) == [("f", 3, "a", "retyped"), ("f", 3, "b", "renamed")]
+    t = drift.common_table(df, [drift.Target("a", "number", ("a",))]).collect()
+    assert sorted((r.seq, r.row_no, r.a, r.failed) for r in t) == [(2, 0, None, []), (2, 1, 1.0, []), (2, 2, 1.0, []), (3, 0, None, ["a"])]
+
+
 def test_inherit_long_chain(spark):
     from boardlens.operators.ancestry import inherit
 
