@@ -17,7 +17,7 @@ def trading_days(rows: DataFrame, day: str = "date") -> DataFrame:
 
 
 def day_map(cal: DataFrame) -> DataFrame:
-    """(day, trade_date, pos): each calendar day within cal and the first trading day from it on."""
+    """(day, trade_date, pos): each calendar day within cal and the first trading day from it on; of the days before cal the last 30."""
     w = Window.orderBy("date")
     prev = F.coalesce(F.date_add(F.lag("date").over(w), 1), F.date_sub("date", 30))
     spans = cal.select("date", "pos", prev.alias("__from"))
@@ -46,9 +46,13 @@ def shifted_day(ts: Column, cutoff: str) -> Column:
 
 
 def assign_trade_date(df: DataFrame, ts: str, cal: DataFrame, cutoff: str = "13:30") -> DataFrame:
-    """df with trade_date and pos: the first trading day from ts's day on, from cutoff on the next day's; null beyond the calendar."""
+    """df with trade_date and pos: the first trading day from ts's day on, from cutoff on the next day's; null after the calendar's end.
+
+    All that comes before the calendar, however long before, belongs to its first day.
+    """
     m = day_map(cal).withColumnRenamed("day", "__day")
-    return df.withColumn("__day", shifted_day(F.col(ts), cutoff)).join(F.broadcast(m), "__day", "left").drop("__day")
+    day, first = shifted_day(F.col(ts), cutoff), cal.agg(F.min("date")).scalar()
+    return df.withColumn("__day", F.when(day < first, first).otherwise(day)).join(F.broadcast(m), "__day", "left").drop("__day")
 
 
 def before_clock(ts: Column, trade_date: Column, clock: str) -> Column:

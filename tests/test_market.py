@@ -25,6 +25,15 @@ def test_cutoffs(spark, cal3):
     assert got == {0: (D(2024, 1, 5), 0), 1: (D(2024, 1, 8), 1), 2: (D(2024, 1, 8), 1), 3: (D(2024, 1, 8), 1), 4: (None, None), 5: (None, None)}
 
 
+def test_times_before_the_calendar(spark, cal3):
+    times = [T(2023, 11, 26, 14), T(2023, 12, 5), T(2024, 1, 5) - dt.timedelta(days=5000), T(2024, 1, 4, 13, 30), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t timestamp_ntz")
+    got = {r.i: (r.trade_date, r.pos) for r in calendar.assign_trade_date(df, "t", cal3).collect()}
+    assert got == {**dict.fromkeys(range(4), (D(2024, 1, 5), 0)), 4: (None, None)}
+    assert calendar.day_parts(df, "t", cal3).filter("pre").count() == 4
+    assert [tuple(r)[2:] for r in calendar.assign_trade_date(df, "t", cal3.limit(0)).collect()] == [(None, None)] * 5
+
+
 def test_preopen_counts(spark, cal3):
     times = [T(2024, 1, 5, 13, 30), T(2024, 1, 8, 8, 59), T(2024, 1, 7, 12), T(2024, 1, 8, 9), T(2024, 1, 8, 13, 30)]
     df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
