@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlens.functions.parse import kind_of, number, roc_day
@@ -23,13 +23,28 @@ def _clean_names(fields: Column) -> Column:
     return F.transform(fields, lambda n: F.regexp_replace(F.coalesce(n, F.lit("")), r"[\s　]+", ""))
 
 
+def _with_before(files: DataFrame) -> DataFrame:
+    """files (one row per feed and seq) with __before: the greatest smaller seq of the feed, null for its first file.
+
+    Found within cells of 4,096 seqs, and from the last seqs of the cells where a cell begins, so that no feed is gathered in a task.
+    """
+    cell = F.floor(F.col("seq") / 4096).alias("__cell")
+    seqs = files.select("feed", "seq", cell).filter("feed is not null and seq is not null")
+    inside = seqs.withColumn("__in", F.lag("seq").over(Window.partitionBy("feed", "__cell").orderBy("seq")))
+    ends = seqs.groupBy("feed", "__cell").agg(F.max("seq").alias("__end"))
+    ends = ends.select("feed", "__cell", F.lag("__end").over(Window.partitionBy("feed").orderBy("__cell")).alias("__end"))
+    found = inside.join(ends, ["feed", "__cell"]).select("feed", "seq", F.coalesce("__in", "__end").alias("__before"))
+    return files.join(found, ["feed", "seq"], "left")
+
+
 def file_names(files: DataFrame) -> DataFrame:
     """(feed, seq, names): the field names of each file without spaces; a file without names has those of the last earlier one that has.
 
-    names is null where no earlier file has any. Files repeated under a seq count once. seq is taken to run without gaps; across a gap nothing is inherited or compared.
+    names is null where no earlier file has any. Files repeated under a seq count once. Where seqs are missing, a file follows the one with the greatest smaller seq.
     """
     one = files.groupBy("feed", "seq").agg(F.max(_clean_names(F.col("fields"))).alias("names"))
-    return inherit(one.withColumn("__feed", F.col("feed")).withColumn("__seq", F.col("seq") - 1), ["feed", "seq"], ["__feed", "__seq"], "names")
+    one = _with_before(one).withColumn("__feed", F.when(F.col("__before").isNotNull(), F.col("feed")))
+    return inherit(one, ["feed", "seq"], ["__feed", "__before"], "names")
 
 
 def cells(files: DataFrame) -> DataFrame:
@@ -52,19 +67,19 @@ def path_kinds(files: DataFrame) -> DataFrame:
 
 
 def name_changes(names: DataFrame) -> DataFrame:
-    """(feed, seq, field, before, change) of each file against the preceding one.
+    """(feed, seq, before_seq, field, before, change) of each file against the preceding one, the one with the greatest smaller seq.
 
     change is kept (before = field), renamed (before = the old name), added or removed. A name is
     renamed if it stands where a lost one stood and both files have as many fields.
     """
-    before = names.select("feed", (F.col("seq") + 1).alias("seq"), F.col("names").alias("old")).filter("old is not null")
-    both = names.filter("names is not null").join(before, ["feed", "seq"]).withColumn("__even", F.expr("size(names) = size(old)"))
+    before = names.select("feed", F.col("seq").alias("before_seq"), F.col("names").alias("old")).filter("old is not null")
+    both = _with_before(names).withColumnRenamed("__before", "before_seq").filter("names is not null").join(before, ["feed", "before_seq"]).withColumn("__even", F.expr("size(names) = size(old)"))
     field = "named_struct('field', {}, 'before', {}, 'change', {})"
     now = f"""transform(names, (n, i) -> case when array_contains(old, n) then {field.format('n', 'n', "'kept'")}
         when __even and not array_contains(names, get(old, i)) then {field.format('n', 'get(old, i)', "'renamed'")}
         else {field.format('n', 'cast(null as string)', "'added'")} end)"""
     lost = f"""transform(filter(old, (n, i) -> not array_contains(names, n) and not (__even and not array_contains(old, get(names, i)))), n -> {field.format('n', 'n', "'removed'")})"""
-    return both.select("feed", "seq", F.explode(F.expr(f"concat({now}, {lost})")).alias("__c")).select("feed", "seq", "__c.*").distinct()
+    return both.select("feed", "seq", "before_seq", F.explode(F.expr(f"concat({now}, {lost})")).alias("__c")).select("feed", "seq", "before_seq", "__c.*").distinct()
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -80,12 +95,12 @@ def changes(files: DataFrame) -> DataFrame:
     steps = name_changes(names)
     nodes = names.select("feed", "seq", F.posexplode("names").alias("pos", "field")).join(path_kinds(files).select("feed", "seq", "pos", "kind"), ["feed", "seq", "pos"], "left")
     nodes = nodes.groupBy("feed", "seq", "field").agg(F.min_by("kind", "pos").alias("own"))
-    links = steps.filter("change in ('kept', 'renamed')").select("feed", "seq", "field", "before")
+    links = steps.filter("change in ('kept', 'renamed')").select("feed", "seq", "field", "before_seq", "before")
     nodes = nodes.join(links, ["feed", "seq", "field"], "left")
-    chain = nodes.select("feed", "seq", "field", "own", F.when(F.col("before").isNotNull(), F.col("feed")).alias("__pf"), F.when(F.col("before").isNotNull(), F.col("seq") - 1).alias("__ps"), F.col("before").alias("__pn"))
+    chain = nodes.select("feed", "seq", "field", "own", F.when(F.col("before").isNotNull(), F.col("feed")).alias("__pf"), F.col("before_seq").alias("__ps"), F.col("before").alias("__pn"))
     known = inherit(chain, ["feed", "seq", "field"], ["__pf", "__ps", "__pn"], "own")
-    earlier = known.select("feed", (F.col("seq") + 1).alias("seq"), F.col("field").alias("before"), F.col("own").alias("was"))
-    retyped = nodes.filter("own is not null and before is not null").join(earlier, ["feed", "seq", "before"]).filter("was != own").select("feed", "seq", "field", F.lit("retyped").alias("change"))
+    earlier = known.select("feed", F.col("seq").alias("before_seq"), F.col("field").alias("before"), F.col("own").alias("was"))
+    retyped = nodes.filter("own is not null and before is not null").join(earlier, ["feed", "before_seq", "before"]).filter("was != own").select("feed", "seq", "field", F.lit("retyped").alias("change"))
     return steps.filter("change != 'kept'").select("feed", "seq", "field", "change").unionByName(retyped)
 
 

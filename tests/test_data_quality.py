@@ -199,6 +199,14 @@ def test_changes(spark):
     assert drift.changes(df.limit(0)).count() == 0
 
 
+def test_changes_across_missing_files(spark):
+    rows = [(1, ["a", "b"], [["1", "x"]]), (3, None, [["x", "y"]]), (4, ["a", "c"], [["z", "--"]]), (9000, ["a", "d"], [["2", "3"]]), (20000, ["d"], [["4"]])]
+    df = spark.createDataFrame([(s, f, s, *r) for s, *r in rows for f in ("f", "g")], "file_id bigint, feed string, seq int, fields array<string>, data array<array<string>>")
+    want = [(3, "a", "retyped"), (4, "c", "renamed"), (9000, "a", "retyped"), (9000, "d", "renamed"), (9000, "d", "retyped"), (20000, "a", "removed")]
+    assert sorted(tuple(r) for r in drift.changes(df).collect()) == sorted((f, *w) for w in want for f in ("f", "g"))
+    assert {(r.seq, tuple(r.names)) for r in drift.file_names(df).filter("feed = 'f'").collect()} == {(1, ("a", "b")), (3, ("a", "b")), (4, ("a", "c")), (9000, ("a", "d")), (20000, ("d",))}
+
+
 def test_drift_with_nulls(spark):
     rows = [(1, None, 1, ["a"], [["1"]]), (2, "f", None, ["a"], [["1"]]), (3, "f", 1, None, None), (4, "f", 2, ["a", None], [None, ["1"], ["1", "2", "3"]]), (5, "f", 3, ["a", "b"], [["x", "2"]]), (6, None, None, None, None)]
     df = spark.createDataFrame(rows, "file_id bigint, feed string, seq int, fields array<string>, data array<array<string>>")
