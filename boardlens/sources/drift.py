@@ -114,19 +114,24 @@ class Target:
 
 
 def common_table(files: DataFrame, targets: list[Target]) -> DataFrame:
-    """(feed, seq, row_no, one typed column per target, failed): all data rows of all files in one table.
+    """(feed, seq, row_no, one typed column per target, failed, rest): all data rows of all files in one table.
 
     failed lists the targets whose cell holds a value that isn't of the target's kind; the column
-    is null there. Of files repeated under a seq the one with the least file_id is taken, once.
+    is null there. rest holds each value that is in no column, as (pos, name, raw): those of names
+    that no target goes by, those that failed, those of a second name of the same target, and those
+    beyond the names (name is null there). pos counts from 1. It is an array, as names may be
+    repeated or missing. So each value of a row is in a column or in rest. Of files repeated under a seq the one with the least file_id is taken, once.
     """
     first = files.groupBy("feed", "seq").agg(F.min("file_id").alias("file_id"))
     rows = cells(files).join(first, ["feed", "seq", "file_id"], "left_semi").dropDuplicates(["feed", "seq", "row_no"]).join(file_names(files), ["feed", "seq"])
     raws: list[Column] = []
+    places: list[Column] = []
     for i, t in enumerate(targets):
         at = F.coalesce(*[F.nullif(F.array_position("names", n), F.lit(0)) for n in t.known_as])
         cell = F.when(at.isNotNull(), F.try_element_at("paths", (at - 1).cast("int")))
         raws.append(F.when(cell["kind"].isNotNull(), cell["raw"]).alias(f"__raw{i}"))
-    rows = rows.select("feed", "seq", "row_no", *raws)
+        places.append((at - 1).cast("int").alias(f"__at{i}"))
+    rows = rows.select("feed", "seq", "row_no", "names", "paths", *raws, *places)
     out: list[Column] = []
     failed: list[Column] = []
     for i, t in enumerate(targets):
@@ -135,5 +140,8 @@ def common_table(files: DataFrame, targets: list[Target]) -> DataFrame:
         out.append(typed.alias(t.name))
         if t.kind != "text":
             failed.append(F.when(F.col(f"__raw{i}").isNotNull() & F.col(t.name).isNull(), F.lit(t.name)))
-    typed_rows = rows.select("feed", "seq", "row_no", *[f"__raw{i}" for i in range(len(targets))], *out)
-    return typed_rows.select("feed", "seq", "row_no", *[t.name for t in targets], F.array_compact(F.array(*failed)).alias("failed"))
+    typed_rows = rows.select("feed", "seq", "row_no", "names", "paths", *[f"__{k}{i}" for k in ("raw", "at") for i in range(len(targets))], *out)
+    held = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(F.col(t.name).isNotNull(), F.col(f"__at{i}")) for i, t in enumerate(targets)]))
+    left = F.filter(F.map_entries("paths"), lambda e: e["value"]["kind"].isNotNull() & ~F.array_contains(held, e["key"]))
+    rest = F.transform(left, lambda e: F.struct((e["key"] + 1).alias("pos"), F.get("names", e["key"]).alias("name"), e["value"]["raw"].alias("raw")))
+    return typed_rows.select("feed", "seq", "row_no", *[t.name for t in targets], F.array_compact(F.array(*failed)).alias("failed"), rest.alias("rest"))

@@ -207,6 +207,21 @@ def test_changes_across_missing_files(spark):
     assert {(r.seq, tuple(r.names)) for r in drift.file_names(df).filter("feed = 'f'").collect()} == {(1, ("a", "b")), (3, ("a", "b")), (4, ("a", "c")), (9000, ("a", "d")), (20000, ("d",))}
 
 
+def test_common_table_keeps_every_value(spark):
+    rows = [(1, None, [["7"]]), (2, ["a", "new", "a", "b"], [["1", "n", "2", "x", "5"], ["--", "", "3", "4"]]), (3, ["old a", "a"], [["NT6", "8"], ["NT6", "y"], None])]
+    df = spark.createDataFrame([(s, "f", s, *r) for s, *r in rows], "file_id bigint, feed string, seq int, fields array<string>, data array<array<string>>")
+    t = drift.common_table(df, [drift.Target("a", "number", ("a", "olda")), drift.Target("b", "text", ("b",))]).collect()
+    got = {(r.seq, r.row_no): (r.a, r.b, r.failed, [tuple(x) for x in r.rest]) for r in t}
+    assert got == {
+        (1, 0): (None, None, [], [(1, None, "7")]),
+        (2, 0): (1.0, "x", [], [(2, "new", "n"), (3, "a", "2"), (5, None, "5")]),
+        (2, 1): (None, "4", [], [(3, "a", "3")]),
+        (3, 0): (8.0, None, [], [(1, "olda", "NT6")]),
+        (3, 1): (None, None, ["a"], [(1, "olda", "NT6"), (2, "a", "y")]),
+        (3, 2): (None, None, [], []),
+    }
+
+
 def test_drift_with_nulls(spark):
     rows = [(1, None, 1, ["a"], [["1"]]), (2, "f", None, ["a"], [["1"]]), (3, "f", 1, None, None), (4, "f", 2, ["a", None], [None, ["1"], ["1", "2", "3"]]), (5, "f", 3, ["a", "b"], [["x", "2"]]), (6, None, None, None, None)]
     df = spark.createDataFrame(rows, "file_id bigint, feed string, seq int, fields array<string>, data array<array<string>>")
