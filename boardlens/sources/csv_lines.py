@@ -44,7 +44,8 @@ def classify_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
     The header, line 1 of a file, names the columns of its file. reason is null for a good row,
     else the first that holds of quoting, column_count and value. names and fields are arrays of
     equal length in good rows; fields is null where quoting is broken. A null raw is an empty
-    line. In a file without a header, or with one whose quoting is broken, each line is a case of
+    line. Only line 1 is a header: a line whose line_no is null or below 1 is classed under its
+    file's header like any other. In a file without a header, or with one whose quoting is broken, each line is a case of
     column_count. Values of feeds not in feeds aren't checked. Extra columns are kept, but for
     ones called names, fields or reason, which give way.
 
@@ -61,7 +62,7 @@ def classify_lines(lines: DataFrame, feeds: dict[str, Feed]) -> DataFrame:
         .select("__feed", "__file", F.transform(strict_fields(F.col("__raw")), F.trim).alias("names"))
     )
     width = head.agg(F.max(F.size("names"))).first()[0] or 1  # one number
-    body = lines.filter("line_no > 1").withColumn("__text", F.coalesce("raw", F.lit("")))
+    body = lines.filter("not (line_no <=> 1)").withColumn("__text", F.coalesce("raw", F.lit("")))
     body = body.join(head, F.col("feed").eqNullSafe(F.col("__feed")) & F.col("file").eqNullSafe(F.col("__file")), "left").drop("__feed", "__file")
     # A blank line passes for a row of nulls, so it counts as set aside.
     # Padding each line by the columns that its file lacks lets one schema hold for all files: a line fits if its own number of columns is right.

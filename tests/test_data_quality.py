@@ -165,6 +165,14 @@ def test_reasons(spark):
     assert got == {f"{f}{i}": r for f, rs in want.items() for i, r in enumerate(rs, 2)}
 
 
+def test_lines_without_a_number(spark):
+    rows = [("h", 1, "code,open"), ("good", None, "1,2"), ("value", None, "1,x"), ("count", None, "1"), ("zero", 0, "1,2,3"), ("two", 2, "1,2")]
+    df = spark.createDataFrame([(i, "q", "q1", n, raw) for i, n, raw in rows], "line_id string, feed string, file string, line_no int, raw string")
+    c = csv_lines.classify_lines(df, {"q": csv_lines.Feed(numbers=("open",))})
+    assert sorted((r.line_id, r.reason) for r in csv_lines.bad_lines(c).collect()) == [("count", "column_count"), ("value", "value"), ("zero", "column_count")]
+    assert sorted(r.line_id for r in csv_lines.good_rows(c).collect()) == ["good", "two"]
+
+
 def test_values_and_kept_columns(spark):
     df = csv_lines.classify_lines(_line_frame(spark, {"q1": ["code,open,open", '1,"2",3', "1,2"]}).withColumn("extra", F.lit(7)), {})
     good = csv_lines.good_rows(df).collect()
