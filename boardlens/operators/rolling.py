@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AMOUNT = "decimal(28,6)"
 TOTAL = "decimal(38,6)"
 PARTS = ("sum", "n", "nz")
 
@@ -26,18 +25,24 @@ def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, id
     sum, n and nz are the total, the number of figures and the number of non-zero figures; the
     late_ columns are the part that arrived more than late_days after the day, late tells whether
     any row did. A null, NaN or infinite value is no figure, but the day is still one with a row.
+    n and nz count the values as they are; only the sums are of decimals. A figure that fits no
+    decimal, from 1e32 on, is an error, as no total could hold it.
     Rows with a null key or day are no amounts. Both aggregations combine before they shuffle, on
     keys that hold the day, so that no key makes a large partition.
     """
-    src = rows.select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(f"`{day}`").cast("date").alias("day"), F.col(f"`{value}`").try_cast(AMOUNT).alias("__v"), (F.col(f"`{arrived}`").cast("timestamp") if arrived else F.lit(None).cast("timestamp")).alias("__at"))
+    x = F.col(f"`{value}`").try_cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    amount = F.col(f"`{value}`").try_cast(TOTAL)
+    amount = F.when(finite.isNotNull(), F.coalesce(amount, F.raise_error(F.concat(F.lit("beyond decimal: "), finite.cast("string"))).cast(TOTAL)))
+    src = rows.select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`").alias(f"__i{i}") for i, c in enumerate(identity)], F.col(f"`{day}`").cast("date").alias("day"), finite.alias("__x"), amount.alias("__v"), (F.col(f"`{arrived}`").cast("timestamp") if arrived else F.lit(None).cast("timestamp")).alias("__at"))
     for c in (*keys, "day"):
         src = src.filter(F.col(f"`{c}`").isNotNull())
-    once = src.groupBy(*keys, *[f"__i{i}" for i in range(len(identity))], "day").agg(F.max("__v").alias("__v"), F.min("__at").alias("__at"))
+    once = src.groupBy(*keys, *[f"__i{i}" for i in range(len(identity))], "day").agg(F.max("__x").alias("__x"), F.max("__v").alias("__v"), F.min("__at").alias("__at"))
     once = once.withColumn("__late", F.coalesce(F.datediff(F.col("__at").cast("date"), F.col("day")) > late_days, F.lit(False)))
-    v, late = F.col("__v"), F.col("__late")
+    x, v, late = F.col("__x"), F.col("__v"), F.col("__late")
 
     def parts(mine: Column, prefix: str) -> list[Column]:
-        return [F.coalesce(F.sum(F.when(mine, v)), F.lit(0)).cast(TOTAL).alias(f"{prefix}sum"), F.count(F.when(mine, v)).alias(f"{prefix}n"), F.count(F.when(mine & (v != 0), v)).alias(f"{prefix}nz")]
+        return [F.coalesce(F.sum(F.when(mine, v)), F.lit(0)).cast(TOTAL).alias(f"{prefix}sum"), F.count(F.when(mine, x)).alias(f"{prefix}n"), F.count(F.when(mine & (x != 0), x)).alias(f"{prefix}nz")]
 
     return once.groupBy(*keys, "day").agg(*parts(~late, ""), *parts(late, "late_"), F.max("__late").alias("late"))
 

@@ -106,6 +106,16 @@ def test_advance_and_correct_reach_the_same_state(spark, amounts):
     assert sorted(map(tuple, fixed.select("day", *cols).collect())) == sorted(map(tuple, both.filter("version = 1").select("day", *cols).collect()))
 
 
+def test_tiny_and_huge_figures_count(spark):
+    values = [1e-9, -1e-300, 1e22, 0.0, -0.0, float("inf"), float("nan"), None, 2.5]
+    df = spark.createDataFrame([(str(i), dt.date(2023, 1, 1), v) for i, v in enumerate(values)], "code string, date date, value double")
+    got = {int(r.code): (r.sum7, r.n7, r.nz7) for r in rolling.rolling_state(rolling.daily_amounts(df, ["code"], "date", "value"), ["code"]).collect()}
+    no = (Decimal(0), 0, 0)
+    assert got == {0: (Decimal(0), 1, 1), 1: (Decimal(0), 1, 1), 2: (Decimal(10) ** 22, 1, 1), 3: (Decimal(0), 1, 0), 4: (Decimal(0), 1, 0), 5: no, 6: no, 7: no, 8: (Decimal("2.5"), 1, 1)}
+    with pytest.raises(Exception, match="beyond decimal"):
+        rolling.daily_amounts(df.withColumn("value", F.lit(1e33)), ["code"], "date", "value").collect()
+
+
 def test_rolling_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None, dt.date(2023, 1, 1), 1.0), ("a", None, 1.0)], "code string, date date, value double")
     assert rolling.rolling_state(rolling.daily_amounts(df, ["code"], "date", "value"), ["code"]).count() == 0
