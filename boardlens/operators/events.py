@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlens.operators import frames
@@ -66,11 +66,12 @@ def window_sums(dense: DataFrame, x: str, spans: dict[str, tuple[int, int]], by:
     return dense.withColumns({name: frames.gated(F.sum(x), F.col(x), w.rowsBetween(a, b), b - a + 1) for name, (a, b) in spans.items()})
 
 
-def benchmark_cells(rows: DataFrame, day: str, first: str, second: str, n: int = 5, least: int = 50) -> DataFrame:
-    """rows with cell: n groups of first times n groups of second per day, over rows that have both; null on days with fewer than least."""
+def benchmark_cells(rows: DataFrame, day: str, first: str, second: str, keys: Sequence[str] = ("code",), n: int = 5, least: int = 50) -> DataFrame:
+    """rows with cell: n groups of first times n groups of second per day, over rows that have both, ties in the order of keys; null on days with fewer than least."""
     ok = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    size = F.count("*").over(frames.ordered([day], "code").rowsBetween(-(2**31), 2**31 - 1))
-    cells = ok.withColumn("__n", size).withColumn("__a", frames.quantile_group([day], [F.col(first), F.col("code")], n)).withColumn("__b", frames.quantile_group([day], [F.col(second), F.col("code")], n))
+    size = F.count("*").over(Window.partitionBy(day))
+    group = lambda c: frames.quantile_group([day], [F.col(c), *[F.col(k) for k in keys]], n)
+    cells = ok.withColumn("__n", size).withColumn("__a", group(first)).withColumn("__b", group(second))
     return cells.withColumn("cell", F.when(F.col("__n") >= least, F.col("__a") * n + F.col("__b"))).drop("__n", "__a", "__b")
 
 

@@ -124,7 +124,7 @@ def ols_clustered(df: DataFrame, y: str, xs: Sequence[str], clusters: Sequence[s
 
 
 def demean(df: DataFrame, cols: Sequence[str], effects: Sequence[str], tol: float = 1e-10, most: int = 10_000) -> DataFrame:
-    """df, complete in cols, with cols less their group means, for all effects at once, by alternating projections until no mean is beyond tol."""
+    """df, complete in cols, with cols less their group means, for all effects at once, by alternating projections until no mean is beyond tol; an error where `most` rounds don't get there."""
     d = cut(df.dropna(subset=list(cols)))
     for _ in range(most):
         largest = 0.0
@@ -135,7 +135,7 @@ def demean(df: DataFrame, cols: Sequence[str], effects: Sequence[str], tol: floa
             d = d.select(*df.columns)
         if largest < tol or len(effects) == 1:
             return d
-    return d
+    raise ArithmeticError(f"means of {largest} are left after {most} rounds")
 
 
 def fe_ols(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> Fit:

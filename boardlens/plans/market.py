@@ -239,13 +239,12 @@ def calendar_time(spark, d):
 @R.add(f"""with {RETS}, s as (select code, market, date, case when count(value) over a >= 10 then avg(value) over a end as liq, case when count(ret) over a >= 15 then sum(ret) over a end as mom from rets
  window a as (partition by code, market order by date rows between 19 preceding and current row)),
 ok as (select *, row_number() over (partition by date order by liq, code, market) as i, row_number() over (partition by date order by mom, code, market) as j, count(*) over (partition by date) as n from s where liq is not null and mom is not null)
-select code, market, cast(date as varchar) as date, cast(case when n >= 8 then greatest(ceil((i - 1) * 5 / greatest(n - 1, 1)) - 1, 0) * 5 + greatest(ceil((j - 1) * 5 / greatest(n - 1, 1)) - 1, 0) end as int) as cell from ok""")
+select code, market, cast(date as varchar) as date, cast(case when n >= 50 then greatest(ceil((i - 1) * 5 / greatest(n - 1, 1)) - 1, 0) * 5 + greatest(ceil((j - 1) * 5 / greatest(n - 1, 1)) - 1, 0) end as int) as cell from ok""")
 def benchmark_cells(spark, d):
     w = frames.ordered(["code", "market"], "date")
-    s = rets(spark, d).select("code", "market", "date", frames.rolling(F.avg, F.col("value"), w, 20, 10).alias("liq"), frames.rolling(F.sum, F.col("ret"), w, 20, 15).alias("mom")).filter("liq is not null and mom is not null")
-    n = s.groupBy("date").agg(F.count("*").alias("n"))
-    g = s.withColumn("a", frames.quantile_group(["date"], ["liq", "code", "market"], 5)).withColumn("b", frames.quantile_group(["date"], ["mom", "code", "market"], 5)).join(F.broadcast(n), "date")
-    return g.select("code", "market", F.col("date").cast("string").alias("date"), F.when(F.col("n") >= 8, F.col("a") * 5 + F.col("b")).alias("cell"))
+    s = rets(spark, d).select("code", "market", "date", frames.rolling(F.avg, F.col("value"), w, 20, 10).alias("liq"), frames.rolling(F.sum, F.col("ret"), w, 20, 15).alias("mom"))
+    g = events.benchmark_cells(s, "date", "liq", "mom", ["code", "market"])
+    return g.select("code", "market", F.col("date").cast("string").alias("date"), "cell")
 
 
 @R.add("""with one as (select distinct code, date, pre_abn from windows) select code, cast(date as varchar) as date,

@@ -26,25 +26,23 @@ def joined(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"""with {_J}, c as (select code, pre_abn as x, ret_next as y from j where pre_abn is not null and ret_next is not null),
 r as (select *, rank() over (partition by code order by x) + (count(*) over (partition by code, x) - 1) / 2.0 as rx, rank() over (partition by code order by y) + (count(*) over (partition by code, y) - 1) / 2.0 as ry from c)
-select code, count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman from r group by code having count(*) > 30""")
+select code, count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman from r group by code""")
 def correlations(spark, d):
-    return rounded(stats.correlations(joined(spark, d), "pre_abn", "ret_next", ["code"]).filter("n > 30"))
+    return rounded(stats.correlations(joined(spark, d), "pre_abn", "ret_next", ["code"]))
 
 
 @R.add(f"""with {_J}, l as (select code, pre_abn as x, {', '.join(f'lead(ret, {k}) over w as y{k + 5}' if k >= 0 else f'lag(ret, {-k}) over w as y{k + 5}' for k in range(-5, 6))} from j window w as (partition by code order by date)),
 u as (select code, x, unnest([{', '.join(f'y{k}' for k in range(11))}]) as y, unnest(range(-5, 6)) as lag from l)
-select code, cast(lag as int) as lag, round(corr(x, y), 6) as r from u where code in (select code from j where pre_abn is not null and ret is not null group by code having count(*) > 30) group by code, lag""")
+select code, cast(lag as int) as lag, round(corr(x, y), 6) as r from u group by code, lag""")
 def cross_correlation(spark, d):
-    j = joined(spark, d)
-    many = j.filter("pre_abn is not null and ret is not null").groupBy("code").count().filter("count > 30").select("code")
-    return rounded(stats.cross_correlation(j, "pre_abn", "ret", "date", ["code"]).join(many, "code", "left_semi"))
+    return rounded(stats.cross_correlation(joined(spark, d), "pre_abn", "ret", "date", ["code"]))
 
 
 @R.add(f"""with {RETS}, x as (select code, market, date, ret, avg(ret) over (partition by code, market) as m from rets where ret is not null),
 u as (select code, market, m, ret - m as u, {', '.join(f'lag(ret - m, {k}) over w as u{k}' for k in range(1, 6))} from x window w as (partition by code, market order by date))
-select code, market, count(*) as n, round(max(m), 7) as mean, round(sqrt(greatest(sum(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * coalesce(sum(u * u{k}), 0)' for k in range(1, 6))}, 0)) / count(*), 7) as se from u group by code, market having count(*) > 30""")
+select code, market, count(*) as n, round(max(m), 7) as mean, round(sqrt(greatest(sum(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * coalesce(sum(u * u{k}), 0)' for k in range(1, 6))}, 0)) / count(*), 7) as se from u group by code, market""")
 def hac_means(spark, d):
-    h = stats.hac_mean(rets(spark, d), "ret", "date", ["code", "market"], 5).filter("n > 30")
+    h = stats.hac_mean(rets(spark, d), "ret", "date", ["code", "market"], 5)
     return rounded(h.select("code", "market", "n", "mean", "se"), 7)
 
 
