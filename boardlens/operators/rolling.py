@@ -9,22 +9,32 @@ and number of corrections gives the same state.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boardlens.session import drop_table, shared_dir
+
 TOTAL = "decimal(38,6)"
 PARTS = ("sum", "n", "nz")
+KIND = {"sum": TOTAL, "n": "bigint", "nz": "bigint"}
+
 
+def block_of(day: Column, block_days: int) -> Column:
+    """The number of the block of days that day is in."""
+    return F.floor(F.unix_date(day) / F.lit(block_days)).cast("int")
 
-def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, identity: Sequence[str] = (), arrived: str | None = None, late_days: int = 1) -> DataFrame:
+
+def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, identity: Sequence[str] = (), arrived: str | None = None, late_days: int = 1, block_days: int = 1) -> DataFrame:
     """(keys, day, sum, n, nz, late_sum, late_n, late_nz, late): one row per key and day.
 
     Rows that agree in keys, identity and day are repeats and count once, at their first arrival.
     sum, n and nz are the total, the number of figures and the number of non-zero figures; the
-    late_ columns are the part that arrived more than late_days after the day, late tells whether
-    any row did. A null, NaN or infinite value is no figure, but the day is still one with a row.
+    late_ columns are the part that arrived more than late_days after the end of the day's block
+    of block_days days, late tells whether any row did. A null, NaN or infinite value is no figure, but the day is still one with a row.
     n and nz count the values as they are; only the sums are of decimals. A figure that fits no
     decimal, from 1e32 on, is an error, as no total could hold it.
     Rows with a null key or day are no amounts. Both aggregations combine before they shuffle, on
@@ -38,7 +48,8 @@ def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, id
     for c in (*keys, "day"):
         src = src.filter(F.col(f"`{c}`").isNotNull())
     once = src.groupBy(*keys, *[f"__i{i}" for i in range(len(identity))], "day").agg(F.max("__x").alias("__x"), F.max("__v").alias("__v"), F.min("__at").alias("__at"))
-    once = once.withColumn("__late", F.coalesce(F.datediff(F.col("__at").cast("date"), F.col("day")) > late_days, F.lit(False)))
+    close = F.date_from_unix_date((block_of(F.col("day"), block_days) + 1) * block_days - 1)
+    once = once.withColumn("__late", F.coalesce(F.datediff(F.col("__at").cast("date"), close) > late_days, F.lit(False)))
     x, v, late = F.col("__x"), F.col("__v"), F.col("__late")
 
     def parts(mine: Column, prefix: str) -> list[Column]:
@@ -60,13 +71,14 @@ def _dense(amounts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rolling_state(amounts: DataFrame, keys: Sequence[str], periods: Sequence[int] = (7, 30), superseded: bool = False) -> DataFrame:
-    """The state of all days: (keys, day, first_day, version, and for each n of periods sum{n}, n{n}, nz{n}).
+    """The state of all days in one pass: (keys, day, first_day, version, and for each n of periods sum{n}, n{n}, nz{n}).
 
     amounts is what daily_amounts gives. Version 0 is the state as the rows in time made it;
     dates a late row belongs to are recomputed as version 1, which takes the place of version 0,
     or stands beside it with superseded. Days run without a break from a key's first day with a
     row to its last, late rows included; before the first day there is nothing. Per key one task
-    holds at most its calendar days, whatever the number of rows.
+    holds at most its calendar days, whatever the number of rows. Every run reads all history:
+    this is what a State must agree with, not how one is kept.
     """
     by = Window.partitionBy(*keys).orderBy("day")
     dense = _dense(amounts, keys)
@@ -76,29 +88,56 @@ def rolling_state(amounts: DataFrame, keys: Sequence[str], periods: Sequence[int
     for n in periods:
         for p in PARTS:
             for prefix in ("", "late_"):
-                kind = TOTAL if p == "sum" else "bigint"
-                change = F.col(f"{prefix}{p}") - F.coalesce(F.lag(f"{prefix}{p}", n).over(by), F.lit(0).cast(kind))
-                moved = moved.withColumn(f"__{prefix}{p}{n}", change.cast(kind))
+                change = F.col(f"{prefix}{p}") - F.coalesce(F.lag(f"{prefix}{p}", n).over(by), F.lit(0).cast(KIND[p]))
+                moved = moved.withColumn(f"__{prefix}{p}{n}", change.cast(KIND[p]))
             before = F.sum(f"__{p}{n}").over(running)
             out.append(F.struct(before.alias("v0"), (before + F.sum(f"__late_{p}{n}").over(running)).alias("v1")).alias(f"{p}{n}"))
     widest = by.rowsBetween(-(max(periods) - 1), 0)
     state = moved.select(*keys, "day", "first_day", F.max("late").over(widest).alias("__touched"), *out)
-    totals = [f"{p}{n}" for n in periods for p in PARTS]
 
     def version(which: int) -> list[Column]:
-        return [F.col(f"{c}.v{which}").cast(TOTAL if c.startswith("sum") else "bigint").alias(c) for c in totals]
+        return [F.col(f"{p}{n}.v{which}").cast(KIND[p]).alias(f"{p}{n}") for n in periods for p in PARTS]
 
     if superseded:
         return state.select(*keys, "day", "first_day", F.lit(0).alias("version"), *version(0)).unionByName(state.filter("__touched").select(*keys, "day", "first_day", F.lit(1).alias("version"), *version(1)))
     return state.select(*keys, "day", "first_day", F.col("__touched").cast("int").alias("version"), *version(1))
 
 
+def advance(yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The states of a block of days out of the state of the day before it.
+
+    yesterday: rows of a state, one per key; arrivals: (keys, first_day, days), days being the
+    amounts (day, sum, n, nz) of the block's days from the key's first on, in order and without a
+    break; expiring: for each n such rows of the amounts n days earlier. Three joins by key, one
+    row per key each; then every day's totals are the day's before, and what arrives, less what
+    expires. A key's state starts with its first arrival; a key without arrivals has ended.
+    """
+    periods = sorted(expiring)
+    s = arrivals.select(*keys, "first_day", "days").join(yesterday.select(*keys, *[F.col(f"{p}{n}").alias(f"__was_{p}{n}") for n in periods for p in PARTS]), list(keys), "left")
+    for n in periods:
+        s = s.join(expiring[n].select(*keys, F.col("days").alias(f"__out{n}")), list(keys), "left")
+    start = F.col("days")[0]["day"]
+
+    def aligned(n: int) -> Column:
+        # element i of what this gives expires with element i of days
+        out, apart = F.col(f"__out{n}"), F.datediff(start, F.col(f"__out{n}")[0]["day"]) - n
+        none = F.array_repeat(F.lit(None).cast(s.schema[f"__out{n}"].dataType.elementType), F.greatest(-apart, F.lit(0)))
+        return F.coalesce(F.slice(F.concat(none, out), F.greatest(apart, F.lit(0)) + 1, F.size("days")), F.array())
+
+    s = s.select(*keys, "first_day", *[f"__was_{p}{n}" for n in periods for p in PARTS], F.inline(F.arrays_zip(F.col("days").alias("__in"), *[aligned(n).alias(f"__out{n}") for n in periods])))
+    change = lambda p, n: (F.col("__in")[p] - F.coalesce(F.col(f"__out{n}")[p], F.lit(0).cast(KIND[p]))).cast(KIND[p]).alias(f"__{p}{n}")
+    moved = s.select(*keys, F.col("__in.day").alias("day"), "first_day", *[f"__was_{p}{n}" for n in periods for p in PARTS], *[change(p, n) for n in periods for p in PARTS])
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda p, n: (F.coalesce(F.col(f"__was_{p}{n}"), F.lit(0).cast(KIND[p])) + F.sum(f"__{p}{n}").over(w)).cast(KIND[p]).alias(f"{p}{n}")
+    return moved.select(*keys, "day", "first_day", F.lit(0).alias("version"), *[total(p, n) for n in periods for p in PARTS])
+
+
 def advance_day(yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: Sequence[str], day: str) -> DataFrame:
-    """The state of day (YYYY-MM-DD) out of yesterday's: one step of the recurrence, as a daily job runs it.
+    """The state of day (YYYY-MM-DD) out of yesterday's, keys without arrival included: one step of the recurrence, as a daily job runs it.
 
-    yesterday: rows of rolling_state of the day before; arrivals: daily_amounts of the day;
-    expiring: for each n the daily_amounts of the day n days earlier. A key's state starts with
-    its first arrival. Three joins on the key of one row per key each.
+    yesterday: the states of the day before; arrivals: daily_amounts of the day; expiring: for
+    each n the daily_amounts of the day n days earlier. Three joins on the key of one row per key
+    each.
     """
     periods = sorted(expiring)
     today = arrivals.select(*keys, *[F.col(p).alias(f"__in_{p}") for p in PARTS])
@@ -107,9 +146,8 @@ def advance_day(yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, D
         s = s.join(expiring[n].select(*keys, *[F.col(p).alias(f"__out_{p}{n}") for p in PARTS]), list(keys), "left")
 
     def step(p: str, n: int) -> Column:
-        kind = TOTAL if p == "sum" else "bigint"
-        x = [F.coalesce(F.col(c), F.lit(0).cast(kind)) for c in (f"{p}{n}", f"__in_{p}", f"__out_{p}{n}")]
-        return (x[0] + x[1] - x[2]).cast(kind).alias(f"{p}{n}")
+        x = [F.coalesce(F.col(c), F.lit(0).cast(KIND[p])) for c in (f"{p}{n}", f"__in_{p}", f"__out_{p}{n}")]
+        return (x[0] + x[1] - x[2]).cast(KIND[p]).alias(f"{p}{n}")
 
     d = F.lit(day).cast("date")
     return s.select(*keys, d.alias("day"), F.coalesce("first_day", d).alias("first_day"), F.lit(0).alias("version"), *[step(p, n) for n in periods for p in PARTS])
@@ -119,15 +157,106 @@ def correct(state: DataFrame, late: DataFrame, keys: Sequence[str], periods: Seq
     """New versions of the dates that late rows belong to, to be appended to state.
 
     state: one row per key and day, the newest version; late: (keys, day, sum, n, nz), changes of
-    amounts of days within the state. Each change reaches the dates up to max(periods) - 1 days on;
-    they are summed per key and date before they meet the state.
+    amounts of days within the state. A key's changes, one a day at most, meet its state in one
+    join by key, for which a state bucketed by key isn't shuffled; each reaches the dates up to
+    max(periods) - 1 days on.
     """
-    widest = max(periods)
-    reach = late.select(*keys, *PARTS, F.col("day").alias("__d"), F.explode(F.expr(f"sequence(day, date_add(day, {widest - 1}))")).alias("day"))
-    age = F.datediff("day", "__d")
-    change = reach.groupBy(*keys, "day").agg(*[F.coalesce(F.sum(F.when(age < n, F.col(p))), F.lit(0)).alias(f"__{p}{n}") for n in periods for p in PARTS])
-    kind = {p: TOTAL if p == "sum" else "bigint" for p in PARTS}
-    return state.join(change, [*keys, "day"]).select(*keys, "day", "first_day", (F.col("version") + 1).alias("version"), *[(F.col(f"{p}{n}") + F.col(f"__{p}{n}")).cast(kind[p]).alias(f"{p}{n}") for n in periods for p in PARTS])
+    per_day = late.groupBy(*keys, "day").agg(*[F.sum(p).cast(KIND[p]).alias(p) for p in PARTS])
+    per_key = per_day.groupBy(*keys).agg(F.collect_list(F.struct("day", *PARTS)).alias("__late"))
+    widest, day = max(periods), F.col("day")
+    age = lambda x: F.datediff(day, x["day"])
+    hit = state.join(per_key, list(keys)).withColumn("__late", F.filter("__late", lambda x: age(x).between(0, widest - 1))).filter(F.size("__late") > 0)
+    change = lambda p, n: F.aggregate(F.filter("__late", lambda x: age(x) < n), F.lit(0).cast(KIND[p]), lambda a, x: (a + x[p]).cast(KIND[p]))
+    return hit.select(*keys, "day", "first_day", (F.col("version") + 1).alias("version"), *[(F.col(f"{p}{n}") + change(p, n)).cast(KIND[p]).alias(f"{p}{n}") for n in periods for p in PARTS])
+
+
+def newest(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key and day the newest version."""
+    last = F.max("version").over(Window.partitionBy(*keys, "day"))
+    return state.withColumn("__last", last).filter("version = __last").drop("__last")
+
+
+@dataclass
+class State:
+    """A rolling state kept in the shared folder, block of days by block of days.
+
+    A block of days is advanced once it is over, with the rows that had arrived by then; rows
+    that arrive later are corrections, which give new versions of the dates they reach. Amounts
+    and states are tables bucketed by key, so that neither the joins of a step nor the reading of
+    the newest versions shuffles. Blocks of one day are the daily job; a backfill takes long ones,
+    as each block is a job of its own.
+    """
+
+    spark: SparkSession
+    keys: Sequence[str]
+    periods: Sequence[int] = (7, 30)
+    block_days: int = 128
+    buckets: int = 0
+    name: str = field(default_factory=lambda: f"rolling_{uuid.uuid4().hex}")
+
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        order = [c for c in ("day",) if c in rows.columns]
+        rows.write.mode("append").partitionBy("block").bucketBy(self.buckets, *self.keys).sortBy(*self.keys, *order).option("path", f"{shared_dir(self.spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+
+    def arrivals(self, amounts: DataFrame) -> DataFrame:
+        """(keys, block, first_day, days, late): per key and block of days the amounts that came in time, for each calendar day of the key in it, and those that came late."""
+        k = list(self.keys)
+        dense = _dense(amounts.repartition(self.buckets, *k), k)
+        late = F.when(F.col("late"), F.struct("day", *[F.col(f"late_{p}").alias(p) for p in PARTS]))
+        return dense.groupBy(*k, block_of(F.col("day"), self.block_days).alias("block")).agg(F.first("first_day").alias("first_day"), F.sort_array(F.collect_list(F.struct("day", *PARTS))).alias("days"), F.collect_list(late).alias("late"))
+
+    def _between(self, arrived: DataFrame, first: int, last: int, what: str) -> DataFrame:
+        """(keys, what): the days or late amounts of blocks first .. last as one array per key, in order."""
+        some = arrived.filter(F.col("block").between(first, last))
+        if first == last:
+            return some.select(*self.keys, what)
+        parts = F.sort_array(F.collect_list(F.struct("block", what)))
+        return some.groupBy(*self.keys).agg(F.flatten(F.transform(parts, lambda x: x[what])).alias(what))
+
+    def replay(self, amounts: DataFrame) -> DataFrame:
+        """All blocks of amounts (of daily_amounts with this block_days) one after the other, and the newest versions.
+
+        The table of states stays in the shared folder, as a checkpoint does; that of amounts and,
+        after a failure, both are dropped.
+        """
+        a, s = f"{self.name}_amounts", f"{self.name}_states"
+        try:
+            self._append(self.arrivals(amounts), a)
+            arrived = self.spark.table(a)
+            first, last = arrived.agg(F.min("block"), F.max("block")).first()
+            if first is None:
+                empty = arrived.select(*self.keys, F.lit(None).cast("date").alias("day"), "first_day", F.lit(0).alias("version"), *[F.lit(None).cast(KIND[p]).alias(f"{p}{n}") for n in self.periods for p in PARTS], "block")
+                self._append(empty, s)
+                return self.spark.table(s).drop("block")
+            back = -(-max(self.periods) // self.block_days)
+            reached = {r[0] + i for r in arrived.filter(F.size("late") > 0).select("block").distinct().collect() for i in range(back + 1)}  # numbers of blocks
+            for b in range(first, last + 1):
+                self.step(arrived, s, b, b == first)
+                if b in reached:
+                    now = self.spark.table(s).filter(f"block = {b} and version = 0")
+                    late = self._between(arrived, b - back, b, "late").select(*self.keys, F.inline("late"))
+                    self._append(correct(now, late, self.keys, self.periods).withColumn("block", F.lit(b)), s)
+            return newest(self.spark.table(s).drop("block"), self.keys)
+        except Exception:
+            drop_table(self.spark, s)
+            raise
+        finally:
+            drop_table(self.spark, a)
+
+    def step(self, arrived: DataFrame, states: str, b: int, first: bool) -> None:
+        """Block b: yesterday's totals from the table, joined with what arrives and what expires."""
+        begin = b * self.block_days
+        own = arrived.filter(F.col("block") == b)
+        if first:
+            zero = [F.lit(0).cast(KIND[p]).alias(f"{p}{n}") for n in self.periods for p in PARTS]
+            yesterday = own.select(*self.keys, *zero).filter("false")
+        else:
+            yesterday = self.spark.table(states).filter(F.col("block") == b - 1).filter((F.col("version") == 0) & (F.col("day") == F.date_from_unix_date(F.lit(begin - 1))))
+        expiring = {n: self._between(arrived, (begin - n) // self.block_days, (begin + self.block_days - 1 - n) // self.block_days, "days") for n in self.periods}
+        self._append(advance(yesterday, own, expiring, self.keys).withColumn("block", F.lit(b)), states)
 
 
 def averages(state: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFrame:

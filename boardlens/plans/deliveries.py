@@ -30,6 +30,9 @@ REDUCTION = [
     drift.Target("note", "text", ("備考", "附註", "說明")),
 ]
 
+#: Days that the rolling state of whole tables moves at a time.
+BLOCK_DAYS = 128
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     news = table(spark, d, "newsfeed").select("delivery_id", "newsid", "received_at")
@@ -46,11 +49,14 @@ def _amounts(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "windows").select("code", "date", F.lit("").alias("market"), "ptt_base", "pre_abn", "loaded_at")
     w = w.unpivot(["code", "date", "market", "loaded_at"], ["ptt_base", "pre_abn"], "src", "value").withColumn("src", F.concat(F.lit("windows."), "src"))
     rows = panel.unionByName(w.select(*panel.columns))
-    return rolling.daily_amounts(rows, ["src", "code"], "date", "value", ["market"], "loaded_at")
+    return rolling.daily_amounts(rows, ["src", "code"], "date", "value", ["market"], "loaded_at", block_days=BLOCK_DAYS)
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.State(spark, ["src", "code"], block_days=BLOCK_DAYS).replay(_amounts(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    state = rolling.rolling_state(_amounts(spark, d), ["src", "code"])
     kinds = F.array_compact(
         F.array(
             F.when(F.col("nz7") == 0, F.lit("silent7")),
@@ -58,11 +64,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
             F.when((F.col("src") == "panel.value") & (F.col("sum7") * 10 > F.col("sum30") * 7), F.lit("burst")),
         )
     )
-    return state.filter(F.datediff("day", "first_day") >= 29).select("src", "code", F.col("day").cast("string").alias("day"), F.explode(kinds).alias("kind"))
+    return _state(spark, d).filter(F.datediff("day", "first_day") >= 29).select("src", "code", F.col("day").cast("string").alias("day"), F.explode(kinds).alias("kind"))
 
 
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
-    state = rolling.averages(rolling.rolling_state(_amounts(spark, d), ["src", "code"]))
+    state = rolling.averages(_state(spark, d))
     exact = [F.round(F.col(c).cast("double"), 9).alias(c) for c in ("sum7", "sum30", "avg7", "avg30", "mean7", "mean30")]
     return state.select("src", "code", F.col("day").cast("string").alias("day"), "n7", "nz7", "n30", "nz30", *exact)
 

@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from boardlens import session
 from boardlens.operators import intervals, redelivery, rolling
 from boardlens.sources import csv_lines, drift
 
@@ -106,6 +107,43 @@ def test_advance_and_correct_reach_the_same_state(spark, amounts):
     assert sorted(map(tuple, fixed.select("day", *cols).collect())) == sorted(map(tuple, both.filter("version = 1").select("day", *cols).collect()))
 
 
+@pytest.mark.parametrize("block_days", [1, 32, 64])
+def test_state_by_blocks(spark, amounts, block_days):
+    rows = [x for x in amounts[0] if block_days > 1 or x[1] < dt.date(2023, 1, 12)]
+    df = spark.createDataFrame(rows, "code string, date date, value double, at timestamp")
+    a = rolling.daily_amounts(df, ["code"], "date", "value", arrived="at", block_days=block_days)
+    kept = rolling.State(spark, ["code"], block_days=block_days, buckets=3)
+    got = kept.replay(a)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for n in (7, 30):
+        assert {(r.code, r.day): (r[f"sum{n}"], r[f"n{n}"], r[f"nz{n}"], r.first_day) for r in got.collect()} == _brute(rows, n)
+    close = lambda d: ((d - dt.date(1970, 1, 1)).days // block_days + 1) * block_days - 1
+    late = {(c, d) for c, d, _, at in rows if (at.date() - dt.date(1970, 1, 1)).days - close(d) > 1}
+    assert {(r.code, r.day) for r in got.collect() if r.version == 1} == {(r.code, r.day) for r in got.collect() if any((r.code, r.day - dt.timedelta(days=k)) in late for k in range(30))}
+    assert late
+    session.drop_table(spark, f"{kept.name}_states")
+
+
+def test_steps_join_without_a_shuffle(spark, amounts):
+    kept = rolling.State(spark, ["code"], block_days=64, buckets=3)
+    kept._append(kept.arrivals(amounts[1]), "arrived_once")
+    arrived, plans = spark.table("arrived_once"), []
+    note = lambda rows, table: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), rolling.State._append(kept, rows, table))
+    kept._append = note
+    first, last = arrived.agg(F.min("block"), F.max("block")).first()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for b in range(first, last + 1):
+            kept.step(arrived, f"{kept.name}_states", b, b == first)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans[-1].count("SortMergeJoin") == 3 and "Exchange" not in plans[-1]
+    for t in ("arrived_once", f"{kept.name}_states"):
+        session.drop_table(spark, t)
+
+
 def test_tiny_and_huge_figures_count(spark):
     values = [1e-9, -1e-300, 1e22, 0.0, -0.0, float("inf"), float("nan"), None, 2.5]
     df = spark.createDataFrame([(str(i), dt.date(2023, 1, 1), v) for i, v in enumerate(values)], "code string, date date, value double")
@@ -119,6 +157,7 @@ def test_tiny_and_huge_figures_count(spark):
 def test_rolling_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None, dt.date(2023, 1, 1), 1.0), ("a", None, 1.0)], "code string, date date, value double")
     assert rolling.rolling_state(rolling.daily_amounts(df, ["code"], "date", "value"), ["code"]).count() == 0
+    assert rolling.State(spark, ["code"]).replay(rolling.daily_amounts(df, ["code"], "date", "value")).count() == 0
 
 
 # intervals
