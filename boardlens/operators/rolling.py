@@ -9,6 +9,7 @@ and number of corrections gives the same state.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ def block_of(day: Column, block_days: int) -> Column:
     return F.floor(F.unix_date(day) / F.lit(block_days)).cast("int")
 
 
-def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, identity: Sequence[str] = (), arrived: str | None = None, late_days: int = 1, block_days: int = 1) -> DataFrame:
+def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, identity: Sequence[str] = (), arrived: str | None = None, late_days: int = 1, block_days: int = 1, buckets: int | None = None) -> DataFrame:
     """(keys, day, sum, n, nz, late_sum, late_n, late_nz, late): one row per key and day.
 
     Rows that agree in keys, identity and day are repeats and count once, at their first arrival.
@@ -37,8 +38,9 @@ def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, id
     of block_days days, late tells whether any row did. A null, NaN or infinite value is no figure, but the day is still one with a row.
     n and nz count the values as they are; only the sums are of decimals. A figure that fits no
     decimal, from 1e32 on, is an error, as no total could hold it.
-    Rows with a null key or day are no amounts. Both aggregations combine before they shuffle, on
-    keys that hold the day, so that no key makes a large partition.
+    Rows with a null key or day are no amounts. Repeats combine before they shuffle, on keys that
+    hold the day, so that no key makes a large partition. What is left of a key are its days;
+    with buckets they are brought together by key, in that number of partitions, as State keeps them.
     """
     x = F.col(f"`{value}`").try_cast("double")
     finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
@@ -48,6 +50,8 @@ def daily_amounts(rows: DataFrame, keys: Sequence[str], day: str, value: str, id
     for c in (*keys, "day"):
         src = src.filter(F.col(f"`{c}`").isNotNull())
     once = src.groupBy(*keys, *[f"__i{i}" for i in range(len(identity))], "day").agg(F.max("__x").alias("__x"), F.max("__v").alias("__v"), F.min("__at").alias("__at"))
+    if buckets:
+        once = once.repartition(buckets, *keys)
     close = F.date_from_unix_date((block_of(F.col("day"), block_days) + 1) * block_days - 1)
     once = once.withColumn("__late", F.coalesce(F.datediff(F.col("__at").cast("date"), close) > late_days, F.lit(False)))
     x, v, late = F.col("__x"), F.col("__v"), F.col("__late")
@@ -103,33 +107,24 @@ def rolling_state(amounts: DataFrame, keys: Sequence[str], periods: Sequence[int
     return state.select(*keys, "day", "first_day", F.col("__touched").cast("int").alias("version"), *version(1))
 
 
-def advance(yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """The states of a block of days out of the state of the day before it.
+def advance(days: DataFrame, yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The states of successive days out of the state of the day before the first.
 
-    yesterday: rows of a state, one per key; arrivals: (keys, first_day, days), days being the
-    amounts (day, sum, n, nz) of the block's days from the key's first on, in order and without a
-    break; expiring: for each n such rows of the amounts n days earlier. Three joins by key, one
-    row per key each; then every day's totals are the day's before, and what arrives, less what
-    expires. A key's state starts with its first arrival; a key without arrivals has ended.
+    days: (keys, first_day, day, block), the days to make, without a break for each key; yesterday: one
+    state a key; arrivals: (keys, day, sum, n, nz) of those days; expiring: for each n the amounts
+    of n days earlier. Joined by key and day, every day's totals are the day's before, and what
+    arrives, less what expires. With one day this is advance_day.
     """
-    periods = sorted(expiring)
-    s = arrivals.select(*keys, "first_day", "days").join(yesterday.select(*keys, *[F.col(f"{p}{n}").alias(f"__was_{p}{n}") for n in periods for p in PARTS]), list(keys), "left")
+    periods, at = sorted(expiring), [*keys, "day"]
+    zero = lambda c, p: F.coalesce(F.col(c), F.lit(0).cast(KIND[p]))
+    s = days.join(arrivals.select(*at, *[F.col(p).alias(f"__in_{p}") for p in PARTS]).hint("shuffle_hash"), at, "left")
     for n in periods:
-        s = s.join(expiring[n].select(*keys, F.col("days").alias(f"__out{n}")), list(keys), "left")
-    start = F.col("days")[0]["day"]
-
-    def aligned(n: int) -> Column:
-        # element i of what this gives expires with element i of days
-        out, apart = F.col(f"__out{n}"), F.datediff(start, F.col(f"__out{n}")[0]["day"]) - n
-        none = F.array_repeat(F.lit(None).cast(s.schema[f"__out{n}"].dataType.elementType), F.greatest(-apart, F.lit(0)))
-        return F.coalesce(F.slice(F.concat(none, out), F.greatest(apart, F.lit(0)) + 1, F.size("days")), F.array())
-
-    s = s.select(*keys, "first_day", *[f"__was_{p}{n}" for n in periods for p in PARTS], F.inline(F.arrays_zip(F.col("days").alias("__in"), *[aligned(n).alias(f"__out{n}") for n in periods])))
-    change = lambda p, n: (F.col("__in")[p] - F.coalesce(F.col(f"__out{n}")[p], F.lit(0).cast(KIND[p]))).cast(KIND[p]).alias(f"__{p}{n}")
-    moved = s.select(*keys, F.col("__in.day").alias("day"), "first_day", *[f"__was_{p}{n}" for n in periods for p in PARTS], *[change(p, n) for n in periods for p in PARTS])
+        s = s.join(expiring[n].select(*keys, F.date_add("day", n).alias("day"), *[F.col(p).alias(f"__out_{p}{n}") for p in PARTS]).hint("shuffle_hash"), at, "left")
+    s = s.join(yesterday.select(*keys, *[F.col(f"{p}{n}").alias(f"__was_{p}{n}") for n in periods for p in PARTS]).hint("shuffle_hash"), list(keys), "left")
+    s = s.select(*at, "first_day", "block", *[f"__was_{p}{n}" for n in periods for p in PARTS], *[(zero(f"__in_{p}", p) - zero(f"__out_{p}{n}", p)).cast(KIND[p]).alias(f"__{p}{n}") for n in periods for p in PARTS])
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda p, n: (F.coalesce(F.col(f"__was_{p}{n}"), F.lit(0).cast(KIND[p])) + F.sum(f"__{p}{n}").over(w)).cast(KIND[p]).alias(f"{p}{n}")
-    return moved.select(*keys, "day", "first_day", F.lit(0).alias("version"), *[total(p, n) for n in periods for p in PARTS])
+    total = lambda p, n: (zero(f"__was_{p}{n}", p) + F.sum(f"__{p}{n}").over(w)).cast(KIND[p]).alias(f"{p}{n}")
+    return s.select(*at, "first_day", F.lit(0).alias("version"), *[total(p, n) for n in periods for p in PARTS], "block")
 
 
 def advance_day(yesterday: DataFrame, arrivals: DataFrame, expiring: dict[int, DataFrame], keys: Sequence[str], day: str) -> DataFrame:
@@ -157,23 +152,22 @@ def correct(state: DataFrame, late: DataFrame, keys: Sequence[str], periods: Seq
     """New versions of the dates that late rows belong to, to be appended to state.
 
     state: one row per key and day, the newest version; late: (keys, day, sum, n, nz), changes of
-    amounts of days within the state. A key's changes, one a day at most, meet its state in one
-    join by key, for which a state bucketed by key isn't shuffled; each reaches the dates up to
-    max(periods) - 1 days on.
+    amounts of days within the state. Each change reaches the dates up to max(periods) - 1 days on;
+    they are summed per key and date before they meet the state.
     """
-    per_day = late.groupBy(*keys, "day").agg(*[F.sum(p).cast(KIND[p]).alias(p) for p in PARTS])
-    per_key = per_day.groupBy(*keys).agg(F.collect_list(F.struct("day", *PARTS)).alias("__late"))
-    widest, day = max(periods), F.col("day")
-    age = lambda x: F.datediff(day, x["day"])
-    hit = state.join(per_key, list(keys)).withColumn("__late", F.filter("__late", lambda x: age(x).between(0, widest - 1))).filter(F.size("__late") > 0)
-    change = lambda p, n: F.aggregate(F.filter("__late", lambda x: age(x) < n), F.lit(0).cast(KIND[p]), lambda a, x: (a + x[p]).cast(KIND[p]))
-    return hit.select(*keys, "day", "first_day", (F.col("version") + 1).alias("version"), *[(F.col(f"{p}{n}") + change(p, n)).cast(KIND[p]).alias(f"{p}{n}") for n in periods for p in PARTS])
+    widest = max(periods)
+    reach = late.select(*keys, *PARTS, F.col("day").alias("__d"), F.explode(F.expr(f"sequence(day, date_add(day, {widest - 1}))")).alias("day"))
+    age = F.datediff("day", "__d")
+    change = reach.groupBy(*keys, "day").agg(*[F.coalesce(F.sum(F.when(age < n, F.col(p))), F.lit(0)).alias(f"__{p}{n}") for n in periods for p in PARTS])
+    new = {f"{p}{n}": (F.col(f"{p}{n}") + F.col(f"__{p}{n}")).cast(KIND[p]) for n in periods for p in PARTS} | {"version": F.col("version") + 1}
+    return state.join(change.hint("shuffle_hash"), [*keys, "day"]).select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])
 
 
 def newest(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of each key and day the newest version."""
-    last = F.max("version").over(Window.partitionBy(*keys, "day"))
-    return state.withColumn("__last", last).filter("version = __last").drop("__last")
+    """Of each key and day the newest version: the rows that no corrected one comes after."""
+    later = state.filter("version > 0").select(*[F.col(c).alias(f"__{c}") for c in (*keys, "day", "version")])
+    same = functools.reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in (*keys, "day")])
+    return state.join(later.hint("shuffle_hash"), same & (F.col("version") < F.col("__version")), "left_anti")
 
 
 @dataclass
@@ -182,9 +176,10 @@ class State:
 
     A block of days is advanced once it is over, with the rows that had arrived by then; rows
     that arrive later are corrections, which give new versions of the dates they reach. Amounts
-    and states are tables bucketed by key, so that neither the joins of a step nor the reading of
-    the newest versions shuffles. Blocks of one day are the daily job; a backfill takes long ones,
-    as each block is a job of its own.
+    and states are tables bucketed by key. The session of its own that reads them lets a join by
+    key and day keep that partitioning, so that neither a step nor the reading of the newest
+    versions shuffles; what is hashed in memory are a bucket's rows of one block. Blocks of one day are the daily job; a backfill takes long ones, as each
+    block is a job of its own.
     """
 
     spark: SparkSession
@@ -196,67 +191,75 @@ class State:
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = shared_dir(self.spark)
+        self.own = self.spark.newSession()
+        self.own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold"):
+            self.own.conf.set(k, self.spark.conf.get(k))
 
-    def _append(self, rows: DataFrame, table: str) -> None:
-        order = [c for c in ("day",) if c in rows.columns]
-        rows.write.mode("append").partitionBy("block").bucketBy(self.buckets, *self.keys).sortBy(*self.keys, *order).option("path", f"{shared_dir(self.spark)}/{table}").option("compression", "zstd").saveAsTable(table)
-
-    def arrivals(self, amounts: DataFrame) -> DataFrame:
-        """(keys, block, first_day, days, late): per key and block of days the amounts that came in time, for each calendar day of the key in it, and those that came late."""
-        k = list(self.keys)
-        dense = _dense(amounts.repartition(self.buckets, *k), k)
-        late = F.when(F.col("late"), F.struct("day", *[F.col(f"late_{p}").alias(p) for p in PARTS]))
-        return dense.groupBy(*k, block_of(F.col("day"), self.block_days).alias("block")).agg(F.first("first_day").alias("first_day"), F.sort_array(F.collect_list(F.struct("day", *PARTS))).alias("days"), F.collect_list(late).alias("late"))
-
-    def _between(self, arrived: DataFrame, first: int, last: int, what: str) -> DataFrame:
-        """(keys, what): the days or late amounts of blocks first .. last as one array per key, in order."""
-        some = arrived.filter(F.col("block").between(first, last))
-        if first == last:
-            return some.select(*self.keys, what)
-        parts = F.sort_array(F.collect_list(F.struct("block", what)))
-        return some.groupBy(*self.keys).agg(F.flatten(F.transform(parts, lambda x: x[what])).alias(what))
+    def append(self, rows: DataFrame, table: str) -> None:
+        """rows, already partitioned by key into `buckets`, as files of table, a folder for each block."""
+        by = rows.write.mode("append").partitionBy("block") if "block" in rows.columns else rows.write.mode("append")
+        by.bucketBy(self.buckets, *self.keys).option("path", f"{self.folder}/{table}").option("compression", "zstd").saveAsTable(table)
 
     def replay(self, amounts: DataFrame) -> DataFrame:
-        """All blocks of amounts (of daily_amounts with this block_days) one after the other, and the newest versions.
+        """All blocks of amounts (of daily_amounts with these block_days and buckets) one after the other, and the newest versions.
 
-        The table of states stays in the shared folder, as a checkpoint does; that of amounts and,
-        after a failure, both are dropped.
+        The table of states stays in the shared folder, as a checkpoint does; the others and, after
+        a failure, all are dropped.
         """
-        a, s = f"{self.name}_amounts", f"{self.name}_states"
+        a, s, e = f"{self.name}_amounts", f"{self.name}_states", f"{self.name}_ends"
         try:
-            self._append(self.arrivals(amounts), a)
-            arrived = self.spark.table(a)
-            first, last = arrived.agg(F.min("block"), F.max("block")).first()
+            self.append(amounts.withColumn("block", block_of(F.col("day"), self.block_days)), a)
+            arrived = self.own.table(a)
+            self.append(self.spans(arrived), e)
+            spans = self.own.table(e)
+            first, last = spans.agg(F.min("block"), F.max("block")).first()
             if first is None:
-                empty = arrived.select(*self.keys, F.lit(None).cast("date").alias("day"), "first_day", F.lit(0).alias("version"), *[F.lit(None).cast(KIND[p]).alias(f"{p}{n}") for n in self.periods for p in PARTS], "block")
-                self._append(empty, s)
-                return self.spark.table(s).drop("block")
-            back = -(-max(self.periods) // self.block_days)
-            reached = {r[0] + i for r in arrived.filter(F.size("late") > 0).select("block").distinct().collect() for i in range(back + 1)}  # numbers of blocks
+                return self.own.createDataFrame([], self._schema(amounts))
+            back = -(-(max(self.periods) - 1) // self.block_days)
+            reached = {r[0] + i for r in arrived.filter("late").select("block").distinct().collect() for i in range(back + 1)}  # numbers of blocks
             for b in range(first, last + 1):
-                self.step(arrived, s, b, b == first)
+                self.step(arrived, spans, s, b, b == first)
                 if b in reached:
-                    now = self.spark.table(s).filter(f"block = {b} and version = 0")
-                    late = self._between(arrived, b - back, b, "late").select(*self.keys, F.inline("late"))
-                    self._append(correct(now, late, self.keys, self.periods).withColumn("block", F.lit(b)), s)
-            return newest(self.spark.table(s).drop("block"), self.keys)
+                    late = arrived.filter(F.col("block").between(b - back, b) & F.col("late")).select(*self.keys, "day", *[F.col(f"late_{p}").alias(p) for p in PARTS])
+                    now = self.own.table(s).filter(F.col("block") == b).filter("version = 0")
+                    self.append(correct(now, late, self.keys, self.periods), s)
+            return newest(self.own.table(s).drop("block"), self.keys)
         except Exception:
             drop_table(self.spark, s)
             raise
         finally:
             drop_table(self.spark, a)
+            drop_table(self.spark, e)
+
+    def _schema(self, amounts: DataFrame) -> str:
+        kinds = dict(amounts.dtypes)
+        return ", ".join([*[f"`{k}` {kinds[k]}" for k in self.keys], "day date, first_day date, version int", *[f"{p}{n} {KIND[p]}" for n in self.periods for p in PARTS]])
+
+    def spans(self, arrived: DataFrame) -> DataFrame:
+        """(keys, first_day, from_day, to_day, block): the days each key has in each block, from its first to its last."""
+        ends = arrived.groupBy(*self.keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+        each = ends.withColumn("block", F.explode(F.sequence(block_of(F.col("first_day"), self.block_days), block_of(F.col("last_day"), self.block_days))))
+        begin = F.date_from_unix_date(F.col("block") * self.block_days)
+        return each.select(*self.keys, "first_day", F.greatest("first_day", begin).alias("from_day"), F.least("last_day", F.date_add(begin, self.block_days - 1)).alias("to_day"), "block")
 
-    def step(self, arrived: DataFrame, states: str, b: int, first: bool) -> None:
-        """Block b: yesterday's totals from the table, joined with what arrives and what expires."""
-        begin = b * self.block_days
-        own = arrived.filter(F.col("block") == b)
+    def step(self, arrived: DataFrame, spans: DataFrame, states: str, b: int, first: bool) -> None:
+        """Block b: yesterday's totals from the table, joined with what arrives and what expires.
+
+        Which block it is, only the choice of folders says, so that each step runs the code
+        compiled for the one before: a row's own block tells the rest, and of the two blocks that
+        amounts expire from, those that do in b are the ones whose block then is as even as b.
+        """
+        k, size = list(self.keys), self.block_days
+        days = spans.filter(F.col("block") == b).select(*k, "first_day", "block", F.explode(F.sequence("from_day", "to_day")).alias("day"))
         if first:
-            zero = [F.lit(0).cast(KIND[p]).alias(f"{p}{n}") for n in self.periods for p in PARTS]
-            yesterday = own.select(*self.keys, *zero).filter("false")
+            yesterday = spans.filter(F.col("block") == b).select(*k, *[F.lit(None).cast(KIND[p]).alias(f"{p}{n}") for n in self.periods for p in PARTS])
         else:
-            yesterday = self.spark.table(states).filter(F.col("block") == b - 1).filter((F.col("version") == 0) & (F.col("day") == F.date_from_unix_date(F.lit(begin - 1))))
-        expiring = {n: self._between(arrived, (begin - n) // self.block_days, (begin + self.block_days - 1 - n) // self.block_days, "days") for n in self.periods}
-        self._append(advance(yesterday, own, expiring, self.keys).withColumn("block", F.lit(b)), states)
+            yesterday = self.own.table(states).filter(F.col("block") == b - 1).filter((F.col("version") == 0) & (F.unix_date("day") == (F.col("block") + 1) * size - 1))
+        some = lambda n: arrived.filter(F.col("block").between(b + -n // size, b + (size - 1 - n) // size))
+        expiring = {n: some(n).filter(F.pmod(block_of(F.date_add("day", n), size), F.lit(2)) == b % 2) for n in self.periods}
+        self.append(advance(days, yesterday, arrived.filter(F.col("block") == b), expiring, k), states)
 
 
 def averages(state: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFrame:

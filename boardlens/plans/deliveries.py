@@ -44,16 +44,17 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("delivery_id", F.trim("newsid").alias("newsid"), "publishat", "title", F.size(F.coalesce("stock", F.expr("cast(array() as array<string>)"))).alias("n_stock"))
 
 
-def _amounts(spark: SparkSession, d: str) -> DataFrame:
+def _amounts(spark: SparkSession, d: str, buckets: int) -> DataFrame:
     panel = table(spark, d, "panel").select(F.lit("panel.value").alias("src"), "code", "date", "market", "value", "loaded_at")
     w = table(spark, d, "windows").select("code", "date", F.lit("").alias("market"), "ptt_base", "pre_abn", "loaded_at")
     w = w.unpivot(["code", "date", "market", "loaded_at"], ["ptt_base", "pre_abn"], "src", "value").withColumn("src", F.concat(F.lit("windows."), "src"))
     rows = panel.unionByName(w.select(*panel.columns))
-    return rolling.daily_amounts(rows, ["src", "code"], "date", "value", ["market"], "loaded_at", block_days=BLOCK_DAYS)
+    return rolling.daily_amounts(rows, ["code", "src"], "date", "value", ["market"], "loaded_at", block_days=BLOCK_DAYS, buckets=buckets)
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    return rolling.State(spark, ["src", "code"], block_days=BLOCK_DAYS).replay(_amounts(spark, d))
+    state = rolling.State(spark, ["code", "src"], block_days=BLOCK_DAYS)
+    return state.replay(_amounts(spark, d, state.buckets))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a local process without a named one.
+_OWN: dict[str, str] = {}
+
+
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -32,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a local session gets a temporary folder of its own; a cluster is refused,
     as a folder of one machine would lose data there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
@@ -41,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="boardlens-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
+    _OWN["dir"] = own
     spark.sparkContext.setCheckpointDir(own)
     return own
 

@@ -111,7 +111,7 @@ def test_advance_and_correct_reach_the_same_state(spark, amounts):
 def test_state_by_blocks(spark, amounts, block_days):
     rows = [x for x in amounts[0] if block_days > 1 or x[1] < dt.date(2023, 1, 12)]
     df = spark.createDataFrame(rows, "code string, date date, value double, at timestamp")
-    a = rolling.daily_amounts(df, ["code"], "date", "value", arrived="at", block_days=block_days)
+    a = rolling.daily_amounts(df, ["code"], "date", "value", arrived="at", block_days=block_days, buckets=3)
     kept = rolling.State(spark, ["code"], block_days=block_days, buckets=3)
     got = kept.replay(a)
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -126,22 +126,15 @@ def test_state_by_blocks(spark, amounts, block_days):
 
 
 def test_steps_join_without_a_shuffle(spark, amounts):
+    df = spark.createDataFrame(amounts[0], "code string, date date, value double, at timestamp")
     kept = rolling.State(spark, ["code"], block_days=64, buckets=3)
-    kept._append(kept.arrivals(amounts[1]), "arrived_once")
-    arrived, plans = spark.table("arrived_once"), []
-    note = lambda rows, table: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), rolling.State._append(kept, rows, table))
-    kept._append = note
-    first, last = arrived.agg(F.min("block"), F.max("block")).first()
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        for b in range(first, last + 1):
-            kept.step(arrived, f"{kept.name}_states", b, b == first)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert plans[-1].count("SortMergeJoin") == 3 and "Exchange" not in plans[-1]
-    for t in ("arrived_once", f"{kept.name}_states"):
-        session.drop_table(spark, t)
+    kept.own.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plans, append = [], kept.append
+    kept.append = lambda rows, table: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), append(rows, table))
+    kept.replay(rolling.daily_amounts(df, ["code"], "date", "value", arrived="at", block_days=64, buckets=3))
+    assert len(plans) == 6
+    assert all(p.count("ShuffledHashJoin") == n and "Exchange" not in p for p, n in zip(plans[2:], [4, 1, 4, 1], strict=True))
+    session.drop_table(spark, f"{kept.name}_states")
 
 
 def test_tiny_and_huge_figures_count(spark):
