@@ -9,6 +9,7 @@ into larger ones as they grow in number.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,13 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm.hashing import LONGEST, Hashes, code_points, window_minima
-from boardlens.session import cut, shared_dir
+from boardlens.session import cut, drop_table, shared_dir
 
 #: Code points hashed at a time.
 CHUNK = 4_000_000
 #: Windows of one hash in a run beyond which its rows are told apart by longer windows before they are paired.
 HOT = 200
 FINGERPRINT = "hash bigint, link bigint, doc bigint, pos int"
+SURROUNDINGS = ", around bigint, lead int, tail int"
 
 
 @dataclass(frozen=True)
@@ -48,19 +50,21 @@ class Windows:
         return self.least - self.gram
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, w: Windows) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str, text: str, w: Windows, surroundings: bool = False) -> DataFrame:
     """(hash, link, doc, pos): the chosen windows of each text.
 
     link is the hash of the stretch from the window chosen before to the end of this one, 0 for a
     text's first: two texts that agree in hash and link agreed in the window before as well.
+    With surroundings there are also lead and tail, how many characters a stretch of `least` that
+    holds the window can reach before and after it, and around, the hash of all of that.
     """
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.col("k").isNotNull() & (F.char_length("t") >= w.least))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, offset, points in _chunks(batches):
-            yield _chosen(ids, offset, points, w)
+            yield _chosen(ids, offset, points, w, surroundings)
 
-    return src.mapInArrow(choose, FINGERPRINT)
+    return src.mapInArrow(choose, FINGERPRINT + (SURROUNDINGS if surroundings else ""))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,7 +83,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 size += len(p)
 
 
-def _chosen(ids: np.ndarray, offset: np.ndarray, points: np.ndarray, w: Windows) -> pa.RecordBatch:
+def _chosen(ids: np.ndarray, offset: np.ndarray, points: np.ndarray, w: Windows, surroundings: bool) -> pa.RecordBatch:
     h = Hashes(points)
     grams = h.grams(w.gram)
     pos = np.concatenate([*_local_minima(grams, offset, w)]) if len(grams) else np.zeros(0, dtype=np.int64)
@@ -87,7 +91,11 @@ def _chosen(ids: np.ndarray, offset: np.ndarray, points: np.ndarray, w: Windows)
     before = np.concatenate(([0], pos[:-1]))
     follows = np.concatenate(([False], doc[1:] == doc[:-1])) if len(doc) else np.zeros(0, dtype=bool)
     link = np.where(follows, h.of(before, pos + w.gram), np.uint64(0)).astype(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(link.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array((pos - offset[doc]).astype(np.int32))], names=["hash", "link", "doc", "pos"])
+    cols = {"hash": grams[pos].view(np.int64), "link": link.view(np.int64), "doc": ids[doc].astype(np.int64), "pos": (pos - offset[doc]).astype(np.int32)}
+    if surroundings:
+        first, last = np.maximum(pos - w.side, offset[doc]), np.minimum(pos + w.least, offset[doc + 1])
+        cols |= {"around": h.of(first, last).view(np.int64), "lead": (pos - first).astype(np.int32), "tail": (last - pos - w.gram).astype(np.int32)}
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], names=list(cols))
 
 
 def _local_minima(grams: np.ndarray, offset: np.ndarray, w: Windows) -> Iterator[np.ndarray]:
@@ -113,29 +121,44 @@ class Index:
     windows: Windows = field(default_factory=Windows)
     buckets: int = 12
     fanout: int = 3
+    surroundings: bool = False
     runs: list[str] = field(default_factory=list)
     hot: list[str] = field(default_factory=list)
+    met: list[str] = field(default_factory=list)
+
+    def __enter__(self) -> Index:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def _write(self, rows: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}"
         rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
-    def _drop(self, name: str) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
-        self.spark.sql(f"drop table if exists {name}")
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def _run(self, docs: DataFrame, key: str, text: str) -> tuple[str, DataFrame]:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        return name, self._write(fingerprints(docs, key, text, self.windows, self.surroundings), name)
+
+    def _append(self, name: str) -> None:
+        self.runs.append(name)
+        if len(self.runs) > self.fanout:
+            self.compact()
 
     def add(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """The batch docs as a new run; the pairs of windows (doc_a, pos_a, doc_b, pos_b), doc_a < doc_b, that it shares with itself and the runs before.
 
-        Of windows that follow each other in both texts only the first is a pair. Hashes that a
-        run holds more than HOT times are left to hot_pairs.
+        Of windows that follow each other in both texts only the first is a pair. Hashes that all
+        runs together hold more than HOT times are left to hot_doc_pairs.
         """
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        new = self._write(fingerprints(docs, key, text, self.windows), name)
+        name, new = self._run(docs, key, text)
         many = f"{name}_hot"
-        self._write(new.groupBy("hash").count().filter(F.col("count") > HOT).select("hash"), many)
+        count = new.groupBy("hash").count()
+        for i, old in enumerate(self.runs):
+            count = count.join(self.spark.table(old).groupBy("hash").agg(F.count("*").alias(f"n{i}")).hint("merge"), "hash", "left")
+        total = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(self.runs))), F.col("count"))
+        self._write(count.filter(total > HOT).select("hash"), many)
         self.hot.append(many)
         new = self._cold(new)
         pairs = _pairs(new, new).filter("doc_a < doc_b")
@@ -145,43 +168,44 @@ class Index:
             swap = [F.when(turn, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("doc", "pos")]
             pairs = pairs.unionByName(met.select(*swap))
         pairs = cut(pairs)
-        self.runs.append(name)
-        if len(self.runs) > self.fanout:
-            self.compact()
+        self._append(name)
         return pairs
 
+    def meet(self, docs: DataFrame, key: str, text: str) -> None:
+        """The batch docs as a new run, with note taken of the hashes that stand in two documents since, of the batch or of the runs before: no pair is formed."""
+        name, new = self._run(docs, key, text)
+        ends = lambda run, a, b: run.groupBy("hash").agg(F.min("doc").alias(a), F.max("doc").alias(b))
+        mine = ends(new, "a", "b")
+        met = mine.filter("a != b").select("hash")
+        for old in self.runs:
+            met = met.unionByName(mine.join(ends(self.spark.table(old), "c", "d").hint("merge"), "hash").filter("a != c or a != d or b != c").select("hash"))
+        self._write(met.distinct(), f"{name}_met")
+        self.met.append(f"{name}_met")
+        self._append(name)
+
     def _cold(self, run: DataFrame) -> DataFrame:
         for many in self.hot:
             run = run.join(self.spark.table(many), "hash", "left_anti")
         return run
 
-    def hot_rows(self) -> DataFrame:
-        """The fingerprints of all runs whose hash is hot in any of them."""
-        hot = self.spark.table(self.hot[0])
-        for many in self.hot[1:]:
-            hot = hot.unionByName(self.spark.table(many))
-        hot = hot.distinct()
-        rows = [self.spark.table(r).join(hot, "hash", "left_semi") for r in self.runs]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out
+    def rows_of(self, tables: list[str]) -> DataFrame:
+        """The fingerprints of all runs whose hash is in any of tables."""
+        some = functools.reduce(DataFrame.unionByName, map(self.spark.table, tables)).distinct()
+        return functools.reduce(DataFrame.unionByName, [self.spark.table(r).join(some, "hash", "left_semi") for r in self.runs])
 
     def compact(self) -> None:
         """All runs as one."""
-        rows = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(r))
+        rows = functools.reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
         name = f"fingerprints_{uuid.uuid4().hex}"
         self._write(rows, name)
         for r in self.runs:
-            self._drop(r)
+            drop_table(self.spark, r)
         self.runs = [name]
 
     def close(self) -> None:
-        for name in (*self.runs, *self.hot):
-            self._drop(name)
-        self.runs, self.hot = [], []
+        for name in (*self.runs, *self.hot, *self.met):
+            drop_table(self.spark, name)
+        self.runs, self.hot, self.met = [], [], []
 
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -203,23 +227,6 @@ def _window_at(j: Column, around: Column, lead: Column, w: Windows) -> Column:
     return F.when((j >= lead) & (j - lead + w.least <= F.char_length(around)), F.substring(around, j - lead + 1, F.lit(w.least)))
 
 
-def hot_pairs(index: Index, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of windows with hot hashes that share a stretch of `least`, through equal windows of that length.
-
-    A boilerplate shorter than `least` in a third of all texts would make pairs of them all that
-    come to nothing. Each row is told apart by the windows of `least` that hold its gram, so that
-    only rows that do share one meet.
-    """
-    w = index.windows
-    near = _around(index.hot_rows(), docs, key, text, w)
-    js = near.select("hash", "link", "doc", "pos", "around", "lead", F.explode(F.sequence(F.lit(0), F.lit(w.side))).alias("j"))
-    longer = js.select("hash", "link", "doc", "pos", "j", F.xxhash64(_window_at(F.col("j"), F.col("around"), F.col("lead"), w)).alias("long"), F.coalesce(F.xxhash64(F.when(F.col("j") > 0, _window_at(F.col("j") - 1, F.col("around"), F.col("lead"), w))), F.lit(0)).alias("longer_before"), _window_at(F.col("j"), F.col("around"), F.col("lead"), w).isNotNull().alias("full")).filter("full")
-    x, y = (longer.select("hash", "j", "long", *[F.col(c).alias(f"{c}_{s}") for c in ("link", "doc", "pos", "longer_before")]) for s in "ab")
-    nothing = F.xxhash64(F.lit(None).cast("string"))
-    first = (F.col("longer_before_a") != F.col("longer_before_b")) | (F.col("longer_before_a") == nothing)
-    return x.join(y, ["hash", "j", "long"]).filter("doc_a < doc_b and (link_a != link_b or link_a = 0)").filter(first).select("doc_a", "pos_a", "doc_b", "pos_b")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, w: Windows) -> DataFrame:
     """The pairs of windows around which both texts agree in `least` code points, character by character."""
     pairs = pairs.distinct()
@@ -237,91 +244,117 @@ def hot_doc_pairs(index: Index, docs: DataFrame, key: str, text: str) -> DataFra
     Windows of `least` that stand in the same documents say the same of them: of each set of
     documents one window is kept, told by two sums over its members, so that a copied text makes
     each pair once however long it is, and a run of one character once however often it holds
-    itself.
+    itself. Each member's window is compared with that of the set's first, character by character.
     """
     w = index.windows
-    near = _around(index.hot_rows().select("doc", "pos").distinct(), docs, key, text, w)
-    windows = near.select("doc", "around", "lead", F.explode(F.sequence(F.lit(0), F.lit(w.side))).alias("j")).select("doc", _window_at(F.col("j"), F.col("around"), F.col("lead"), w).alias("at")).filter("at is not null")
-    windows = cut(windows.select("doc", F.xxhash64("at").alias("h1"), F.xxhash64(F.lit(1), "at").alias("h2")).distinct())
-    sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("s2")).filter("n > 1")
-    one = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.*")
-    members = windows.join(one, ["h1", "h2"])
-    a, b = (members.select("h1", "h2", F.col("doc").alias(f"doc_{x}")) for x in "ab")
+    near = _around(index.rows_of(index.hot).select("doc", "pos").distinct(), docs, key, text, w)
+    windows = near.select("doc", "pos", "around", "lead", F.explode(F.sequence(F.lit(0), F.lit(w.side))).alias("j")).select("doc", "pos", "j", _window_at(F.col("j"), F.col("around"), F.col("lead"), w).alias("at")).filter("at is not null")
+    where = F.col("pos").cast("bigint") * w.least + F.col("j")
+    windows = cut(windows.groupBy("doc", F.xxhash64("at").alias("h1"), F.xxhash64(F.lit(1), "at").alias("h2")).agg(F.min(where).alias("where")))
+    sets = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("s2"), F.min("doc").alias("first")).filter("n > 1")
+    one = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("h1", "h2", "first")).alias("h")).select("h.*")
+    members = windows.join(one, ["h1", "h2"]).select("h1", "h2", "first", "doc", F.floor(F.col("where") / w.least).cast("int").alias("pos"), (F.col("where") % w.least).alias("j"))
+    said = _around(members, docs, key, text, w).select("h1", "h2", "first", "doc", _window_at(F.col("j"), F.col("around"), F.col("lead"), w).alias("at"))
+    named = said.filter("doc = first").select("h1", "h2", F.col("at").alias("__at"))
+    equal = cut(said.join(named, ["h1", "h2"]).filter("at = __at").select("h1", "h2", "doc"))
+    a, b = (equal.select("h1", "h2", F.col("doc").alias(f"doc_{x}")) for x in "ab")
     return a.join(b, ["h1", "h2"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
-def _found(docs: DataFrame, key: str, text: str, least: int, batches: int, buckets: int | None, hot) -> tuple[DataFrame, DataFrame | None, Windows]:
-    """The pairs of windows that the batches find, and what hot makes of the index if any hash is hot."""
+def _index(docs: DataFrame, least: int, buckets: int | None, surroundings: bool = False) -> Index:
     spark = docs.sparkSession
-    index = Index(spark, Windows(least), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=2)
+    return Index(spark, Windows(least), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=2, surroundings=surroundings)
+
+
+def _batches(docs: DataFrame, key: str, batches: int) -> Iterator[DataFrame]:
     part = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("bigint")), F.lit(batches))
-    found = None
-    for b in range(batches):
-        pairs = index.add(docs.filter(part == b), key, text)
-        found = pairs if found is None else found.unionByName(pairs)
-    more = cut(hot(index, docs, key, text)) if any(not spark.table(h).isEmpty() for h in index.hot) else None
-    index.close()
-    return found, more, index.windows
+    return (docs.filter(part == b) for b in range(batches))
 
 
-def seeds(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
-    """(doc_a, pos_a, doc_b, pos_b), doc_a < doc_b: one or more windows of each stretch of at least `least` code points that two texts share.
+def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch of at least `least` code points.
 
     The documents go through the index in batches, as they would over time: what a batch finds are
     its pairs with itself and with all before. Stretches count exactly as written; within one
     document they don't count. Null and shorter texts share nothing; key is unique and bigint
     (rows that repeat a key are taken as one document). Extra columns are left out.
     """
-    found, more, w = _found(docs, key, text, least, batches, buckets, hot_pairs)
-    return verified(found if more is None else found.unionByName(more), docs, key, text, w)
+    with _index(docs, least, buckets) as index:
+        found = functools.reduce(DataFrame.unionByName, [index.add(b, key, text) for b in _batches(docs, key, batches)])
+        hot = cut(hot_doc_pairs(index, docs, key, text)) if any(not index.spark.table(h).isEmpty() for h in index.hot) else None
+    pairs = verified(found, docs, key, text, index.windows).select("doc_a", "doc_b")
+    return (pairs if hot is None else pairs.unionByName(hot)).distinct()
 
 
-def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch of at least `least` code points; on odd cases see seeds."""
-    found, more, w = _found(docs, key, text, least, batches, buckets, hot_doc_pairs)
-    pairs = verified(found, docs, key, text, w).select("doc_a", "doc_b")
-    return (pairs if more is None else pairs.unionByName(more)).distinct()
+_CLASS = ["hash", "around", "lead"]
 
 
-def shared_parts(docs: DataFrame, key: str, text: str, least: int = 100, **how: int) -> DataFrame:
-    """(key, chars, shared, share, spans): of each document how much of its text stands in another one too.
+def shared_parts(docs: DataFrame, key: str, text: str, least: int = 100, batches: int = 3, buckets: int | None = None) -> DataFrame:
+    """(key, chars, shared, share, spans): of each document how much of its text stands in another one too; on odd cases see sharing_pairs.
 
     spans are the stretches [start, end), in code points, merged where they overlap or touch; only
-    documents that share anything have a row. Each seed is extended as far as both texts agree.
+    documents that share anything have a row. No pairs are formed. Windows whose surroundings are
+    equal form a class; where a class stands in two documents, all that surrounds its windows is
+    shared, and each is set against one of another document: n copies make n links. Successive
+    links of two documents are one stretch, compared by the SHA-256 of its characters, taken where
+    either text is. Where a hash has several classes, one window of each is told apart by the
+    stretches of `least` around it, by their SHA-256 as well.
     """
     w = Windows(least)
-    src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("t")).filter("doc is not null and t is not null")
-    s = seeds(docs, key, text, least, **how)
-    both = s.join(src.select(F.col("doc").alias("doc_a"), F.col("t").alias("t_a")), "doc_a").join(src.select(F.col("doc").alias("doc_b"), F.col("t").alias("t_b")), "doc_b")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs_, starts, ends, sizes = [], [], [], []
-            for a, pa_, ta, c, pc, tc in zip(*[b.column(x).to_pylist() for x in ("doc_a", "pos_a", "t_a", "doc_b", "pos_b", "t_b")], strict=True):
-                x, y = code_points(ta), code_points(tc)
-                right = _agree(x[pa_:], y[pc:])
-                left = _agree(x[:pa_][::-1], y[:pc][::-1])
-                for d, p, n in ((a, pa_, len(x)), (c, pc, len(y))):
-                    docs_.append(d)
-                    starts.append(p - left)
-                    ends.append(p + right)
-                    sizes.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sizes, pa.int32())], names=["doc", "s", "e", "n"])
-
-    spans = both.mapInArrow(extend, "doc bigint, s int, e int, n int").filter(F.col("e") - F.col("s") >= w.least).distinct()
+    with _index(docs, least, buckets, surroundings=True) as index:
+        for b in _batches(docs, key, batches):
+            index.meet(b, key, text)
+        rows = cut(index.rows_of(index.met).drop("link").distinct())
+    place = F.struct("doc", "pos", "tail")
+    classes = cut(rows.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    links = _stretches(rows.join(classes.filter("first.doc != last.doc"), _CLASS), w)
+    links = cut(links)
+    own = links.select("doc", "s", "e").unionByName(links.select(F.col("other").alias("doc"), (F.col("s") + F.col("by")).alias("s"), (F.col("e") + F.col("by")).alias("e"))).distinct()
+    digests = cut(_text_of(own, docs, key, text).select("doc", "s", "e", "n", F.sha2("at", 256).alias("digest")))
+    theirs = digests.select(F.col("doc").alias("other"), F.col("s").alias("__s"), F.col("digest").alias("__digest"), F.col("e").alias("__e"))
+    met = links.withColumns({"__s": F.col("s") + F.col("by"), "__e": F.col("e") + F.col("by")}).join(digests, ["doc", "s", "e"]).join(theirs, ["other", "__s", "__e"])
+    met = cut(met.select("doc", "s", "e", "n", (F.col("digest") == F.col("__digest")).alias("equal")))
+    good = met.filter("equal").select("doc", "s", "e", "n")
+    unequal = met.filter("not equal")
+    if not unequal.isEmpty():  # equal hashes of different texts: their windows are looked at one by one
+        doubtful = rows.join(unequal.select("doc", "s", "e"), "doc").filter("pos >= s and pos < e").select("hash").distinct()
+        alone = rows.join(doubtful, "hash", "left_semi").select(*_CLASS, place.alias("first"), place.alias("last"))
+        classes = classes.join(doubtful, "hash", "left_anti").unionByName(alone)
+        several = classes.groupBy("hash").count().filter("count > 1").select("hash").unionByName(doubtful).distinct()
+    else:
+        several = classes.groupBy("hash").count().filter("count > 1").select("hash")
+    spans = good.unionByName(_parts_of_classes(classes.join(several, "hash", "left_semi"), rows, docs, key, text, w)).distinct()
     marked = spans.selectExpr("*", "case when s <= max(e) over (partition by doc order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh")
     runs = marked.selectExpr("*", "sum(fresh) over (partition by doc order by s, e rows unbounded preceding) as run").groupBy("doc", "n", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     total = runs.groupBy("doc", "n").agg(F.sum(F.col("e") - F.col("s")).alias("shared"), F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("spans"))
     return total.select(F.col("doc").alias(key), F.col("n").alias("chars"), "shared", (F.col("shared") / F.col("n")).alias("share"), "spans")
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> int:
-    """How many leading elements of both are equal."""
-    n, step, at = min(len(x), len(y)), 256, 0
-    while at < n:
-        end = min(n, at + step)
-        differ = x[at:end] != y[at:end]
-        if differ.any():
-            return at + int(np.argmax(differ))
-        at, step = end, step * 2
-    return n
+def _stretches(members: DataFrame, w: Windows) -> DataFrame:
+    """(doc, s, e, other, by): [s, e) of doc and [s + by, e + by) of other have equal hashes; links of the same two documents and distance are merged."""
+    partner = F.when(F.col("doc") != F.col("first.doc"), F.col("first")).otherwise(F.col("last"))
+    m = members.select("doc", (F.col("pos") - F.col("lead")).alias("s"), (F.col("pos") + w.gram + F.col("tail")).alias("e"), partner["doc"].alias("other"), (partner["pos"] - F.col("pos")).alias("by"))
+    marked = m.selectExpr("*", "case when s <= max(e) over (partition by doc, other, by order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh")
+    return marked.selectExpr("*", "sum(fresh) over (partition by doc, other, by order by s, e rows unbounded preceding) as run").groupBy("doc", "other", "by", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+
+def _text_of(places: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """places (doc, s, e, ...) with at, the characters there, and n, the text's length."""
+    src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("__t")).filter("doc is not null and __t is not null")
+    return places.join(src, "doc").select(*places.columns, F.char_length("__t").alias("n"), F.substring("__t", F.col("s") + 1, F.col("e") - F.col("s")).alias("at"))
+
+
+def _parts_of_classes(classes: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, w: Windows) -> DataFrame:
+    """(doc, s, e, n): what classes that stand in one document share with others of their hash.
+
+    All stretches of `least` that hold a window overlap in it, so that from the first that is
+    shared to the last all is.
+    """
+    one = classes.select(*_CLASS, F.col("first.doc").alias("doc"), F.col("last.doc").alias("to"), "first.pos", (F.col("first.pos") - F.col("lead")).alias("s"), (F.col("first.pos") + w.gram + F.col("first.tail")).alias("e"))
+    near = _text_of(one, docs, key, text)
+    each = near.select(*_CLASS, "doc", "to", "pos", "n", "at", F.explode(F.sequence(F.lit(0), F.col("e") - F.col("s") - w.least)).alias("o"))
+    each = cut(each.select(*_CLASS, "doc", "to", "pos", "n", "o", F.unhex(F.sha2(F.substring("at", F.col("o") + 1, F.lit(w.least)), 256)).alias("digest")))
+    several = each.groupBy("digest").agg(F.min("doc").alias("a"), F.max("to").alias("b")).filter("a != b").select("digest")
+    reach = each.filter("doc = to").join(several, "digest").groupBy(*_CLASS, "doc", "n").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+    s = F.col("pos") - F.col("lead")
+    return rows.join(reach, [*_CLASS, "doc"]).select("doc", (s + F.col("lo")).alias("s"), (s + F.col("hi") + w.least).alias("e"), "n")
