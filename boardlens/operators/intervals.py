@@ -2,8 +2,9 @@
 
 A block (level, at) stands for the 2^level positions from at * 2^level. An interval is a union of
 at most two blocks per level; whether a block lies in another, and whether its sibling is there,
-is a question of equal keys, so that all of it are hash joins and aggregations on (key, level,
-at): a key with a third of all rows is spread over all partitions.
+is a question of equal keys, so that both are hash joins and aggregations on (key, level, at): a
+key with a third of all rows is spread over all partitions. What is left of a key then are disjoint
+blocks, as many as its positions allow, whatever its rows; they are brought together once.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ def without_covered(b: DataFrame, keys: Sequence[str], levels: int) -> DataFrame
 
 
 def merge_siblings(b: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
-    """b, whose blocks are disjoint, with each pair of siblings replaced by their parent, from the lowest level up."""
+    """b, whose blocks are disjoint, with each pair of siblings replaced by their parent, from the lowest level up; b is partitioned by keys once, for all levels."""
+    b = b.repartition(*keys)
     for k in range(levels):
         rising = F.col("__lvl") == k
         up = b.groupBy(*keys, F.when(rising, k + 1).otherwise(F.col("__lvl")).alias("__up"), F.when(rising, F.shiftright("__at", 1)).otherwise(F.col("__at")).alias("__to"), rising.alias("__rising")).agg(F.count("*").alias("__n"), F.min("__at").alias("__child"))
@@ -56,8 +58,8 @@ def periods(df: DataFrame, keys: Sequence[str], start: str, end: str, levels: in
     start and end are integer columns, both included. Intervals that touch (end + 1 = start) form
     one run. Rows with a null start or end, or end before start, are ignored; a null key is a key;
     repeated rows and extra columns change nothing. levels bounds the largest block, not the
-    intervals: longer ones consist of several blocks. What reaches one task in the last step are
-    the disjoint blocks of one key, not its rows: at most two per level and run.
+    intervals: longer ones consist of several blocks. What reaches one task in the last steps are
+    the disjoint blocks of one key, not its rows: at most two per level and interval left.
     """
     src = df.select(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{k}`").isNull().alias(f"__n{i}") for i, k in enumerate(keys)], *[F.col(f"`{k}`").alias(f"__v{i}") for i, k in enumerate(keys)], F.col(f"`{start}`").cast("bigint").alias("__s"), F.col(f"`{end}`").cast("bigint").alias("__e"))
     ks = [x for i in range(len(keys)) for x in (f"__k{i}", f"__n{i}")]
@@ -71,6 +73,15 @@ def periods(df: DataFrame, keys: Sequence[str], start: str, end: str, levels: in
     return grouped.select(*[F.expr(f"if(__n{i}, null, __k{i})").cast(kinds[k]).alias(k) for i, k in enumerate(keys)], F.col("__s").alias(start), F.col("__e").alias(end))
 
 
+def with_gaps(runs: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """(keys, kind, start, end): the runs as kind period and, from the same rows, what gaps gives as kind gap."""
+    named = runs.withColumn("__after", F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
+    after = F.col("__after")
+    part = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias(start), b.alias(end))
+    both = F.array(part("period", F.col(start), F.col(end)), F.when(after.isNotNull(), part("gap", F.col(end) + 1, after - 1)))
+    return named.select(*keys, F.inline(F.array_compact(both)))
+
+
 def gaps(runs: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """(keys, start, end): the positions strictly between two successive runs of a key."""
     by = Window.partitionBy(*keys).orderBy(start)

@@ -80,8 +80,7 @@ def _punish_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = _punish_runs(spark, d)
-    both = runs.withColumn("kind", F.lit("period")).unionByName(intervals.gaps(runs, ["code"], "start", "end").withColumn("kind", F.lit("gap")))
+    both = intervals.with_gaps(_punish_runs(spark, d), ["code"], "start", "end")
     return both.select("code", "kind", *[F.date_from_unix_date(F.col(c).cast("int")).cast("string").alias(c) for c in ("start", "end")])
 
 
