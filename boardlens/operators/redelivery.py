@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
@@ -31,10 +31,12 @@ def _order(df: DataFrame, time: str, tie: str) -> Column:
     return F.struct(t, i)
 
 
+def _packed(df: DataFrame, time: str, tie: str) -> bool:
+    return dict(df.dtypes)[time] in _DAYS and dict(df.dtypes)[tie] in _WHOLE
+
+
 def _best(df: DataFrame, what: Column, time: str, tie: str) -> Column:
-    order = _order(df, time, tie)
-    packed = dict(df.dtypes)[time] in _DAYS and dict(df.dtypes)[tie] in _WHOLE
-    return F.min_by(what, order) if packed else F.max_by(what, order)
+    return (F.min_by if _packed(df, time, tie) else F.max_by)(what, _order(df, time, tie))
 
 
 def kept_ids(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -53,9 +55,13 @@ def keep_one(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     Blanks around the identifier don't count; an empty one is an identifier like any other. Of
     the rows of one identifier the one with the greatest (time, tie) stays, null times and
     tie-breaks being least; of rows equal in both, any one. Other columns may be null, repeated or of any type. An empty table gives an empty one.
+    Whole rows aren't aggregated, which would sort them: an identifier's best order is, by hash,
+    and the rows meet it by identifier and order, so that no identifier makes a large partition.
     """
-    whole = df.select(_identifier(key).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{time}`").alias("__t"), F.col(f"`{tie}`").alias("__i"))
-    kept = whole.filter("__key is not null").groupBy("__key").agg(_best(whole, F.col("__row"), "__t", "__i").alias("__row")).select("__row.*")
+    whole = df.select(_identifier(key).alias("__key"), _order(df, time, tie).alias("__order"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")).filter("__key is not null")
+    best = whole.groupBy("__key").agg((F.min if _packed(df, time, tie) else F.max)("__order").alias("__order"))
+    one = F.row_number().over(Window.partitionBy("__key", "__order").orderBy("__order"))
+    kept = whole.join(best, ["__key", "__order"]).withColumn("__n", one).filter("__n = 1").select("__row.*")
     return kept.unionByName(df.filter(F.col(f"`{key}`").isNull()))
 
 

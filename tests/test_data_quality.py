@@ -32,8 +32,9 @@ def test_keep_one_text_order_and_equal_rows(spark):
 
 def test_hash_aggregation_is_planned(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1))], "id bigint, k string, at timestamp")
-    plan = redelivery.kept_ids(df, "k", "at", "id")._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    for kept in (redelivery.kept_ids, redelivery.keep_one):
+        plan = kept(df, "k", "at", "id")._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 # rolling state
@@ -176,6 +177,8 @@ def test_periods_against_brute_force(spark, levels):
     got = intervals.periods(df, ["code"], "start", "end", levels)
     assert {tuple(x) for x in got.collect()} == want
     assert {tuple(x) for x in intervals.gaps(got, ["code"], "start", "end").collect()} == holes
+    both = [tuple(x) for x in intervals.with_gaps(got, ["code"], "start", "end").collect()]
+    assert len(both) == len(set(both)) and set(both) == {(c, "period", s, e) for c, s, e in want} | {(c, "gap", s, e) for c, s, e in holes}
 
 
 def test_periods_empty(spark):
