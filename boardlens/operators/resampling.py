@@ -42,11 +42,13 @@ def block_rows(n: int, block: int, rng: np.random.Generator) -> np.ndarray:
 
 def stationary_rows(n: int, horizon: int, block: int, rng: np.random.Generator) -> np.ndarray:
     """Rows of a stationary resample: blocks of geometric length with mean `block`, around the end."""
-    jump = rng.random(horizon) < 1 / block
-    jump[0] = True
-    start = rng.integers(0, n, horizon)
-    last = np.maximum.accumulate(np.where(jump, np.arange(horizon), 0))
-    return (start[last] + np.arange(horizon) - last) % n
+    lengths = rng.geometric(1 / block, size=2 * -(-horizon // block))
+    while lengths.sum() < horizon:
+        lengths = np.append(lengths, rng.geometric(1 / block, size=len(lengths)))
+    starts = rng.integers(0, n, len(lengths))
+    ends = np.cumsum(lengths)
+    rows = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+    return rows[:horizon] % n
 
 
 def auc_value(y: np.ndarray, p: np.ndarray) -> float | None:

@@ -50,7 +50,7 @@ def test_names(spark):
 def test_leverage_and_deviation(spark):
     day = lambda i: dt.date(2024, 1, i)
     rets = spark.createDataFrame([(day(5), 0.01), (day(8), 0.02), (day(9), -0.01)], "date date, ret double")
-    rates = spark.createDataFrame([(day(1), 0.02), (day(8), 0.05)], "date date, rate double")
+    rates = spark.createDataFrame([(day(1), 2.0), (day(8), 5.0)], "date date, rate double")
     got = portfolio.leveraged(rets, rates, cost=0.01).orderBy("date").collect()
     assert [r.date for r in got] == [day(8), day(9)]
     assert math.expm1(got[0].ret) == pytest.approx(2 * math.expm1(0.02) + (0.02 - 0.01) * 3 / 365)

@@ -120,22 +120,48 @@ def test_weights_drift_band_hold_and_untradable(spark):
     d = spark.createDataFrame(rows, "k string, t int, r_a double, r_b double, t_a double, t_b double, o_a boolean, o_b boolean")
     g = portfolio.weights_backtest(d, ["k"], "t", ["a", "b"], 0.01, 0.02).orderBy("t").collect()
     drift = 0.55 / 1.05
-    assert g[0].cost == pytest.approx(0.01) and g[0].gross == pytest.approx(0.05)
+    assert g[0].cost == pytest.approx(0.01) and g[0].gross == pytest.approx(0.05) and g[0].net == pytest.approx(0.99 * 1.05 - 1)
     assert g[1].traded == 0 and g[1].w_a == pytest.approx(drift)
     assert g[2].traded == 0
-    assert g[3].traded == pytest.approx(2 * (drift - 0.5)) and g[3].w_a == pytest.approx(0.5)
+    assert g[3].traded == 0 and g[3].w_a == pytest.approx(drift) and g[3].position == pytest.approx(1.0)
+    free = portfolio.weights_backtest(d.drop("o_a", "o_b"), ["k"], "t", ["a", "b"], 0.01, 0.02).orderBy("t").collect()
+    assert free[2].traded == pytest.approx(2 * (drift - 0.5)) and free[2].w_a == pytest.approx(0.5)
     assert g[4].gross == pytest.approx(0.52 * 0.2)
     held = portfolio.weights_backtest(d, ["k"], "t", ["a", "b"], 0.01, 0.02, band=0.05).orderBy("t").collect()
     assert held[3].traded == 0 and held[4].traded == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_weights_against_a_day_by_day_book(spark, seed):
+    r = np.random.default_rng(seed)
+    n, band = 120, 0.04
+    p = pd.DataFrame({"k": "s", "t": range(n), **{f"r_{a}": r.normal(0, 0.05, n) for a in "ab"}, **{f"o_{a}": r.random(n) > 0.2 for a in "ab"}})
+    goal = r.random((n, 2)) * 0.7
+    goal[r.random(n) < 0.6] = np.nan
+    p["t_a"], p["t_b"] = goal.T
+    got = portfolio.weights_backtest(spark.createDataFrame(p), ["k"], "t", ["a", "b"], 0.01, 0.02, band).orderBy("t").collect()
+    money, cash, wealth = {"a": 0.0, "b": 0.0}, 1.0, 1.0
+    for row, x in zip(p.to_dict("records"), got, strict=True):
+        paid = 0.0
+        if not math.isnan(row["t_a"]):
+            want = {a: row[f"t_{a}"] * wealth for a in "ab"}
+            if any(abs(want[a] - money[a]) / wealth > band for a in "ab") and all(row[f"o_{a}"] or want[a] == money[a] for a in "ab"):
+                paid = sum((0.01 if want[a] > money[a] else 0.02) * abs(want[a] - money[a]) for a in "ab") / wealth
+                money, cash = want, wealth - sum(want.values())
+        assert x.cost == pytest.approx(paid) and x.w_a == pytest.approx(money["a"] / wealth)
+        money = {a: m * math.exp(row[f"r_{a}"]) for a, m in money.items()}
+        after = cash + sum(money.values())
+        assert x.net == pytest.approx((1 - paid) * after / wealth - 1)
+        wealth = after
+
+
 def test_periodic_portfolio(spark):
     ln = math.log
     day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
     rets = spark.createDataFrame([(day(i), i, c, r) for i, c, r in [(0, "a", 0.0), (1, "a", ln(1.2)), (2, "a", 0.0), (3, "a", ln(1.5)), (0, "b", 0.0), (1, "b", 0.0), (3, "c", 0.0), (4, "c", ln(2.0)), (4, "a", 0.0)]], "date date, pos int, code string, ret double")
     picks = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (2, 2, "a"), (2, 2, "c")], "period bigint, pos int, code string")
     g = {r.date.day: r for r in portfolio.periodic_portfolio(rets, picks, 0.01, 0.02).collect()}
-    assert g[2].gross == pytest.approx(0.1) and g[2].cost == pytest.approx(0.01)
+    assert g[2].gross == pytest.approx(0.1) and g[2].cost == pytest.approx(0.01) and g[2].net == pytest.approx(0.99 * 1.1 - 1) and g[2].n == 2
     assert g[3].gross == pytest.approx(0.0) and g[3].cost == 0
     assert g[4].gross == pytest.approx(0.25)
     old_a, old_b = 0.6 / 1.1, 0.5 / 1.1
@@ -150,7 +176,19 @@ def test_splits_and_front_contract(spark):
     assert [r.ret for r in portfolio.split_adjusted(rows, splits).orderBy("date").collect()] == [None, 0.0, pytest.approx(math.log(0.8))]
     tx = [("A", 1, 100.0), ("B", 1, 110.0), ("A", 2, 101.0), ("B", 2, 112.0), ("B", 3, 115.0), ("B", 4, 116.0)]
     f = portfolio.front_returns(spark.createDataFrame([(c, day(d), s) for c, d, s in tx], "contract string, date date, settle double"))
-    assert [(r.date.day, r.contract, round(math.exp(r.ret), 6)) for r in f.orderBy("date").collect()] == [(2, "A", 1.01), (3, "B", round(115 / 112, 6)), (4, "B", round(116 / 115, 6))]
+    assert [(r.date.day, r.contract, round(math.exp(r.ret), 6)) for r in f.orderBy("date").collect()] == [(2, "B", round(112 / 110, 6)), (3, "B", round(115 / 112, 6)), (4, "B", round(116 / 115, 6))]
+
+
+def test_missing_settlement_is_an_error(spark):
+    tx = spark.createDataFrame([("A", dt.date(2024, 1, d), s) for d, s in ((1, 100.0), (2, 0.0), (3, 101.0))], "contract string, date date, settle double")
+    with pytest.raises(Exception, match="no settlement of A"):
+        portfolio.front_returns(tx).collect()
+
+
+def test_stationary_rows_are_blocks():
+    rows = resampling.stationary_rows(50, 20_000, 10, np.random.default_rng(0))
+    jumps = ((rows[1:] - rows[:-1]) % 50 != 1).sum()
+    assert len(rows) == 20_000 and rows.min() >= 0 and rows.max() < 50 and 1700 < jumps < 2200
 
 
 def test_resampling(spark):
