@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import html
 import re
 import unicodedata
@@ -12,9 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What quoted and template lines begin with, after blanks.
-QUOTED = r"^\s*(?:※ 引述|[:：]|ex \[)"
-_TITLE = r"^\s*((?:(?:Re|Fw|R|F):\s*)*)\[([^\]]*)\]"
+# How posts mark what isn't the author's own, and what titles and bodies hold.
+QUOTED = r"(?U)^\s*(?:※\s*引述|[:：]|ex\s*\[)|板規|標題請使用以下格式"
+TEMPLATE = r"[(（]例[^)）\n]*[)）]"
+TITLE = r"(?U)^(Re:\s*|Fw:\s*)?\[([^\]]+)\]"
+REPLY = r"(?U)^(?:\s*(?:Re|Fw|R|F):\s*)+"
+DIRECTION = r"(?U)(?:^|[\s(（\]】\-－/])(多|空)(?:$|[\s)）】!！?？,，.。])"
+LABEL = r"(?U)分類\s*[:：]\s*([^\n]{0,8})"
+STOCK_CODE = r"(?<![0-9A-Za-z])([0-9]{4}|00[0-9]{2,4}[A-Z]?)(?![0-9])"
+YEARS = r"(?:19|20)[0-9][0-9]"
+INDEX = r"大盤|台指|加權指數|期指|小台|微台|台股指數"
+TARGET = "[標的]"
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANKS = "[\\s　]"
 
 
@@ -24,20 +34,23 @@ def literal(word: str) -> str:
 
 
 def strip_quotes(text: Column) -> Column:
-    """text without quoted lines, template hints in parentheses that begin with 例, and outer blanks."""
-    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: ~x.rlike(QUOTED))
-    t = F.regexp_replace(F.array_join(lines, "\n"), r"[(（]例[^)）]*[)）]", "")
-    return F.regexp_replace(t, f"^{BLANKS}+|{BLANKS}+$", "")
+    """text without quoted lines, lines of the board's template, hints in parentheses that begin with 例, and outer blanks; empty for null."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), LINES), lambda x: ~x.rlike(QUOTED))
+    return trim_blanks(F.regexp_replace(F.array_join(lines, "\n"), TEMPLATE, ""))
+
+
+def trim_blanks(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
 
 
 def title_category(title: Column) -> tuple[Column, Column]:
-    """(category, is_reply) of `Re: [category] ...`; category is null without one."""
-    cat = F.regexp_replace(F.regexp_extract(title, _TITLE, 2), f"^{BLANKS}+|{BLANKS}+$", "")
-    return F.nullif(cat, F.lit("")), F.coalesce(title.rlike(r"^\s*(?:Re|Fw|R|F):"), F.lit(False))
+    """(category, is_reply) of a title that begins with [category], or Re: or Fw: before it; without a category it is no reply."""
+    has = F.coalesce(title.rlike(TITLE), F.lit(False))
+    return F.when(has, trim_blanks(F.regexp_extract(title, TITLE, 2))), has & (F.coalesce(F.regexp_extract(title, TITLE, 1), F.lit("")) != "")
 
 
 def strip_reply(title: Column) -> Column:
-    return F.regexp_replace(title, r"^(?:\s*(?:Re|Fw|R|F):\s*)+", "")
+    return F.regexp_replace(title, REPLY, "")
 
 
 def norm_text(x: Column) -> Column:
@@ -73,32 +86,40 @@ def remove_words(x: Column, words: Sequence[str]) -> Column:
 
 
 def title_direction(title: Column) -> Column:
-    """bullish or bearish where exactly one of 多 and 空 stands between delimiters, else null."""
-    found = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), F.replace(F.replace(title, F.lit("["), F.lit(" ")), F.lit("]"), F.lit(" ")), F.lit(" ")), F.lit(r"(?<=[\s(（/,，、])(多|空)(?=[\s)）/,，、])"), F.lit(1)))
+    """bullish or bearish where exactly one of 多 and 空 stands between delimiters, the marker [標的] being one, else null. A delimiter serves one of two neighbours only."""
+    found = F.array_distinct(F.regexp_extract_all(F.replace(title, F.lit(TARGET), F.lit(" ")), F.lit(DIRECTION), F.lit(1)))
     return F.when(F.size(found) == 1, F.when(found[0] == "多", "bullish").otherwise("bearish"))
 
 
 def weak_label(content: Column) -> Column:
-    """The label of the first line with 分類: of its next 8 characters 多 xor 空."""
-    part = F.regexp_extract(content, r"(?m)^.*?分類(.{0,8})", 1)
+    """bullish or bearish: of the up to 8 characters after the first 分類 with a colon, 多 xor 空; else null."""
+    part = F.regexp_extract(content, LABEL, 1)
     long, short = part.contains("多"), part.contains("空")
-    return F.when(long & ~short, "long").when(short & ~long, "short")
+    return F.when(long & ~short, "bullish").when(short & ~long, "bearish")
 
 
 def without_label_lines(content: Column) -> Column:
-    return F.array_join(F.filter(F.split(content, r"\r\n|\r|\n"), lambda x: ~x.contains("分類")), "\n")
+    return trim_blanks(F.array_join(F.filter(F.split(F.coalesce(content, F.lit("")), LINES), lambda x: ~x.contains("分類")), "\n"))
+
+
+def labelled_posts(posts: DataFrame, least: int = 20) -> DataFrame:
+    """(article_id, time, text, label) of first posts of the category 標的 with a label of their own and at least `least` characters beside its lines."""
+    own = posts.filter("category = '標的' and not is_reply").withColumn("label", weak_label(F.col("content"))).filter("label is not null")
+    return own.select("article_id", "time", without_label_lines(F.col("content")).alias("text"), "label").filter(F.char_length("text") >= least)
 
 
 def clean_markup(x: Column, limit: int | None = None) -> Column:
     """Entities resolved twice, tags dropped, blanks collapsed; of the result the first `limit` characters, if given."""
-    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
-    for _ in range(2):
-        for k, v in named.items():
-            x = F.replace(x, F.lit(k), F.lit(v))
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), f"{BLANKS}+", " "))
+    x = F.trim(F.regexp_replace(F.regexp_replace(unescaped(x), "<[^>]*>", " "), f"{BLANKS}+", " "))
     return x if limit is None else F.substring(x, 1, limit)
 
 
+def unescaped(x: Column) -> Column:
+    """x with all HTML entities resolved, twice; the rest of the texts, without a &, doesn't go to Python."""
+    twice = F.pandas_udf(lambda s: s.map(html_text, na_action="ignore"), T.StringType())
+    return F.when(x.contains("&"), twice(x)).otherwise(x)
+
+
 def table_rows(page: Column) -> Column:
     """The cells of a page's odd and even table rows, an array per row."""
     rows = F.regexp_extract_all(page, F.lit(r"(?s)<tr class=['\"]?(?:even|odd)['\"]?[^>]*>(.*?)</tr>"), F.lit(1))
@@ -152,32 +173,52 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str], solo: dict[
     return F.pandas_udf(score, T.DoubleType())
 
 
-def name_resolver(names: list[tuple[str, str]]):
-    """A column function title -> struct(code, how): code and name hits of a title, names longest first, each hit consumed.
+def name_resolver(names: list[tuple[str, str, dt.date, dt.date]], pad: int = 10):
+    """A column function (title, time) -> struct(code, how): the one stock that a title names on its day.
 
-    names: (code, name). how is code+name, code, name, multi or no_tw_stock; code is null for the
-    last two. A four-digit code that could be a year counts only beside its name.
+    names: (code, name, first day, last day), as panel.listed_names has them; one counts within pad
+    days around. how is code+name, code, name, multi, index or no_tw_stock; code is null for the
+    last three. Codes are of four digits or an ETF's; one that could be a year counts only beside
+    its name. Names are tried longest first, each hit taken out, also without their -KY; those
+    shorter than two characters don't count. Names are found by their first two characters, so that
+    a title is tried with few of them.
     """
-    by_code = dict(names)
-    order = sorted(names, key=lambda x: len(x[1]), reverse=True)
-
-    def one(title: str | None) -> tuple[str | None, str]:
-        rest = title or ""
-        codes = [c for c in dict.fromkeys(re.findall(r"(?<![0-9A-Za-z])\d{4,6}(?![0-9A-Za-z])", rest)) if c in by_code]
-        hits: list[str] = []
-        for code, name in order:
-            if name and name in rest:
-                rest = rest.replace(name, " " * len(name))
-                hits.append(code)
-        codes = [c for c in codes if not 1990 <= int(c) <= 2030 or c in hits]
-        both = set(codes) | set(hits)
+    code_re, index_re, year_re = re.compile(STOCK_CODE), re.compile(INDEX), re.compile(YEARS)
+    slack = dt.timedelta(days=pad)
+    listed = sorted(names)
+    forms = [(n, c, a, z) for c, n, a, z in listed] + [(n[:-3], c, a, z) for c, n, a, z in listed if n.endswith("-KY")]
+    by_start: dict[str, list[tuple]] = {}
+    for rank, form in enumerate(sorted(forms, key=lambda f: -len(f[0]))):
+        if len(form[0]) >= 2:
+            by_start.setdefault(form[0][:2], []).append((rank, form))
+    by_code: dict[str, list[tuple]] = {}
+    for c, n, a, z in listed:
+        by_code.setdefault(c, []).append((n, a, z))
+
+    def there(first: dt.date, last: dt.date, at: dt.datetime) -> bool:
+        return dt.datetime.combine(first, dt.time()) <= at + slack and dt.datetime.combine(last, dt.time()) >= at - slack
+
+    def one(title: str | None, at: dt.datetime | None) -> tuple[str | None, str]:
+        t = (title or "").replace(TARGET, " ")
+        codes, rest = set(), code_re.sub(" ", t)
+        for c in code_re.findall(t) if at is not None else ():
+            own = [n for n, a, z in by_code.get(c, ()) if there(a, z, at)]
+            if own and not (year_re.fullmatch(c) and own[-1] not in t):
+                codes.add(c)
+        starts = {rest[i : i + 2] for i in range(len(rest) - 1)}
+        hits = set()
+        for _, (n, c, a, z) in sorted(f for s in starts for f in by_start.get(s, ())) if at is not None else ():
+            if n in rest and there(a, z, at):
+                hits.add(c)
+                rest = rest.replace(n, " ")
+        both = codes | hits
+        if not both:
+            return None, "index" if index_re.search(t) else "no_tw_stock"
         if len(both) > 1:
             return None, "multi"
-        if not both:
-            return None, "no_tw_stock"
         return both.pop(), "code+name" if codes and hits else "code" if codes else "name"
 
-    def resolve(titles: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t if isinstance(t, str) else None) for t in titles], columns=["code", "how"])
+    def resolve(titles: pd.Series, times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t if isinstance(t, str) else None, None if pd.isna(at) else at.to_pydatetime()) for t, at in zip(titles, times, strict=True)], columns=["code", "how"])
 
     return F.pandas_udf(resolve, T.StructType([T.StructField("code", T.StringType()), T.StructField("how", T.StringType())]))

@@ -1,7 +1,7 @@
 """Exchange, futures, index, news and filing files, as tables of one form each.
 
 Schemas are stated, never inferred; numbers come as text and are read tolerantly. Where files
-repeat a key, the last by file name counts, whatever order they are read in.
+repeat a key, the last by file name counts, whatever order they are read in; of daily quotes the first.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boardlens.functions import text as tx
 from boardlens.functions.parse import number, roc_day
 from boardlens.operators.frames import gated, ordered
+from boardlens.operators.joins import as_of
 
 _TABLES = "tables array<struct<title: string, fields: array<string>, data: array<array<string>>>>"
 _ROWS = "fields array<string>, data array<array<string>>"
@@ -19,6 +20,7 @@ _ROWS = "fields array<string>, data array<array<string>>"
 TWSE_DAY = {"code": "證券代號", "name": "證券名稱", "volume": "成交股數", "value": "成交金額", "open": "開盤價", "high": "最高價", "low": "最低價", "close": "收盤價"}
 TPEX_DAY = {"code": "代號", "name": "名稱", "volume": "成交股數", "value": "成交金額(元)", "open": "開盤", "high": "最高", "low": "最低", "close": "收盤", "shares": "發行股數", "ref_next": "次日參考價", "limit_up_next": "次日漲停價"}
 _TEXT = ("code", "name")
+INDICES = {"taiex": "發行量加權股價指數", "taiex_tr": "發行量加權股價報酬指數"}
 CODES = r"^(?:[1-9][0-9]{3}|00[0-9]{2,4}[A-Z]?)$"
 
 
@@ -36,46 +38,67 @@ def last_file_wins(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(row, F.struct("__file", row)).alias("__r")).select(*keys, "__r.*")
 
 
+def first_row_wins(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: that of the least file name, and there the first."""
+    row = F.struct(*[c for c in df.columns if c not in ("__file", "__at", *keys)])
+    return df.groupBy(*keys).agg(F.min_by(row, F.struct("__file", "__at")).alias("__r")).select(*keys, "__r.*")
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(__file, __at, r): the rows of files that are a bare list of lists, or an object with such a list as data; any cell as text."""
+    t = spark.read.text(path, wholetext=True).withColumn("__file", F.col("_metadata.file_name"))
+    bare, within = F.from_json("value", "array<array<string>>"), F.from_json("value", _ROWS)["data"]
+    return t.select("__file", F.posexplode(F.when(F.ltrim("value").startswith("["), bare).otherwise(within)).alias("__at", "r"))
+
+
 def day_quotes(spark: SparkSession, path: str, columns: dict[str, str], market: str) -> DataFrame:
-    """(date, code, market, ...) of daily quote files: the table whose fields hold the code's column, its cells taken by name."""
+    """(date, code, market, ...) of daily quote files: the tables whose fields hold the code's column, their cells taken by name."""
     t = _json(spark, path, _TABLES)
     bare = lambda xs: F.transform(xs, lambda n: F.regexp_replace(n, r"\s+", ""))
     own = F.filter("tables", lambda x: F.exists(bare(x["fields"]), lambda n: n == columns["code"]))
-    rows = t.select("__file", _file_day().alias("date"), F.explode(own).alias("t")).select("__file", "date", bare(F.col("t.fields")).alias("f"), F.explode("t.data").alias("r"))
+    rows = t.select("__file", _file_day().alias("date"), F.posexplode(own).alias("__p", "t")).select("__file", "date", "__p", bare(F.col("t.fields")).alias("f"), F.posexplode("t.data").alias("__q", "r")).withColumn("__at", F.struct("__p", "__q"))
     cell = lambda name: F.get("r", (F.nullif(F.array_position("f", name), F.lit(0)) - 1).cast("int"))
-    out = rows.select("__file", "date", *[(F.trim(cell(n)) if c in _TEXT else number(cell(n))).alias(c) for c, n in columns.items()], F.lit(market).alias("market"))
-    return last_file_wins(out.filter(F.col("code").rlike(CODES)), ["date", "code", "market"])
+    out = rows.select("__file", "__at", "date", *[(F.trim(cell(n)) if c in _TEXT else number(cell(n))).alias(c) for c, n in columns.items()], F.lit(market).alias("market"))
+    return first_row_wins(out.filter(F.col("code").rlike(CODES)), ["date", "code", "market"])
+
+
+def day_indices(spark: SparkSession, path: str) -> DataFrame:
+    """(date, taiex, taiex_tr) of daily quote files: levels of the price and the return index, by the rows' names."""
+    t = _json(spark, path, _TABLES)
+    own = F.filter("tables", lambda x: x["fields"][0].isin("指數", "報酬指數"))
+    rows = t.select(_file_day().alias("date"), F.explode(own).alias("t")).select("date", F.explode("t.data").alias("r")).select("date", F.trim(F.get("r", F.lit(0))).alias("name"), number(F.get("r", F.lit(1))).alias("level"))
+    return rows.groupBy("date").agg(*[F.max(F.when(F.col("name") == n, F.col("level"))).alias(c) for c, n in INDICES.items()])
 
 
 def index_levels(spark: SparkSession, path: str) -> DataFrame:
-    """(date, close) of monthly index files: ROC day first, close last in each row."""
-    rows = _json(spark, path, _ROWS).select("__file", F.explode("data").alias("r"))
-    return last_file_wins(rows.select("__file", roc_day(F.trim(F.col("r")[0])).alias("date"), number(F.element_at("r", -1)).alias("close")).filter("date is not null"), ["date"])
+    """(date, open, high, low, close) of monthly index files: ROC day first, close last in each row; the others are null in files of levels alone."""
+    rows = listed(spark, path)
+    cell = lambda i: F.when(F.size("r") >= 5, number(F.get("r", F.lit(i))))
+    return last_file_wins(rows.select("__file", roc_day(F.trim(F.col("r")[0])).alias("date"), cell(1).alias("open"), cell(2).alias("high"), cell(3).alias("low"), number(F.element_at("r", -1)).alias("close")).filter("date is not null"), ["date"])
 
 
 def reference_prices(spark: SparkSession, exrights: str, reductions: str | None = None) -> DataFrame:
-    """(code, date, ref): ex-rights reference prices by position, over which those of capital reductions win."""
-    r = _json(spark, exrights, _ROWS).select("__file", F.explode("data").alias("r"))
-    ref = r.select(F.lit(0).alias("p"), "__file", F.trim(F.col("r")[1]).alias("code"), roc_day(F.trim(F.col("r")[0])).alias("date"), number(F.col("r")[4]).alias("ref"))
+    """(code, date, ref): ex-rights reference prices by position, over which those of capital reductions win; of each kind the last row of the last file. A last row without a price takes the others away."""
+    ref = listed(spark, exrights).withColumn("__p", F.lit(0))
     if reductions:
-        q = _json(spark, reductions, _ROWS).select("__file", F.explode("data").alias("r"))
-        ref = ref.unionByName(q.select(F.lit(1).alias("p"), "__file", F.trim(F.col("r")[1]).alias("code"), roc_day(F.trim(F.col("r")[0])).alias("date"), number(F.col("r")[4]).alias("ref")))
-    ref = ref.filter("code is not null and date is not null and ref is not null")
-    return ref.groupBy("code", "date").agg(F.max_by("ref", F.struct("p", "__file")).alias("ref"))
+        ref = ref.unionByName(listed(spark, reductions).withColumn("__p", F.lit(1)))
+    ref = ref.select("__p", "__file", "__at", F.trim(F.get("r", F.lit(1))).alias("code"), roc_day(F.trim(F.get("r", F.lit(0)))).alias("date"), number(F.get("r", F.lit(4))).alias("ref"))
+    ref = ref.filter("code is not null and date is not null")
+    return ref.groupBy("code", "date").agg(F.max_by("ref", F.struct("__p", "__file", "__at")).alias("ref")).filter("ref is not null")
 
 
 def dispositions(spark: SparkSession, path: str, code: int = 2, period: int = 6) -> DataFrame:
     """(code, start, end) of disposition files, periods written start～end in ROC days; rows that can't be read are left out, repeats count once."""
-    r = _json(spark, path, _ROWS).select(F.explode("data").alias("r"))
+    r = listed(spark, path)
     ends = F.split(F.get("r", F.lit(period)), "[～~]")
     return r.select(F.trim(F.get("r", F.lit(code))).alias("code"), roc_day(F.trim(F.get(ends, F.lit(0)))).alias("start"), roc_day(F.trim(F.get(ends, F.lit(1)))).alias("end")).filter("start is not null and end is not null").distinct()
 
 
 def vendor_daily(spark: SparkSession, path: str) -> DataFrame:
-    """(date, code, open, high, low, close, volume) of rows with a price and a volume."""
-    s = "date string, stock_id string, open double, max double, min double, close double, Trading_Volume double"
+    """(date, code, open, high, low, close, volume, value) of rows with a price and a volume."""
+    s = "date string, stock_id string, open double, max double, min double, close double, Trading_Volume double, Trading_money double"
     v = spark.read.schema(f"data array<struct<{s.replace(' ', ': ').replace(',: ', ', ')}>>").option("multiLine", True).json(path)
-    v = v.select(F.inline("data")).select(F.col("date").try_cast("date").alias("date"), F.col("stock_id").alias("code"), "open", F.col("max").alias("high"), F.col("min").alias("low"), "close", F.col("Trading_Volume").alias("volume"))
+    v = v.select(F.inline("data")).select(F.col("date").try_cast("date").alias("date"), F.col("stock_id").alias("code"), "open", F.col("max").alias("high"), F.col("min").alias("low"), "close", F.col("Trading_Volume").alias("volume"), F.col("Trading_money").alias("value"))
     return v.filter("close > 0 and volume > 0")
 
 
@@ -111,8 +134,8 @@ def night_sessions(rows: DataFrame, day: str = "一般", night: str = "盤後")
     n = rows.filter(F.col("session") == night)
     top = n.groupBy("date").agg(F.max_by(F.struct("contract", "high", "low", "close", "volume"), F.struct("volume", "contract")).alias("m")).select("date", "m.*")
     days = rows.filter(F.col("session") == day).select(F.col("date").alias("__d"), "contract", F.col("close").alias("__c"))
-    sessions = days.select("__d").distinct()
-    before = top.select("date").distinct().join(F.broadcast(sessions), F.col("__d") < F.col("date")).groupBy("date").agg(F.max("__d").alias("__d"))  # one row per day and side
+    one = lambda d: d.withColumn("__k", F.lit(1))
+    before = as_of(one(top.select("date").distinct()), one(days.select("__d").distinct()), ["__k"], "date", "__d", ["__d"], strict=True).drop("__k")  # one row per day and side
     j = top.join(before, "date", "left").join(days, ["__d", "contract"], "left")
     w = ordered([], "date")
     spread = F.when((F.col("high") > F.col("low")) & (F.col("low") > 0), F.log(F.log(F.col("high") / F.col("low"))))
