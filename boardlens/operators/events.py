@@ -27,27 +27,44 @@ def market_model(rows: DataFrame, n: int = 250, least: int = 120, sigma_n: int =
     return m.withColumn("sigma", frames.rolling(F.stddev_samp, F.col("ar"), w, sigma_n, sigma_least, until=-1))
 
 
-def flag_events(m: DataFrame, z: float = 3.0, size: float = 0.03, cluster: float = 0.05) -> DataFrame:
-    """m with z, eligible, event, and the share of eligible codes with an event of the same sign that day."""
+def flag_events(m: DataFrame, z: float = 3.0, size: float = 0.03, cluster: float = 0.05, barred: Column | None = None) -> DataFrame:
+    """m with z, eligible (ar and z known, and not barred), event, up, and cluster: whether the share of eligible codes with an event of the same sign that day reaches cluster."""
     e = m.withColumn("z", F.col("ar") / F.nullif(F.col("sigma"), F.lit(0.0)))
     ok = F.col("ar").isNotNull() & F.col("z").isNotNull()
+    if barred is not None:
+        ok = ok & ~F.coalesce(barred, F.lit(False))
     e = e.withColumn("eligible", ok).withColumn("event", F.coalesce(ok & (F.abs("z") >= z) & (F.abs("ar") >= size), F.lit(False))).withColumn("up", F.coalesce(F.col("ar") > 0, F.lit(False)))
     day = e.filter("eligible").groupBy("date").agg(F.count("*").alias("__n"), F.count_if(F.col("event") & F.col("up")).alias("__u"), F.count_if(F.col("event") & ~F.col("up")).alias("__d"))
     share = F.when(F.col("up"), F.col("__u")).otherwise(F.col("__d")) / F.col("__n")
     return e.join(day, "date", "left").withColumn("cluster", F.coalesce(F.col("event") & (share >= cluster), F.lit(False))).drop("__n", "__u", "__d")
 
 
-#: First and last position of each window relative to the event.
-WINDOWS = {"pre5": (-5, -1), "preopen": (0, 0), "next": (1, 1), "post": (2, 5)}
+def day_flags(rows: DataFrame, halt_gap: int = 5) -> DataFrame:
+    """rows (code, pos, close, base) with adj: the base isn't the close before, and halt: more than halt_gap positions since the code's row before."""
+    w = frames.ordered(["code"], "pos")
+    moved = F.abs(F.col("base") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1) > 1e-6
+    return rows.withColumns({"adj": F.coalesce(moved, F.lit(False)), "halt": F.coalesce(F.col("pos") - F.lag("pos").over(w) > halt_gap, F.lit(False))})
+
+
+#: Days in each window around an event: the five before, the day itself up to the open and after it, the next, and the four after that.
+WINDOWS = {"pre5": 5, "preopen": 1, "intraday": 1, "next": 1, "post": 4}
 
 
-def window_counts(rows: DataFrame, n: str, by: Sequence[str] = ("code",), windows: dict[str, tuple[int, int]] | None = None, base: tuple[int, int] = (-25, -6)) -> DataFrame:
-    """rows (by, pos, n), dense in pos, with the sum of n over each window and ptt_base, the mean of log1p(n) over base; null where a window reaches beyond the rows or over an unknown n."""
+def window_counts(rows: DataFrame, pre: str, intra: str, by: Sequence[str] = ("code",), base: tuple[int, int] = (-25, -6)) -> DataFrame:
+    """rows (by, pos, pre, intra), dense in pos, with the count of each of WINDOWS and base, the mean of log1p of a day's count over base; null where a window reaches beyond the rows or over an unknown count."""
     w = frames.ordered(by, "pos")
-    out = rows
-    for name, (a, b) in (windows or WINDOWS).items():
-        out = out.withColumn(name, frames.gated(F.sum(n), F.col(n), w.rangeBetween(a, b), b - a + 1))
-    return out.withColumn("base", frames.gated(F.avg(F.log1p(n)), F.col(n), w.rangeBetween(*base), base[1] - base[0] + 1))
+    d = rows.withColumn("__full", F.col(pre) + F.col(intra))
+    sums = {name: frames.gated(F.sum("__full"), F.col("__full"), w.rangeBetween(a, b), b - a + 1) for name, (a, b) in {"pre5": (-5, -1), "next": (1, 1), "post": (2, 5)}.items()}
+    mean = frames.gated(F.avg(F.log1p("__full")), F.col("__full"), w.rangeBetween(*base), base[1] - base[0] + 1)
+    return d.withColumns({**sums, "preopen": F.col(pre), "intraday": F.col(intra), "base": mean}).drop("__full")
+
+
+def known_windows(windows: DataFrame, cal: DataFrame, start: str, end: str, base: int = 25, after: int = 5) -> DataFrame:
+    """windows with all counts null where the data, from start to end (without it), don't hold everything from the close before the base's first day to the last day after."""
+    w = Window.orderBy("pos")
+    ends = cal.select("pos", (F.coalesce(F.lag("date", base + 1).over(w) >= F.lit(start).cast("date"), F.lit(False)) & F.coalesce(F.lead("date", after).over(w) < F.lit(end).cast("date"), F.lit(False))).alias("__ok"))
+    j = windows.join(F.broadcast(ends), "pos", "left")
+    return j.select(*[F.when(F.col("__ok"), F.col(c)).alias(c) if c in (*WINDOWS, "base") else F.col(c) for c in windows.columns])
 
 
 def outcome(x: Column, length: int, base: Column) -> tuple[Column, Column, Column]:
@@ -55,9 +72,54 @@ def outcome(x: Column, length: int, base: Column) -> tuple[Column, Column, Colum
     return F.when(x.isNotNull(), (x > 0).cast("double")), F.log1p(x), F.log1p(x / length) - base
 
 
-def signed_forward(rows: DataFrame, k: int, by: Sequence[str] = ("code",)) -> Column:
+def stock_lags(m: DataFrame, locked: str) -> DataFrame:
+    """m (code, pos, ar, sigma, volume, locked) with what is known of the row before: abs_z1, log_sigma, lock1 and lvol_abn1, log volume less its mean over the 20 rows before that."""
+    w = frames.ordered(["code"], "pos")
+    lv = F.when(F.col("volume") > 0, F.log("volume"))
+    return m.withColumns(
+        {
+            "abs_z1": F.abs(F.lag("ar").over(w)) / F.nullif(F.col("sigma"), F.lit(0.0)),
+            "log_sigma": F.when(F.col("sigma") > 0, F.log("sigma")),
+            "lock1": F.lag(F.col(locked).cast("double")).over(w),
+            "lvol_abn1": F.lag(lv).over(w) - frames.gated(F.avg(lv), lv, w.rowsBetween(-21, -2), 20),
+        }
+    )
+
+
+def abnormal_returns(ev: DataFrame, dense: DataFrame, horizons: Sequence[int] = (1, 5, 20, 60), pre: Sequence[int] = (20, 5), least: int = 50) -> DataFrame:
+    """ev (code, pos, ...) with what codes did around: sums of returns, null where a day is missing.
+
+    dense: (code, pos, ret, mkt_ret, value). car_h and raw_h are the returns of the h days after the
+    entry less the market's, and as they are; pre_k those of the k days before, day0 that of the
+    day; mm_h the ones less what a market model of days -250 to -30 expects (120 at least); bm_h
+    those less the mean of the codes alike that day in liquidity and past return, of five groups
+    each. Every code's day is a row of dense, so that all are frames over it and one equality join.
+    """
+    w = frames.ordered(["code"], "pos")
+    d = dense.withColumn("__ar", F.col("ret") - F.col("mkt_ret"))
+    past = w.rowsBetween(-250, -30)
+    both = F.col("ret").isNotNull() & F.col("mkt_ret").isNotNull()
+    y, x = F.when(both, F.col("ret")), F.when(both, F.col("mkt_ret"))
+    enough = (F.count(y).over(past) >= 120) & (F.col("pos") >= 250)
+    slope = F.when(enough, F.covar_pop(y, x).over(past) / F.nullif(F.var_pop(x).over(past), F.lit(0.0)))
+    d = d.withColumns({"__b": slope, "__my": F.avg(y).over(past), "__mx": F.avg(x).over(past)})
+    spans = {f"car_{h}": ("__ar", 1, h) for h in horizons} | {f"raw_{h}": ("ret", 1, h) for h in horizons} | {f"pre_{k}": ("__ar", -k, -1) for k in pre} | {"day0": ("__ar", 0, 0)} | {f"__m_{h}": ("mkt_ret", 1, h) for h in horizons}
+    d = d.withColumns({name: frames.gated(F.sum(c), F.col(c), w.rowsBetween(a, b), b - a + 1) for name, (c, a, b) in spans.items()})
+    d = d.withColumns({f"mm_{h}": F.col(f"raw_{h}") - ((F.col("__my") - F.col("__b") * F.col("__mx")) * h + F.col("__b") * F.col(f"__m_{h}")) for h in horizons})
+    d = d.withColumns({"__liq": frames.rolling(F.avg, F.col("value"), w, 20, 10), "__past": frames.rolling(F.sum, F.col("ret"), w, 20, 15)})
+    out = ev.join(d.select("code", "pos", *[c for c in d.columns if c.startswith(("car_", "raw_", "pre_", "mm_")) or c == "day0"]), ["code", "pos"], "left")
+    days = ev.select("pos").distinct()
+    for h in horizons:
+        on = d.filter(F.col(f"raw_{h}").isNotNull()).join(days, "pos", "left_semi").select("code", "pos", "__liq", "__past", F.col(f"raw_{h}").alias("__r"))
+        cells = benchmark_cells(on, "pos", "__liq", "__past", least=least).filter("cell is not null").select("code", "pos", "cell", "__r")
+        mean = cells.groupBy("pos", "cell").agg(F.avg("__r").alias("__m"))
+        out = out.join(cells.join(mean, ["pos", "cell"]).select("code", "pos", (F.col("__r") - F.col("__m")).alias(f"bm_{h}")), ["code", "pos"], "left")
+    return out
+
+
+def signed_forward(ar: Column, k: int, by: Sequence[str] = ("code",)) -> Column:
     """sign(ar) times the sum of the next k rows' ar; null where one is missing."""
-    return F.signum("ar") * frames.forward_sum(F.col("ar"), frames.ordered(by, "pos"), k)
+    return F.signum(ar) * frames.forward_sum(ar, frames.ordered(by, "pos"), k)
 
 
 def window_sums(dense: DataFrame, x: str, spans: dict[str, tuple[int, int]], by: Sequence[str] = ("code",)) -> DataFrame:

@@ -28,12 +28,8 @@ def sentiment(texts: DataFrame, by: Sequence[str], least_accounts: int = 1) -> D
     return a.select(*by, *[F.when(F.col("n_polar") >= least_accounts, F.col(c)).alias(c) for c in ("sent_mean", "bull_ratio", "sent_std")], "n_polar")
 
 
-def daily_sentiment(texts: DataFrame, cal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per trading day (and by): counts of articles, comments and accounts, share of pushes among pushes and boos, and the sentiment.
-
-    texts has trade_date, kind, account, tag and score. Days without texts have counts of 0 and
-    no sentiment: no text isn't a neutral one.
-    """
+def day_figures(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, trade_date) with texts: counts of articles, comments and accounts, share of pushes among pushes and boos, and the sentiment."""
     keys = [*by, "trade_date"]
     t = texts.filter("trade_date is not null")
     counts = t.groupBy(*keys).agg(
@@ -44,7 +40,17 @@ def daily_sentiment(texts: DataFrame, cal: DataFrame, by: Sequence[str] = ()) ->
         F.count_if(F.col("tag") == "boo").alias("__boo"),
     )
     counts = counts.withColumn("push_ratio", F.when(F.col("__push") + F.col("__boo") > 0, F.col("__push") / (F.col("__push") + F.col("__boo")))).drop("__push", "__boo")
-    both = counts.join(sentiment(t, keys), keys, "left")
+    return counts.join(sentiment(t, keys), keys, "left")
+
+
+def daily_sentiment(texts: DataFrame, cal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per trading day (and by): counts of articles, comments and accounts, share of pushes among pushes and boos, and the sentiment.
+
+    texts has trade_date, kind, account, tag and score. Days without texts have counts of 0 and
+    no sentiment: no text isn't a neutral one.
+    """
+    keys = [*by, "trade_date"]
+    both = day_figures(texts, by)
     grid = (every_day(texts.select(*by).distinct(), cal) if by else cal).select(*by, F.col("date").alias("trade_date"))
     names = ("n_articles", "n_comments", "n_accounts", "n_polar")
     return grid.join(both, keys, "left").select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in names], "push_ratio", "sent_mean", "bull_ratio", "sent_std")

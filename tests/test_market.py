@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,8 +124,17 @@ def test_panel(spark):
     got = {r.date.day: r for r in panel.returns(panel.traded(df), ref).collect()}
     assert sorted(got) == [1, 2, 3, 5]
     assert got[1].ret is None and got[2].ret == 0.0 and got[2].oc is None
-    assert got[3].ret is None and got[3].gap is None and got[3].limit_down and not got[1].limit_up
-    assert got[5].base == 50.0 and got[5].limit_up and math.isclose(got[5].ret, math.log(54.8 / 50))
+    assert got[3].ret is None and got[3].gap is None and got[3].limit_down_close and not got[1].limit_up_close
+    assert got[5].base == 50.0 and got[5].limit_up_close and not got[5].limit_up_open and math.isclose(got[5].ret, math.log(54.8 / 50))
+    next_day = [("9", "TPEx", D(2024, 1, d), c, o, 1.0, 95.0, 104.5, 10.0) for d, c, o in ((1, 100.0, 100.0), (2, 104.4, 99.0), (3, 95.0, 85.9))]
+    otc = spark.createDataFrame(next_day, "code string, market string, date date, close double, open double, volume double, ref_next double, limit_up_next double, shares double")
+    t = panel.returns(otc, ref.withColumn("code", F.lit("9")))
+    o = {r.date.day: r for r in t.collect()}
+    assert o[1].base is None and o[2].base == 95.0 and o[2].limit_up_close and not o[2].limit_up_open and not o[1].limit_up_close and o[3].limit_down_open and not o[3].limit_down_close
+    by_cap = panel.market_returns(t.unionByName(t.withColumn("code", F.lit("8")).withColumn("shares", F.lit(30.0)).withColumn("ret", F.lit(0.0))), "shares", "base").filter("date = '2024-01-02'").first()
+    assert math.isclose(math.expm1(by_cap.mkt_ret), (104.4 / 95 - 1) / 4)
+    names = spark.createDataFrame([("2330", "x"), ("0050", "x"), ("9103", "x-DR"), ("23301", "x"), ("2330", None)], "c string, n string")
+    assert [r.x for r in names.select(panel.common(F.col("c"), F.col("n")).alias("x")).collect()] == [True, False, False, False, False]
     m = panel.market_returns(panel.returns(panel.traded(df), ref)).filter("date = '2024-01-05'").first()
     assert math.isclose(m.mkt_ret, math.log(54.8 / 50))
 
@@ -149,8 +159,13 @@ def test_follow_on_and_windows(spark):
     ev = spark.createDataFrame([("a", p) for p in (10, 13, 16, 30)], "code string, pos int")
     assert [r.follows for r in joins.follow_on(ev, ["code"], "pos", 5).orderBy("pos").collect()] == [False, True, True, False]
     assert [r.pos for r in events.drop_close_repeats(ev, ["code"], "pos", ["pos"], 5).orderBy("pos").collect()] == [10, 30]
-    rows = spark.createDataFrame([("a", p, None if p == 33 else p % 3) for p in range(40)], "code string, pos int, n int")
-    got = {r.pos: r for r in events.window_counts(rows, "n").collect()}
+    rows = spark.createDataFrame([("a", p, None if p == 33 else p % 3) for p in range(40)], "code string, pos int, n int").withColumn("none", F.lit(0))
+    w = events.window_counts(rows, "n", "none")
+    got = {r.pos: r for r in w.collect()}
+    assert got[20].preopen == 2 and got[20].intraday == 0 and got[33].preopen is None and got[32].next is None and got[31].next == 2
+    cal = spark.createDataFrame([(p, D(2024, 1, 1) + dt.timedelta(days=p)) for p in range(40)], "pos int, date date")
+    known = [r.pos for r in events.known_windows(w, cal, "2024-01-03", "2024-02-05").filter("intraday is not null").orderBy("pos").collect()]
+    assert known == [28, 29]
     assert got[4].pre5 is None and got[5].pre5 == sum(p % 3 for p in range(5)) and got[38].post is None and got[30].post is None and got[20].post == sum(p % 3 for p in range(22, 26))
     assert got[24].base is None and math.isclose(got[25].base, sum(math.log1p(p % 3) for p in range(20)) / 20)
 
@@ -164,6 +179,48 @@ def test_first_touch_and_hit_rate(spark):
     assert got[23] == pytest.approx(2 / 3) and got[22] is None
 
 
+def test_days_that_bar_an_event(spark):
+    rows = spark.createDataFrame([("a", 1, 10.0, None), ("a", 2, 11.0, 10.0), ("a", 3, 9.0, 10.5), ("a", 9, 9.0, 9.0)], "code string, pos int, close double, base double")
+    got = {r.pos: (r.adj, r.halt) for r in events.day_flags(rows).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (True, False), 9: (False, True)}
+    m = spark.createDataFrame([("a", D(2024, 1, 1), 0.1, 0.01), ("b", D(2024, 1, 1), -0.1, 0.01), ("c", D(2024, 1, 1), 0.01, 0.001)], "code string, date date, ar double, sigma double")
+    got = {r.code: (r.eligible, r.event) for r in events.flag_events(m, barred=F.col("code") == "b").collect()}
+    assert got == {"a": (True, True), "b": (False, False), "c": (True, False)}
+
+
+def test_targets_and_periods(spark):
+    p = spark.createDataFrame([("a", "TWSE", D(2024, 1, d), r) for d, r in ((1, 0.1), (2, 0.0), (3, -0.1), (4, None), (5, 0.2))], "code string, market string, date date, ret double").withColumn("mkt_ret", F.lit(0.01))
+    t = panel.targets(p)
+    got = {r.date.day: (r.up_next, r.excess_next) for r in t.collect()}
+    assert [got[d][0] for d in range(1, 6)] == [0, 0, None, 1, None] and math.isclose(got[1][1], -0.01)
+    days = lambda **k: [r.date.day for r in panel.period(t, "2024-01-02", "2024-01-05", "2024-01-04", **k).orderBy("date").collect()]
+    assert days() == [2] and days(final=True) == [2, 3, 4]
+    assert [r.x for r in p.orderBy("date").select(panel.signed(F.col("ret")).alias("x")).collect()] == [1, None, 0, None, 1]
+
+
+def test_factor_choice(spark):
+    rows = [(D(2024, 1, 31), c, m, v, q, n) for c, m, v, q, n in (("a", 0.3, 0.1, 9.0, 250), ("b", 0.2, 0.3, 8.0, 250), ("c", 0.1, 0.2, 7.0, 250), ("d", 9.0, 0.0, 1.0, 250), ("e", 9.0, 0.0, 9.0, 199), ("f", None, 0.4, 7.5, 250))]
+    s = spark.createDataFrame(rows, "date date, code string, mom double, vol double, liq double, n_obs long")
+    got = {f: [r.code for r in panel.factor_choice(s, liquid=4, n=2, fewer=1).filter(F.col("factor") == f).orderBy("rank").collect()] for f in ("momentum", "momentum_fewer", "low_volatility", "liquidity", "combined")}
+    assert got == {"momentum": ["a", "b"], "momentum_fewer": ["a"], "low_volatility": ["a", "c"], "liquidity": ["a", "b"], "combined": ["a", "b"]}
+
+
+def test_abnormal_returns(spark):
+    r = random.Random(3)
+    n, codes = 320, ["a", "b", "c"]
+    mkt = [r.gauss(0, 0.01) for _ in range(n)]
+    ret = {c: [0.001 + (1 + i) * m + r.gauss(0, 0.001) for m in mkt] for i, c in enumerate(codes)}
+    dense = spark.createDataFrame([(c, p, ret[c][p], mkt[p], 1.0 + i) for i, c in enumerate(codes) for p in range(n)], "code string, pos int, ret double, mkt_ret double, value double")
+    ev = spark.createDataFrame([("b", 300), ("b", 100), ("b", 318)], "code string, pos int")
+    got = {x.pos: x for x in events.abnormal_returns(ev, dense, (1, 5), (5,), least=3).collect()}
+    x, y = np.array(mkt[50:271]), np.array(ret["b"][50:271])
+    slope, level = np.polyfit(x, y, 1)
+    assert got[300].mm_5 == pytest.approx(sum(ret["b"][301:306]) - (5 * level + slope * sum(mkt[301:306])))
+    assert got[300].car_5 == pytest.approx(sum(ret["b"][301:306]) - sum(mkt[301:306])) and got[300].pre_5 == pytest.approx(sum(ret["b"][295:300]) - sum(mkt[295:300]))
+    assert got[100].mm_1 is None and got[318].car_5 is None and got[318].car_1 is not None
+    assert got[300].bm_1 == pytest.approx(0)
+
+
 def test_calendar_flags(spark):
     days = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(90)]
     days = [d for d in days if d.weekday() < 5 and d not in (D(2024, 1, 17), D(2024, 2, 28))]
