@@ -79,7 +79,7 @@ def pack(df: DataFrame, key: str, length: Column, capacity: int) -> DataFrame:
     An item is one piece unless it is longer than capacity; then it is split into pieces of
     capacity and a rest. start is a piece's first token in its item, at its first token in the
     container. Items of length 0 or null need no room: one row with piece 0, pieces 0 and null
-    container. key is unique; items with equal length take slots in the order of key; rows that
+    container. key is unique; of items with equal length, each share by hash takes slots in the order of key; rows that
     repeat a key are items of their own. Extra columns are left out. An empty table gives none.
 
     What reaches the driver is the histogram, at most capacity numbers, and the plan made of it.
