@@ -173,6 +173,18 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str], solo: dict[
     return F.pandas_udf(score, T.DoubleType())
 
 
+#: Names a resolver holds in each task: a market lists thousands.
+MOST_NAMES = 500_000
+
+
+def bounded_names(listed: DataFrame) -> list[tuple[str, str, dt.date, dt.date]]:
+    """(code, name, first, last) of panel.listed_names as a list; an error beyond MOST_NAMES."""
+    rows = [tuple(r) for r in listed.select("code", "name", "first", "last").limit(MOST_NAMES + 1).collect()]
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return rows
+
+
 def name_resolver(names: list[tuple[str, str, dt.date, dt.date]], pad: int = 10):
     """A column function (title, time) -> struct(code, how): the one stock that a title names on its day.
 

@@ -81,6 +81,14 @@ def timing(first: Column, day: Column, open_: str = "09:00", close: str = "13:30
     return F.when(first.isNull(), "none").when(first < o, "before").when(first <= c, "intraday").otherwise("after")
 
 
+def stratified(df: DataFrame, by: Sequence[str], kind: str, sizes: dict[str, int], order: Sequence[str]) -> DataFrame:
+    """Of each group of by and kind the first sizes[kind] rows by order; kinds without a size have none."""
+    size = F.lit(0)
+    for k, n in sizes.items():
+        size = F.when(F.col(kind) == k, n).otherwise(size)
+    return top_n(df, [*by, kind], [F.col(c) for c in order], max(sizes.values()), "__k").filter(F.col("__k") <= size).drop("__k")
+
+
 def name_precision(checks: DataFrame) -> DataFrame:
     """(code, kind, precision, n): the share of checked hits that are right; a code and kind's latest round counts."""
     per = checks.filter("ok is not null").groupBy("code", "kind", "round").agg(F.avg(F.col("ok").cast("double")).alias("precision"), F.count("*").alias("n"))

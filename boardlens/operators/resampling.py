@@ -12,14 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a series; a longer one isn't one of trading days.
-LONGEST_SERIES = 1_000_000
-
+from boardlens.operators.stats import one_series
 
 def series(df: DataFrame, order: str, cols: list[str]) -> np.ndarray:
-    n = df.count()
-    if n > LONGEST_SERIES:
-        raise ValueError(f"a series of {n} rows is too long to be sent to each task")
+    one_series(df)
     return np.array([tuple(r) for r in df.select(order, *cols).orderBy(order).select(*cols).collect()], dtype=float).reshape(-1, len(cols))
 
 
@@ -60,12 +56,12 @@ def auc_value(y: np.ndarray, p: np.ndarray) -> float | None:
 
 
 def auc_difference(df: DataFrame, order: str, y: str, a: str, b: str, block: int = 20, reps: int = 1000, seed: int = 0) -> tuple[float, float]:
-    """The 95 % interval of auc(a) - auc(b) by moving blocks; repetitions with one class only are left out."""
+    """The 95 % interval of auc(b) - auc(a), what b adds to a, by moving blocks; repetitions with one class only are left out."""
 
     def one(d: np.ndarray, rng: np.random.Generator) -> float | None:
         s = d[block_rows(len(d), block, rng)]
         x = auc_value(s[:, 0], s[:, 1])
-        return None if x is None else x - auc_value(s[:, 0], s[:, 2])
+        return None if x is None else auc_value(s[:, 0], s[:, 2]) - x
 
     r = repeated(df.sparkSession, series(df.dropna(subset=[y, a, b]), order, [y, a, b]), one, reps, seed)
     lo, hi = r.filter(~F.isnan("value")).agg(F.percentile("value", F.lit(0.025)), F.percentile("value", F.lit(0.975))).first()
@@ -79,8 +75,8 @@ def win_probability(df: DataFrame, order: str, excess: str, horizon: int, block:
 
 
 def permutation_percentile(df: DataFrame, order: str, ret: str, position: str, reps: int = 2000, seed: int = 0) -> float | None:
-    """The share of shuffles of position with a mean of position * ret below the actual one; null if all positions are equal."""
-    data = series(df.dropna(subset=[ret, position]), order, [ret, position])
+    """The share of shuffles of position with a mean gross return, position * (e^ret - 1), below the actual one; null if all positions are equal."""
+    data = series(df.dropna(subset=[ret, position]).select(order, F.expm1(ret).alias(ret), position), order, [ret, position])
     if len(set(data[:, 1])) < 2:
         return None
     actual = float((data[:, 0] * data[:, 1]).mean())

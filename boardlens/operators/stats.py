@@ -93,8 +93,21 @@ def _scores(d: DataFrame, names: list[str], beta: np.ndarray, keep: Sequence[str
     return d.withColumn("__e", e).select(*keep, *[(F.col(n) * F.col("__e")).alias(f"__s{i}") for i, n in enumerate(names)])
 
 
+#: Rows of a series, which one window holds; a longer one isn't one of trading days.
+LONGEST_SERIES = 1_000_000
+
+
+def one_series(df: DataFrame) -> int:
+    """df's number of rows; an error beyond LONGEST_SERIES."""
+    n = df.limit(LONGEST_SERIES + 1).count()
+    if n > LONGEST_SERIES:
+        raise ValueError(f"more than {LONGEST_SERIES} rows are no series")
+    return n
+
+
 def ols_hac(df: DataFrame, y: str, xs: Sequence[str], order: str, lags: int = 5, const: bool = True) -> Fit:
-    """OLS with Newey-West errors: Bartlett weights, no small-sample factor. df is one series, ordered by order."""
+    """OLS with Newey-West errors: Bartlett weights, no small-sample factor. df is one series, ordered by order; one beyond LONGEST_SERIES is refused."""
+    one_series(df)
     d, names = _complete(df, y, xs, const, [order])
     beta, bread, n, ssr = _solve(d, names)
     s = _scores(d, names, beta, [order])
@@ -145,7 +158,8 @@ def fe_ols(df: DataFrame, y: str, xs: Sequence[str], effects: Sequence[str], clu
 
 
 def granger(df: DataFrame, x: str, y: str, order: str, lags: int = 5) -> list[tuple[int, float, float]]:
-    """(lag, F, p): whether x's past helps y's own past to tell y."""
+    """(lag, F, p): whether x's past helps y's own past to tell y. df is one series, as in ols_hac."""
+    one_series(df)
     w = Window.orderBy(order)
     out = []
     for m in range(1, lags + 1):

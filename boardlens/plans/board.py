@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardlens.functions import lexicon
 from boardlens.functions import text as tx
-from boardlens.operators import joins, labels, matching, redelivery
+from boardlens.operators import joins, labels, matching, panel, redelivery
 from boardlens.plans.market import RETS, UNIQ, rets, texts
 from boardlens.plans.registry import Registry, rounded
 from boardlens.session import table
@@ -26,19 +27,30 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "universe_267").select(F.col("ticker").alias("code"), F.col("name_short").alias("name"))
 
 
-@R.add("""select article_id, nullif(trim(regexp_extract(title, '^\\s*((?:(?:Re|Fw|R|F):\\s*)*)\\[([^\\]]*)\\]', 2)), '') as category, coalesce(regexp_matches(title, '^\\s*(?:Re|Fw|R|F):'), false) as is_reply,
- length(regexp_replace(title, '^(?:\\s*(?:Re|Fw|R|F):\\s*)+', '')) as n from articles""")
+_WS = r"[\s\p{Z}\x{0b}\x{85}]"
+_TITLE = rf"^(Re:{_WS}*|Fw:{_WS}*)?\[([^\]]+)\]"
+
+
+@R.add(rf"""select article_id, case when regexp_matches(title, '{_TITLE}') then regexp_replace(regexp_extract(title, '{_TITLE}', 2), '^{_WS}+|{_WS}+$', '', 'g') end as category,
+ coalesce(regexp_matches(title, '{_TITLE}') and regexp_extract(title, '{_TITLE}', 1) <> '', false) as is_reply, length(regexp_replace(title, '^(?:{_WS}*(?:Re|Fw|R|F):{_WS}*)+', '')) as n from articles""")
 def parse_category(spark, d):
     cat, reply = tx.title_category(F.col("title"))
     return table(spark, d, "articles").select("article_id", cat.alias("category"), reply.alias("is_reply"), F.char_length(tx.strip_reply(F.col("title"))).cast("bigint").alias("n"))
 
 
-@R.add(r"""select doc_id, md5(trim(array_to_string(list_filter(string_split_regex(text, '\r\n|\r|\n'), lambda x: not regexp_matches(x, '^\s*(?:※ 引述|[:：]|ex \[)')), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '　')) as body
-from documents""")
+@R.add(rf"""select doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: not regexp_matches(x, '^{_WS}*(?:※{_WS}*引述|[:：]|ex{_WS}*\[)|板規|標題請使用以下格式')), chr(10)),
+ '[(（]例[^)）\n]*[)）]', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g')) as body from documents""")
 def strip_quotes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.strip_quotes(F.col("text"))).alias("body"))
 
 
+@R.add(rf"""with t as (select article_id, list_distinct(regexp_extract_all(replace(title, '[標的]', ' '), '(?:^|[\s\p{{Z}}(（\]】\-－/])(多|空)(?:$|[\s\p{{Z}})）】!！?？,，.。])', 1)) as said, regexp_extract(content, '分類{_WS}*[:：]{_WS}*([^\n]{{0,8}})', 1) as own from articles)
+select article_id, case when len(said) = 1 then case when said[1] = '多' then 'bullish' else 'bearish' end end as title_label, case when contains(own, '多') and not contains(own, '空') then 'bullish' when contains(own, '空') and not contains(own, '多') then 'bearish' end as own_label from t""")
+def post_labels(spark, d):
+    """What a title says of the direction, and what the author's own line in the body says."""
+    return table(spark, d, "articles").select("article_id", tx.title_direction(F.col("title")).alias("title_label"), tx.weak_label(F.col("content")).alias("own_label"))
+
+
 @R.add("select ticker as code, replace(regexp_replace(replace(name_short, '*', ''), '(?i:-(?:KY|DR))$', ''), '臺', '台') as name from universe_267")
 def norm_names(spark, d):
     return names(spark, d).select("code", tx.norm_name(F.col("name")).alias("name"))
@@ -143,26 +155,26 @@ def yearly_returns(spark, d):
     return rounded(g)
 
 
-@R.add()
+@R.add(f"""with {UNIQ}, k as (select uid, cast(year(time) as int) as year, kind, row_number() over (partition by year(time), kind order by md5(uid || '42'), uid) as k from uniq)
+select uid, year, kind from k where (kind = 'article' and k <= 70) or (kind = 'comment' and k <= 30)""")
 def stratified_sample(spark, d):
     """Of each year and kind the same texts at every run: 70 articles and 30 comments, by a hash of the identifier."""
-    t = texts(spark, d).withColumn("year", F.year("time"))
-    k = t.selectExpr("*", "row_number() over (partition by year, kind order by xxhash64(uid, 42), uid) as k")
-    return k.filter((F.col("kind") == "article") & (F.col("k") <= 70) | (F.col("kind") == "comment") & (F.col("k") <= 30)).select("uid", "year", "kind")
+    t = texts(spark, d).select("uid", "kind", F.year("time").alias("year")).withColumn("__h", F.md5(F.concat("uid", F.lit("42"))))
+    return labels.stratified(t, ["year"], "kind", {"article": 70, "comment": 30}, ["__h", "uid"]).select("uid", "year", "kind")
 
 
 @R.add()
 def resolved_titles(spark, d):
-    """Each distinct title's one stock, by names longest first; the list of stocks is one of 267."""
-    resolve = tx.name_resolver([(r.code, r.name) for r in names(spark, d).filter("name is not null").collect()])  # 267 at every scale
-    t = table(spark, d, "articles").select("title").filter("title is not null").distinct()
-    return t.withColumn("r", resolve("title")).select("title", "r.code", "r.how")
+    """The one stock that each title names on its day, by codes and names longest first."""
+    known = tx.bounded_names(panel.listed_names(table(spark, d, "panel")))
+    a = table(spark, d, "articles").select("article_id", "title", "time")
+    return a.withColumn("r", tx.name_resolver(known)("title", "time")).select("article_id", "r.code", "r.how")
 
 
 @R.add()
 def lexicon_scores(spark, d):
     """Distinct contents scored once, then joined back."""
-    score = tx.lexicon_scorer(["上修", "動土", "創高", "樂觀"], ["停損", "提列", "守不住", "悲觀", "跌破"])
+    score = tx.lexicon_scorer(lexicon.RISE, lexicon.FALL, lexicon.ALONE, lexicon.TURNS)
     a = table(spark, d, "articles").select("article_id", "content").filter("content is not null and content != ''")
     s = a.select("content").distinct().withColumn("score", score("content"))
     return a.join(s, "content").select("article_id", "score")

@@ -40,10 +40,10 @@ def cross_correlation(spark, d):
 
 @R.add(f"""with {RETS}, x as (select code, market, date, ret, avg(ret) over (partition by code, market) as m from rets where ret is not null),
 u as (select code, market, m, ret - m as u, {', '.join(f'lag(ret - m, {k}) over w as u{k}' for k in range(1, 6))} from x window w as (partition by code, market order by date))
-select code, market, count(*) as n, round(max(m), 7) as mean, round(sqrt(greatest(sum(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * coalesce(sum(u * u{k}), 0)' for k in range(1, 6))}, 0)) / count(*), 7) as se from u group by code, market""")
+select code, market, count(*) as n, round(max(m), 7) as mean, round(sqrt(greatest(sum(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * coalesce(sum(u * u{k}), 0)' for k in range(1, 6))}, 0)) / count(*), 7) as se, round(case when sum(u * u) > 0 then max(m) / (sqrt(greatest(sum(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * coalesce(sum(u * u{k}), 0)' for k in range(1, 6))}, 0)) / count(*)) end, 4) as t from u group by code, market""")
 def hac_means(spark, d):
     h = stats.hac_mean(rets(spark, d), "ret", "date", ["code", "market"], 5)
-    return rounded(h.select("code", "market", "n", "mean", "se"), 7)
+    return h.select("code", "market", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("mean", 7), ("se", 7), ("t", 4))])
 
 
 _LABELS = "lab as (select code, date, case when pre_abn > 0 then 'up' when pre_abn <= 0 then 'down' end as a, case when ret_next > 0 then 'up' when ret_next <= 0 then 'down' end as b from j)"
@@ -104,16 +104,16 @@ def backtest(spark, d):
     return b.select("code", F.col("date").cast("string").alias("date"), "position", (F.round("cost", 8) + 0.0).alias("cost"), (F.round("net", 6) + 0.0).alias("net"), F.round("equity", 6).alias("equity"))
 
 
-@R.add(f"""with {_BT}, m as (select *, equity / max(equity) over (partition by code order by date) - 1 as dd from e)
-select code, count(net) as n, round(max_by(equity, date) filter (where equity is not null) - 1, 6) as total, round(stddev_samp(net) * sqrt(252), 6) as vol, round(min(dd), 6) as max_dd, round(avg(abs(p)), 6) as exposure, round(sum(traded), 6) as turnover, round(sum(cost), 6) as cost from m group by code""")
+@R.add(f"""with {_BT}, m as (select *, equity / max(equity) over (partition by code order by date) - 1 as dd from e), g as (select *, max_by(equity, date) filter (where equity is not null) over (partition by code) as last, count(net) over (partition by code) as k from m)
+select code, count(net) as n, round(max(last) - 1, 6) as total, round(case when max(last) > 0 then pow(max(last), 252.0 / nullif(max(k), 0)) - 1 end, 6) as cagr, round(stddev_samp(net) * sqrt(252), 6) as vol, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252), 6) as sharpe, round(min(dd), 6) as max_dd, round(avg(abs(p)), 6) as exposure, round(sum(traded), 6) as turnover, round(sum(cost), 6) as cost from g group by code""")
 def backtest_summary(spark, d):
     s = portfolio.summary(_single(spark, d), ["code"], "date")
-    return rounded(s.select("code", "n", "total", "vol", "max_dd", "exposure", "turnover", "cost"))
+    return rounded(s.select("code", "n", "total", "cagr", "vol", "sharpe", "max_dd", "exposure", "turnover", "cost"))
 
 
-@R.add(f"with {_BT} select code, round(avg(case when p > 0 then 1.0 else 0.0 end), 6) as long, round(avg(case when p < 0 then 1.0 else 0.0 end), 6) as short, round(sum(gross), 6) as gross, round(sum(gross) / nullif(sum(traded), 0), 6) as breakeven from e group by code")
+@R.add(f"with {_BT} select code, round(avg(case when p > 0 then 1.0 else 0.0 end), 6) as long, round(avg(case when p < 0 then 1.0 else 0.0 end), 6) as short, round(sum(gross), 6) as gross, round(sum(traded), 6) as turnover, round(sum(gross) / nullif(sum(traded), 0), 6) as breakeven, round(sum(cost) / nullif(sum(traded), 0), 6) as avg_cost from e group by code")
 def trade_stats(spark, d):
-    return rounded(portfolio.trade_stats(_single(spark, d), ["code"]).select("code", "long", "short", "gross", "breakeven"))
+    return rounded(portfolio.trade_stats(_single(spark, d), ["code"]))
 
 
 @R.add(f"""with {RETS}, b as (select code, market, date, case when count(ret) over v = 60 then stddev_samp(ret) over v * sqrt(252) end as sigma, exp(sum(coalesce(ret, 0)) over (partition by code, market order by date rows unbounded preceding)) as level,
@@ -133,8 +133,13 @@ per as (select pos as a, lead(pos) over (order by pos) as b, row_number() over (
 days as (select distinct d.date, d.pos, period from dense d join per on d.pos > a and (b is null or d.pos <= b)),
 n as (select period, count(*) as n from pk join per on pk.pos = per.a group by period),
 held as (select y.date, y.pos, y.period, k.code, exp(sum(coalesce(d.ret, 0)) over (partition by y.period, k.code order by y.pos)) / n.n as v from days y join per using (period) join pk k on k.pos = per.a join n using (period) left join dense d on d.code = k.code and d.pos = y.pos),
-tot as (select period, pos, date, sum(v) as total from held group by all)
-select period, cast(date as varchar) as date, round(total / coalesce(lag(total) over (partition by period order by pos), 1) - 1, 6) as gross from tot""")
+tot as (select period, pos, date, sum(v) as total from held group by all),
+g as (select *, total / coalesce(lag(total) over (partition by period order by pos), 1) - 1 as gross, row_number() over (partition by period order by pos) = 1 as first from tot),
+left_over as (select h.period + 1 as period, h.code, h.v / t.total as old from held h join tot t on t.period = h.period and t.pos = h.pos where h.pos = (select max(pos) from tot x where x.period = h.period)),
+goal as (select per.period, pk.code, 1.0 / n.n as new from pk join per on pk.pos = per.a join n on n.period = per.period),
+moved as (select coalesce(g.period, e.period) as period, coalesce(new, 0) - coalesce(old, 0) as c from goal g full join left_over e on e.period = g.period and e.code = g.code),
+paid as (select period, sum(greatest(c, 0)) * 0.001425 + sum(greatest(-c, 0)) * 0.004425 as cost from moved group by period)
+select g.period, cast(date as varchar) as date, round(gross, 6) as gross, round(case when first then cost else 0 end, 6) as cost, round((1 - case when first then cost else 0 end) * (1 + gross) - 1, 6) as net, n.n from g join paid using (period) join n using (period)""")
 def periodic_portfolio(spark, d):
     g = dense(spark, d)
     w = frames.ordered(["code"], "pos")
@@ -143,15 +148,16 @@ def periodic_portfolio(spark, d):
     picks = frames.top_n(m.join(F.broadcast(ends), "pos", "left_semi"), ["pos"], [F.round("m", 9).desc(), F.col("code")], 5).select("pos", "code")
     periods = picks.select("pos").distinct().selectExpr("pos", "row_number() over (order by pos) as period")
     p = portfolio.periodic_portfolio(g.select("date", "pos", "code", "ret"), picks.join(F.broadcast(periods), "pos").select(F.col("period").cast("bigint").alias("period"), "pos", "code"), 0.001425, 0.004425)
-    return rounded(p.select("period", F.col("date").cast("string").alias("date"), "gross"))
+    return rounded(p.withColumn("date", F.col("date").cast("string")))
 
 
 @R.add(f"""with {_BT}, l as (select *, sum(ln(1 + net)) over (partition by code order by date rows unbounded preceding) as le from e where net is not null and ret_next is not null),
-x as (select *, exp(le - max(le) over (partition by code order by date rows unbounded preceding)) - 1 as dd, case when count(*) over y = 246 then exp(sum(ln(1 + net)) over y) - 1 end as yr from l window y as (partition by code order by date rows between 245 preceding and current row))
-select code, round(stddev_samp(ln(1 + net)) * sqrt(246), 6) as vol, round(min(dd), 6) as max_dd, round(min(yr), 6) as worst_year from x group by code""")
+x as (select *, exp(le - max(le) over (partition by code order by date rows unbounded preceding)) - 1 as dd, case when count(*) over y = 246 then exp(sum(ln(1 + net)) over y) - 1 end as yr, case when count(*) over z = 492 then sum(ln(1 + net) - ret_next) over z end as ahead
+  from l window y as (partition by code order by date rows between 245 preceding and current row), z as (partition by code order by date rows between 491 preceding and current row))
+select code, round(exp(sum(ln(1 + net)) * 365.25 / nullif(max(date) - min(date), 0)) - 1, 6) as cagr, round(avg(case when ahead > 0 then 1.0 when ahead <= 0 then 0.0 end), 6) as win_rate, round(stddev_samp(ln(1 + net)) * sqrt(252), 6) as vol, round(min(dd), 6) as max_dd, round(min(yr), 6) as worst_year from x group by code""")
 def evaluate(spark, d):
     b = _single(spark, d).filter("net is not null and ret_next is not null").withColumn("bench", F.expm1("ret_next"))
-    return rounded(portfolio.evaluate(b, ["code"], "date", "net", "bench").select("code", "vol", "max_dd", "worst_year"))
+    return rounded(portfolio.evaluate(b, ["code"], "date", "net", "bench", ahead=2).select("code", "cagr", "win_rate", "vol", "max_dd", "worst_year"))
 
 
 @R.add()

@@ -195,7 +195,7 @@ def test_resampling(spark):
     r = np.random.default_rng(0)
     y = (r.random(300) > 0.5).astype(int)
     d = spark.createDataFrame(pd.DataFrame({"t": range(300), "y": y, "a": y * 0.5 + r.random(300), "b": r.random(300), "ret": r.normal(size=300) + 0.5}))
-    lo, hi = resampling.auc_difference(d, "t", "y", "a", "b", reps=100)
+    lo, hi = resampling.auc_difference(d, "t", "y", "b", "a", reps=100)
     assert 0 < lo < hi < 1
     assert resampling.win_probability(d, "t", "ret", 200, reps=50) == 1.0
     assert resampling.win_probability(d.withColumn("ret", -F.abs("ret")), "t", "ret", 200, reps=50) == 0.0
