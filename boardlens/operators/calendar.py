@@ -77,9 +77,10 @@ def day_parts(df: DataFrame, ts: str, cal: DataFrame, close: str = "13:30", open
 
 
 def period_flags(cal: DataFrame) -> DataFrame:
-    """cal with month_end (last trading day of a complete month), week_end, new_month, log_gap, dow and settle.
+    """cal with month_end (last trading day of a complete month), week_end, new_month, log_gap, dow, settle and review.
 
-    settle: the month's third Wednesday, or the next trading day within a week of it.
+    settle: the month's third Wednesday, or the next trading day within a week of it. review: the
+    last trading day there is of each second month of a quarter.
     """
     w = Window.orderBy("date")
     nxt, prev = F.lead("date").over(w), F.lag("date").over(w)
@@ -92,6 +93,7 @@ def period_flags(cal: DataFrame) -> DataFrame:
         F.coalesce(month(prev) != month(F.col("date")), F.lit(True)).alias("new_month"),
         F.log(F.datediff("date", prev)).alias("log_gap"),
         F.weekday("date").alias("dow"),
+        ((F.month("date") % 3 == 2) & (nxt.isNull() | (month(nxt) != month(F.col("date"))))).alias("review"),
         third.alias("__third"),
     )
     settles = out.select("__third").distinct().join(day_map(cal).withColumnRenamed("day", "__third"), "__third").filter(F.datediff("trade_date", "__third") < 7).select(F.col("trade_date").alias("date"), F.lit(True).alias("settle")).distinct()

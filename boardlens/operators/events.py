@@ -86,6 +86,17 @@ def stock_lags(m: DataFrame, locked: str) -> DataFrame:
     )
 
 
+def volume_design(px: DataFrame, by: Sequence[str] = ("code",), order: str = "pos") -> DataFrame:
+    """px, dense in order, with the targets and lags of a volume and range model: y_lv, y_vol and of each the row before and the means of the 5 and 22 before (null unless all are there), abs_r1, neg_r1, lock_up1, lock_dn1, and gap_abs and gap_neg of the day itself."""
+    w = frames.ordered(by, order)
+    spread = F.when((F.col("high") > F.col("low")) & (F.col("low") > 0), F.log(F.log(F.col("high") / F.col("low"))))
+    d = px.withColumns({"y_lv": F.when(F.col("volume") > 0, F.log("volume")), "y_vol": spread})
+    lags = {f"{y}_l{n}": frames.rolling(F.avg, F.col(y), w, n, until=-1) for y in ("y_lv", "y_vol") for n in (1, 5, 22)}
+    r1 = F.lag("ret").over(w)
+    neg = lambda x: F.when(x.isNotNull(), F.least(x, F.lit(0.0)))
+    return d.withColumns({**lags, "abs_r1": F.abs(r1), "neg_r1": neg(r1), "lock_up1": F.lag(F.col("limit_up_close").cast("double")).over(w), "lock_dn1": F.lag(F.col("limit_down_close").cast("double")).over(w), "gap_abs": F.abs("gap"), "gap_neg": neg(F.col("gap"))})
+
+
 def abnormal_returns(ev: DataFrame, dense: DataFrame, horizons: Sequence[int] = (1, 5, 20, 60), pre: Sequence[int] = (20, 5), least: int = 50) -> DataFrame:
     """ev (code, pos, ...) with what codes did around: sums of returns, null where a day is missing.
 

@@ -25,6 +25,20 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, ri
     return both.select("__left.*", *[F.col(f"__known.{v}").alias(v) for v in values])
 
 
+def as_of_days(left: DataFrame, right: DataFrame, by: Sequence[str], left_day: str, right_day: str, values: Sequence[str]) -> DataFrame:
+    """as_of for right sides of a row per day at most: each is spread over the days until the next, and both meet by equality on by and day.
+
+    A key with a third of all left rows is spread by its days, and no row is sorted. Right rows
+    per by are as many as calendar days up to the last day of left. Of right rows of one day the
+    greatest by values counts.
+    """
+    one = right.filter(F.col(right_day).isNotNull()).groupBy(*by, F.col(right_day).alias("__from")).agg(F.max(F.struct(*values)).alias("__v"))
+    last = left.agg(F.max(left_day).alias("__last"))
+    until = F.coalesce(F.date_sub(F.lead("__from").over(Window.partitionBy(*by).orderBy("__from")), 1), F.greatest("__last", "__from"))
+    days = one.join(F.broadcast(last)).withColumn("__until", until).select(*by, "__v", F.explode(F.sequence("__from", "__until")).alias(left_day))
+    return left.join(days, [*by, left_day], "left").select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
 def in_intervals(rows: DataFrame, periods: DataFrame, by: Sequence[str], day: str, start: str, end: str, name: str = "inside") -> DataFrame:
     """rows with a flag: whether day lies in a period, both ends included, of the same by.
 
@@ -83,6 +97,29 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequ
     return left.join(r, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
+def overnight(sessions: DataFrame, days: DataFrame, window: int = 20) -> DataFrame:
+    """(date, abs, neg, pk, lvol, none): what a market that closes between two of days' dates did: of the sessions after the day before's last known one up to the calendar day before.
+
+    sessions: (date, adj, high, low, volume), a row per session. abs and neg are of the summed log
+    return, pk the root of the summed Parkinson variances, lvol the last session's log volume
+    less its mean over the window before; all 0 with none 1 where no session is new, null before
+    the first known ones.
+    """
+    w = Window.orderBy("date")  # one row per session
+    lv = F.when(F.col("volume") > 0, F.log("volume"))
+    s = sessions.withColumn("__lv", lv).select(
+        F.lit(1).alias("__k"), F.col("date").alias("__at"), F.row_number().over(w).alias("__n"), F.log("adj").alias("__lr"),
+        F.sum(F.pow(F.log(F.col("high") / F.col("low")), 2) / (4 * F.log(F.lit(2.0)))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__pk"),
+        F.when(F.count("__lv").over(w.rowsBetween(-window, -1)) == window, F.col("__lv") - F.avg("__lv").over(w.rowsBetween(-window, -1))).alias("__lvol"),
+    )
+    seen = as_of(days.select("date").withColumn("__k", F.lit(1)), s, ["__k"], "date", "__at", ["__n", "__lr", "__pk", "__lvol"], strict=True)
+    before = lambda c: F.lag(c).over(w)
+    d = seen.select("date", "__lvol", F.col("__n").alias("__n1"), before("__n").alias("__n0"), (F.col("__lr") - before("__lr")).alias("__ret"), (F.col("__pk") - before("__pk")).alias("__var"))
+    valid, new = F.col("__n0").isNotNull() & F.col("__n1").isNotNull(), F.col("__n1") > F.col("__n0")
+    known = lambda c: F.when(valid, F.when(new, c).otherwise(0.0))
+    return d.select("date", F.abs(known(F.col("__ret"))).alias("abs"), F.least(known(F.col("__ret")), F.when(valid, 0.0)).alias("neg"), F.sqrt(known(F.greatest("__var", F.lit(0.0)))).alias("pk"), known(F.col("__lvol")).alias("lvol"), F.when(valid, (~new).cast("double")).alias("none"))
+
+
 def accumulated(source: DataFrame, days: DataFrame, by: Sequence[str], at: str, day: str, value: str) -> DataFrame:
     """(by, day, value, none): the sum of source's value since the previous day of days, up to and without day itself.
 

@@ -89,10 +89,35 @@ def stratified(df: DataFrame, by: Sequence[str], kind: str, sizes: dict[str, int
     return top_n(df, [*by, kind], [F.col(c) for c in order], max(sizes.values()), "__k").filter(F.col("__k") <= size).drop("__k")
 
 
-def name_precision(checks: DataFrame) -> DataFrame:
-    """(code, kind, precision, n): the share of checked hits that are right; a code and kind's latest round counts."""
+def check_sheet(hits: DataFrame, by: Sequence[str], order: Column, n: int = 30) -> DataFrame:
+    """hits with n_hits: of each group at most n to be checked by hand, the first by order, such as a hash of the row."""
+    total = hits.groupBy(*by).agg(F.count("*").alias("n_hits"))
+    return top_n(hits, by, [order], n, "__k").drop("__k").join(total, list(by))
+
+
+def recheck_sheet(hits: DataFrame, seen: DataFrame, by: Sequence[str], item: str, order: Column, n: int = 30) -> DataFrame:
+    """hits with n_hits and from_first: groups of up to n hits whole, those that the first sheet (seen: by and item) held marked; of larger ones n that it didn't."""
+    marked = hits.join(seen.select(*by, item).distinct().withColumn("__s", F.lit(1)), [*by, item], "left")
+    d = marked.join(hits.groupBy(*by).agg(F.count("*").alias("n_hits")), list(by)).withColumn("from_first", F.col("__s").isNotNull().cast("int")).drop("__s")
+    few = d.filter(F.col("n_hits") <= n)
+    many = top_n(d.filter((F.col("n_hits") > n) & (F.col("from_first") == 0)), by, [order], n, "__k").drop("__k")
+    return few.unionByName(many)
+
+
+def carried_marks(second: DataFrame, first: DataFrame, by: Sequence[str], item: str) -> DataFrame:
+    """second with ok of the rows that from_first marks taken from first, where the same item was checked."""
+    known = first.groupBy(*by, item).agg(F.max("ok").alias("__ok"))
+    return second.join(known, [*by, item], "left").withColumn("ok", F.when(F.col("from_first") == 1, F.col("__ok")).otherwise(F.col("ok"))).select(*second.columns)
+
+
+def name_precision(checks: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(code, kind, precision, n): the share of checked hits that are right; a code and kind's latest round counts. gone: (code, kind) that a later round found nothing of any more, which have no precision."""
     per = checks.filter("ok is not null").groupBy("code", "kind", "round").agg(F.avg(F.col("ok").cast("double")).alias("precision"), F.count("*").alias("n"))
-    return per.groupBy("code", "kind").agg(F.max_by(F.struct("precision", "n"), "round").alias("r")).select("code", "kind", "r.*")
+    last = per.groupBy("code", "kind").agg(F.max_by(F.struct("precision", "n"), "round").alias("r")).select("code", "kind", "r.*")
+    if gone is None:
+        return last
+    j = last.join(gone.select("code", "kind").distinct().withColumn("__g", F.lit(1)), ["code", "kind"], "left")
+    return j.select("code", "kind", F.when(F.col("__g").isNull(), F.col("precision")).alias("precision"), F.when(F.col("__g").isNull(), F.col("n")).otherwise(0).alias("n"))
 
 
 def hit_stats(tagged: DataFrame, named: DataFrame) -> DataFrame:

@@ -199,3 +199,23 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     j = actual.join(said, "label", "left").join(right, "label", "left").fillna(0, ["tp", "said"])
     p, r = F.col("tp") / F.nullif(F.col("said"), F.lit(0)), F.col("tp") / F.col("n")
     return j.select("label", F.coalesce(p, F.lit(0.0)).alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), "n")
+
+
+def time_split(df: DataFrame, order: str, share: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
+    """df with train: whether a row is among the first share of its group by order, the number of them cut to a whole one."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(order, *[c for c in df.columns if c not in (order, *by)])
+    n = F.count("*").over(Window.partitionBy(*by))
+    return df.withColumn("train", F.row_number().over(w) <= F.floor(n * F.lit(share)))
+
+
+def polarity(bull: Column, bear: Column, neither: Column) -> Column:
+    """bull less bear, of probabilities; null where neither is the greatest."""
+    return F.when(~((neither > bull) & (neither > bear)), bull - bear)
+
+
+def lexicon_baseline(df: DataFrame, score: str, label: str, up: str = "bullish", down: str = "bearish") -> DataFrame:
+    """(coverage, accuracy): the share of rows whose score has a sign, and of those the share whose label it is."""
+    said = F.when(F.col(score) > 0, up).when(F.col(score) < 0, down)
+    return df.filter(F.col(label).isNotNull()).agg(F.avg(said.isNotNull().cast("double")).alias("coverage"), F.avg((said == F.col(label)).cast("double")).alias("accuracy"))

@@ -263,3 +263,23 @@ def welch(df: DataFrame, value: str, flag: str) -> tuple[float, float]:
 def expected_power(t: float, n: int, n_new: int, alpha: float = 0.05) -> float:
     """Power of a one-sided test on n_new rows of an effect whose t on n rows was t."""
     return normal_sf(normal_quantile(1 - alpha) - t * (n_new / n) ** 0.5)
+
+
+def one_sided(t: float) -> float:
+    """p of a mean above 0."""
+    return normal_sf(t)
+
+
+def detectable(se: float, alpha: float = 0.05, power: float = 0.8) -> float:
+    """The effect that a one-sided test finds with that power, given its standard error."""
+    return se * (normal_quantile(1 - alpha) + normal_quantile(power))
+
+
+def side_difference(df: DataFrame, value: str, side: str, order: str, lags: int = 5, least: int = 10) -> tuple[float, float, int] | None:
+    """(difference of the means of value on rows with side 1 and -1, t with Newey-West errors, n); null with fewer than least rows on either side."""
+    d = df.filter((F.col(side) != 0) & F.col(value).isNotNull()).withColumn("__long", (F.col(side) > 0).cast("double"))
+    n = d.agg(F.count_if(F.col("__long") == 1).alias("a"), F.count_if(F.col("__long") == 0).alias("b")).first()
+    if min(n.a, n.b) < least:
+        return None
+    fit = ols_hac(d, value, ["__long"], order, lags)
+    return float(fit.beta[1]), float(fit.t[1]), fit.n

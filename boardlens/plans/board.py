@@ -189,3 +189,37 @@ def hit_stats(spark, d):
     named = matching.name_hits(n, "item", "title", names(spark, d), "code", "name")
     tagged = n.select("item", F.explode("stock").alias("code")).distinct().join(names(spark, d).select("code").distinct(), "code", "left_semi").select("item", "code")
     return rounded(labels.hit_stats(tagged, named))
+
+
+def rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each code's short name with the longer names that hold it, of those listed in the panel too."""
+    own = names(spark, d).filter("name is not null and name != ''").withColumn("name", tx.norm_name(F.col("name")))
+    listed = table(spark, d, "panel").select(F.lit("").alias("code"), tx.norm_name(F.col("name")).alias("name")).filter("name is not null").distinct()
+    longer = matching.superstrings(own.unionByName(listed), "code", "name").filter("code != ''").select("code", "name", F.col("longer").alias("exclude"))
+    return own.join(longer, ["code", "name"], "left").select("code", "name", F.coalesce("exclude", F.lit("")).alias("exclude"), F.lit(True).alias("by_name"), F.lit(True).alias("by_code"))
+
+
+_NORM = "replace(regexp_replace(replace({0}, '*', ''), '(?i:-(?:KY|DR))$', ''), '臺', '台')"
+_RULES = f"""own as (select ticker as code, {_NORM.format('name_short')} as name from universe_267 where name_short is not null and name_short <> ''), every as (select name from own union select {_NORM.format('name')} from panel where name is not null),
+ruled as (select o.code, o.name, coalesce(list_sort(list_distinct(list(e.name) filter (where e.name is not null))), []) as words from own o left join every e on contains(e.name, o.name) and e.name <> o.name group by all),
+t as (select article_id, replace(coalesce(title, ''), '臺', '台') as t from articles),
+hits as (select distinct article_id, code from t join ruled on name <> '' and (contains(t, name) or (regexp_matches(name, '[A-Za-z]') and contains(lower(t), lower(name))))
+  where case when regexp_matches(name, '[A-Za-z]') then contains(lower(list_reduce(list_prepend(t, words), lambda a, w: replace(a, w, ''))), lower(name)) else contains(list_reduce(list_prepend(t, words), lambda a, w: replace(a, w, '')), name) end
+ union select article_id, code from (select article_id, unnest(list_distinct(regexp_extract_all(t, '[0-9]+'))) as code from t) where code in (select code from own))"""
+
+
+@R.add(f"with {_RULES} select article_id, code from hits")
+def rule_hits(spark, d):
+    return matching.rule_hits(table(spark, d, "articles"), "article_id", "title", rules(spark, d))
+
+
+@R.add(f"""with {_RULES}, {UNIQ}, c as (select split_part(uid, ':', 2) as article_id, split_part(uid, ':', 3) as idx, time from uniq where kind = 'comment')
+select code, cast(time as varchar) as time, count(*) as n from (select code, time from articles join hits using (article_id) union all select code, c.time from c join articles a using (article_id) join hits using (article_id) where epoch(c.time) - epoch(a.time) <= 30 * 86400) group by all""")
+def board_items(spark, d):
+    """When each code is talked of: articles that name it, and the comments of their threads up to 30 days on."""
+    a = table(spark, d, "articles").select("article_id", "time")
+    c = texts(spark, d).filter("kind = 'comment'").select(F.split_part("uid", F.lit(":"), F.lit(2)).alias("article_id"), F.split_part("uid", F.lit(":"), F.lit(3)).alias("idx"), "time")
+    lag = F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(F.col("__t").cast("timestamp"))
+    c = c.join(a.select("article_id", F.col("time").alias("__t")), "article_id").select("article_id", "idx", "time", lag.alias("lag_sec"))
+    items = matching.thread_items(a, c, matching.rule_hits(table(spark, d, "articles"), "article_id", "title", rules(spark, d)))
+    return items.groupBy("code", F.col("time").cast("string").alias("time")).agg(F.count("*").alias("n"))

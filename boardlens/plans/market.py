@@ -67,9 +67,10 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
     return panel.with_market(grid, panel.market_returns(p))
 
 
-def stock_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A row per code and traded day, with its market's return and the day's position; of a day with rows in two markets the first."""
-    r = cut(rets(spark, d).drop("high", "low"))
+def stock_rows(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """A row per code and traded day, with its market's return and the day's position, whole: with high and low too; of a day with rows in two markets the first."""
+    r = rets(spark, d)
+    r = cut(r if whole else r.drop("high", "low"))
     p = panel.with_market(r, panel.market_returns(r)).join(F.broadcast(cal(spark, d)), "date")
     before = F.lag("date").over(frames.ordered(["code"], ["date", "market"]))
     return p.withColumn("__before", before).filter("not date <=> __before").drop("__before")
@@ -142,7 +143,7 @@ def preopen_split(spark, d):
 months as (select distinct date_trunc('month', date) as m from cal), third as (select cast(m + to_days(cast((10 - isodow(m)) % 7 as int) + 14) as date) as w3 from months),
 settle as (select min(c.date) as date from third t join cal c on c.date >= t.w3 group by t.w3 having min(c.date) - t.w3 < 7)
 select cast(date as varchar) as date, pos, coalesce(date_trunc('month', nxt) <> date_trunc('month', date), false) as month_end, coalesce(date_trunc('week', nxt) <> date_trunc('week', date), false) as week_end,
- coalesce(date_trunc('month', prv) <> date_trunc('month', date), true) as new_month, round(ln(date - prv), 6) as log_gap, cast(isodow(date) - 1 as int) as dow, date in (select date from settle) as settle from n""")
+ coalesce(date_trunc('month', prv) <> date_trunc('month', date), true) as new_month, round(ln(date - prv), 6) as log_gap, cast(isodow(date) - 1 as int) as dow, date in (select date from settle) as settle, month(date) % 3 = 2 and (nxt is null or date_trunc('month', nxt) <> date_trunc('month', date)) as review from n""")
 def calendar_flags(spark, d):
     f = calendar.period_flags(cal(spark, d))
     return rounded(f.withColumn("date", F.col("date").cast("string")).withColumn("pos", F.col("pos").cast("bigint")))
@@ -416,7 +417,7 @@ select uid, p.close, cast(p.date as varchar) as at from a asof left join p on p.
 def asof_panel(spark, d):
     a = texts(spark, d).filter("kind = 'article'").select("uid", "code", F.to_date("time").alias("day"))
     p = table(spark, d, "panel").filter("close > 0").groupBy("code", "date").agg(F.min("close").alias("close")).withColumn("at", F.col("date").cast("string"))
-    return joins.as_of(a, p, ["code"], "day", "date", ["at", "close"]).select("uid", "close", "at")
+    return joins.as_of_days(a, p, ["code"], "day", "date", ["at", "close"]).select("uid", "close", "at")
 
 
 @R.add("""with p as (select distinct code, date from panel) select code, cast(date as varchar) as date, exists(select 1 from twse_punish t where t.code = p.code and p.date between t.start and t."end") as inside from p""")
@@ -466,3 +467,30 @@ def author_history(spark, d):
     kept = events.drop_close_repeats(a, ["account", "code"], "pos", ["pos", "uid"], 5)
     kept = kept.withColumn("hit", F.col("score") > 0)
     return rounded(kept.select("uid", "account", "code", F.col("pos").cast("bigint").alias("pos"), events.past_hit_rate(kept, ["account"], "pos", "hit", 20, 3).alias("hits")))
+
+
+@R.add(f"""with {CAL}, us as (select * from (select date, close as adj, high, low, volume, row_number() over (partition by date order by market, code) as k from traded where high is not null and low > 0 and code < '3') where k = 1),
+s as (select date, row_number() over (order by date) as n, ln(adj) as lr, sum(pow(ln(high / low), 2) / (4 * ln(2.0))) over (order by date) as pk, case when count(*) over b = 20 then ln(volume) - avg(ln(volume)) over b end as lvol from us window b as (order by date rows between 20 preceding and 1 preceding)),
+seen as (select c.date, s.n, s.lr, s.pk, s.lvol from cal c asof left join s on c.date > s.date), d as (select *, lag(n) over (order by date) as n0, lr - lag(lr) over (order by date) as r, pk - lag(pk) over (order by date) as v from seen)
+select cast(date as varchar) as date, round(case when n0 is not null then case when n > n0 then abs(r) else 0 end end, 6) as abs, round(case when n0 is not null then case when n > n0 then least(r, 0) else 0 end end, 6) as neg, round(case when n0 is not null then case when n > n0 then sqrt(greatest(v, 0)) else 0 end end, 6) as pk,
+ round(case when n0 is not null then case when n > n0 then lvol else 0 end end, 6) as lvol, case when n0 is not null then cast(n <= n0 as double) end as none from d""".replace("with cal", f"with {TRADED}, cal", 1))
+def overnight(spark, d):
+    """What a market that closes between two trading days did; one stock a day stands for it."""
+    w = frames.ordered(["date"], ["market", "code"])
+    t = panel.traded(table(spark, d, "panel")).filter("high is not null and low > 0 and code < '3'").withColumn("k", F.row_number().over(w)).filter("k = 1")
+    o = joins.overnight(t.select("date", F.col("close").alias("adj"), "high", "low", "volume"), cal(spark, d))
+    return rounded(o.withColumn("date", F.col("date").cast("string")))
+
+
+_LAGS = ", ".join(f"case when count({y}) over w{n} = {n} then avg({y}) over w{n} end as {y}_l{n}" for y in ("y_lv", "y_vol") for n in (1, 5, 22))
+_DESIGN = ["y_lv", "y_vol", *[f"{y}_l{n}" for y in ("y_lv", "y_vol") for n in (1, 5, 22)], "abs_r1", "neg_r1", "lock_up1", "lock_dn1", "gap_abs", "gap_neg"]
+
+
+@R.add(f"""with {MODEL}, y as (select code, date, pos, ret, gap, limit_up_close, limit_down_close, case when volume > 0 then ln(volume) end as y_lv, case when high > low and low > 0 then ln(ln(high / low)) end as y_vol from px),
+d as (select code, date, y_lv, y_vol, {_LAGS}, abs(lag(ret) over w) as abs_r1, case when lag(ret) over w is not null then least(lag(ret) over w, 0) end as neg_r1, lag(cast(limit_up_close as double)) over w as lock_up1, lag(cast(limit_down_close as double)) over w as lock_dn1, abs(gap) as gap_abs, case when gap is not null then least(gap, 0) end as gap_neg
+ from y window w as (partition by code order by pos), {', '.join(f'w{n} as (partition by code order by pos rows between {n} preceding and 1 preceding)' for n in (1, 5, 22))})
+select code, cast(date as varchar) as date, {', '.join(f'round({c}, 6) as {c}' for c in _DESIGN)} from d""")
+def volume_design(spark, d):
+    """Targets and lags of a volume and range model, per code and traded day."""
+    v = events.volume_design(stock_rows(spark, d, whole=True))
+    return rounded(v.select("code", F.col("date").cast("string").alias("date"), *_DESIGN))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlens.operators import calendar, frames, models, portfolio, stats
-from boardlens.plans.market import DENSE, RETS, cal, dense, model, rets
+from boardlens.operators import calendar, frames, models, panel, portfolio, stats, strategies
+from boardlens.plans.market import DENSE, MARKET, RETS, cal, dense, model, rets
 from boardlens.plans.registry import Registry, rounded
-from boardlens.session import table
+from boardlens.session import cut, table
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -196,6 +196,43 @@ g as (select code, date, ret_next, 'follow' as strategy, cast(case when pre_abn
 gn as (select code, strategy, date, p * (exp(ret_next) - 1) as net from g where ret_next is not null)"""
 
 
+_SIGNAL = f"""{MARKET}, sig as (select date, mkt_ret as ret from mkt where market = 'TWSE'), lv as (select *, exp(sum(coalesce(ret, 0)) over (order by date)) as level, date_trunc('month', date) is distinct from date_trunc('month', lag(date) over (order by date)) as monthly, lead(date) over (order by date) as nx, row_number() over (order by date) as rn from sig),
+g as (select *, coalesce(nx is not null and date_trunc('week', date) <> date_trunc('week', nx), false) or rn = 1 as weekly, coalesce(case when count(ret) over a = 200 then level > avg(level) over a end, false) as up,
+ coalesce(least(greatest(0.2754 / nullif(case when count(ret) over v = 60 then stddev_samp(ret) over v end * sqrt(252), 0), 1.0), 2.0), 1.0) as lev from lv window a as (order by date rows between 199 preceding and current row), v as (order by date rows between 59 preceding and current row)),
+rules as (select date, 'C0' as strategy, 1.0 as x, true as keep from g union all select date, 'C1', 1.5, monthly from g union all select date, 'C2', lev, weekly from g union all select date, 'C3', case when up then 2.0 else 1.0 end, true from g)"""
+
+
+def leverage_days(spark: SparkSession, d: str) -> DataFrame:
+    """The market's days with its return, twice that as a two-fold asset's, and the signals of all rules."""
+    r = rets(spark, d)
+    m = panel.market_returns(r).filter("market = 'TWSE'").select("date", F.col("mkt_ret").alias("ret"))
+    return strategies.signals(cut(m), "ret", 0.1836, (20, 60, 120), (100, 150, 200, 250), (1.25, 1.5, 1.75))
+
+
+@R.add(f"with {_SIGNAL} select strategy, cast(date as varchar) as date, round(cast(case when keep then 2 - x end as double), 6) as t_x1, round(cast(case when keep then x - 1 end as double), 6) as t_x2 from rules")
+def leverage_targets(spark, d):
+    t = strategies.targets(leverage_days(spark, d), strategies.registered(), ["x1", "x2"])
+    return rounded(t.select("strategy", F.col("date").cast("string").alias("date"), "t_x1", "t_x2"))
+
+
+@R.add(f"""with recursive {_SIGNAL}, asked as (select strategy, date, lead(ret) over (partition by strategy order by date) as nr, case when keep then 2 - x end as t1, case when keep then x - 1 end as t2, case when strategy = 'C2' then 0.1 else 0 end as band, row_number() over (partition by strategy order by date) as n from rules join sig using (date)),
+ready as (select *, exp(coalesce(nr, 0)) - 1 as r1, exp(ln(1 + 2 * (exp(coalesce(nr, 0)) - 1))) - 1 as r2 from asked),
+book as (select strategy, n, date, cast(t1 as double) as w1, cast(t2 as double) as w2, cast((abs(t1) + abs(t2)) * 0.001 as double) as cost, cast(t1 * r1 + t2 * r2 as double) as gross, cast(t1 * (1 + r1) / (1 + t1 * r1 + t2 * r2) as double) as h1, cast(t2 * (1 + r2) / (1 + t1 * r1 + t2 * r2) as double) as h2 from ready where n = 1
+ union all select r.strategy, r.n, r.date, k.w1, k.w2, k.cost, k.w1 * r1 + k.w2 * r2, k.w1 * (1 + r1) / (1 + k.w1 * r1 + k.w2 * r2), k.w2 * (1 + r2) / (1 + k.w1 * r1 + k.w2 * r2)
+  from book b join ready r on r.strategy = b.strategy and r.n = b.n + 1, lateral (select t1 is not null and greatest(abs(t1 - h1), abs(t2 - h2)) > band + 1e-12 as trade) y,
+  lateral (select case when trade then cast(t1 as double) else h1 end as w1, case when trade then cast(t2 as double) else h2 end as w2, case when trade then (greatest(t1 - h1, 0) + greatest(t2 - h2, 0)) * 0.001 + (greatest(h1 - t1, 0) + greatest(h2 - t2, 0)) * 0.002 else 0 end as cost) k)
+select strategy, cast(date as varchar) as date, round(w1, 6) as w_x1, round(w2, 6) as w_x2, round(cost, 8) as cost, round((1 - cost) * (1 + gross) - 1, 6) as net from book""")
+def leverage_books(spark, d):
+    """The registered strategies traded: weights that drift, bands, costs and net returns, day by day."""
+    days = leverage_days(spark, d)
+    nxt = F.lead("ret").over(frames.ordered([], "date"))
+    days = days.withColumns({"r_x1": nxt, "r_x2": F.log1p(2 * F.expm1(nxt))})
+    t = cut(strategies.targets(days, strategies.registered(), ["x1", "x2"], ["r_x1", "r_x2"]))
+    books = [portfolio.weights_backtest(t.filter(F.col("band") == b), ["strategy"], "date", ["x1", "x2"], 0.001, 0.002, b) for b in (0.0, strategies.BAND)]
+    out = books[0].unionByName(books[1])
+    return out.select("strategy", F.col("date").cast("string").alias("date"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("w_x1", "w_x2")], (F.round("cost", 8) + 0.0).alias("cost"), (F.round("net", 6) + 0.0).alias("net"))
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     v = joined(spark, d).filter("ptt_base is not null")
     follow = F.coalesce(F.signum("pre_abn"), F.lit(0.0))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardlens import config
-from boardlens.operators import labels, portfolio
+from boardlens.operators import labels, matching, portfolio
 
 T = dt.datetime
 
@@ -78,3 +78,34 @@ def test_config(tmp_path, monkeypatch):
     monkeypatch.delenv("A_KEY", raising=False)
     config.load_env(tmp_path / ".env")
     assert os.environ.pop("A_KEY") == "v" and "B_KEY" not in os.environ and "C_KEY" not in os.environ
+
+
+def test_rules_and_sheets(spark):
+    rules = spark.createDataFrame([("1303", "南亞", True, True, "南亞科/東南亞"), ("3008", "ABC光", True, False, ""), ("2008", "高興昌", False, True, "")], "code string, name string, by_name boolean, by_code boolean, exclude string")
+    texts = spark.createDataFrame([("1", "南亞科 好"), ("2", "南亞與南亞科"), ("3", "東南亞"), ("4", "abc光 漲"), ("5", "1303!"), ("6", "3008"), ("7", "2008年 高興昌"), ("8", None)], "id string, title string")
+    hits = matching.rule_hits(texts, "id", "title", rules)
+    assert {tuple(r) for r in hits.collect()} == {("2", "1303"), ("4", "3008"), ("5", "1303"), ("7", "2008")}
+    arts = spark.createDataFrame([("2", 1), ("9", 2)], "article_id string, time int")
+    comms = spark.createDataFrame([("2", 0, 5, 60), ("2", 1, 6, 40 * 86400), ("9", 0, 7, 10)], "article_id string, idx int, time int, lag_sec bigint")
+    said = spark.createDataFrame([("9", 0, "1303"), ("2", 0, "1303")], "article_id string, idx int, code string")
+    items = matching.thread_items(arts, comms, hits.withColumnRenamed("id", "article_id"), said)
+    assert sorted((r.code, r.time) for r in items.collect()) == [("1303", 1), ("1303", 5), ("1303", 7)]
+    s = spark.createDataFrame([("1990", "長榮", 10, 0.5, 100), ("2330", "甲乙", 2, None, 30), ("2331", "甲乙丙", 2, None, 30), ("2332", "丁戊", 9, 0.9, 99)], "code string, name string, hits int, tag_frac double, board_hits int")
+    flags = matching.name_flags(s)
+    assert {r.code: (r.low_tag, r.no_news, r.code_year) for r in flags.collect()} == {"1990": (True, False, True), "2330": (False, True, False), "2331": (False, False, False), "2332": (False, False, False)}
+    p = spark.createDataFrame([("1990", "code", 0.5), ("1990", "name", 0.9), ("2330", "name", 0.7), ("2332", "name", None)], "code string, kind string, precision double")
+    final = {r.code: (r.by_name, r.by_code, r.by_title) for r in matching.match_rules(flags, p).collect()}
+    assert final == {"1990": (True, False, False), "2330": (False, True, False), "2331": (True, True, True), "2332": (True, True, True)}
+
+
+def test_sheets_for_checking(spark):
+    hits = spark.createDataFrame([("a", f"t{i}") for i in range(5)] + [("b", "x"), ("b", "y")], "code string, title string")
+    first = labels.check_sheet(hits, ["code"], F.col("title"), 3)
+    assert sorted((r.code, r.title, r.n_hits) for r in first.collect()) == [("a", "t0", 5), ("a", "t1", 5), ("a", "t2", 5), ("b", "x", 2), ("b", "y", 2)]
+    again = labels.recheck_sheet(hits, first.filter("title != 'y'"), ["code"], "title", F.col("title"), 2)
+    assert sorted((r.code, r.title, r.from_first) for r in again.collect()) == [("a", "t3", 0), ("a", "t4", 0), ("b", "x", 1), ("b", "y", 0)]
+    marks = labels.carried_marks(again.withColumn("ok", F.lit(None).cast("int")), first.withColumn("ok", F.lit(1)), ["code"], "title")
+    assert {(r.title, r.ok) for r in marks.collect()} == {("t3", None), ("t4", None), ("x", 1), ("y", None)}
+    checks = spark.createDataFrame([("1", "name", 1, 1), ("2", "name", 1, 0)], "code string, kind string, round int, ok int")
+    gone = spark.createDataFrame([("2", "name")], "code string, kind string")
+    assert {tuple(r) for r in labels.name_precision(checks, gone).collect()} == {("1", "name", 1.0, 1), ("2", "name", None, 0)}

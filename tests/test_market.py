@@ -228,3 +228,35 @@ def test_calendar_flags(spark):
     assert f[D(2024, 1, 18)].settle and f[D(2024, 2, 21)].settle and sum(r.settle for r in f.values()) == 3
     assert f[D(2024, 1, 31)].month_end and f[D(2024, 2, 29)].month_end and not f[max(days)].month_end
     assert math.isclose(f[D(2024, 1, 8)].log_gap, math.log(3)) and f[D(2024, 1, 8)].dow == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_as_of_days_agrees_with_as_of(spark, seed):
+    r = random.Random(seed)
+    day = lambda: D(2024, 1, 1) + dt.timedelta(days=r.randint(0, 40))
+    left = spark.createDataFrame([(i, r.choice("ab"), day()) for i in range(60)] + [(90, "c", D(2024, 1, 5)), (91, "a", None), (92, None, D(2024, 1, 5))], "i int, k string, d date")
+    right = spark.createDataFrame([(r.choice("ab"), day(), r.randint(0, 9)) for _ in range(20)] + [("a", None, 1)], "k string, at date, v int")
+    got = {x.i: x.v for x in joins.as_of_days(left, right, ["k"], "d", "at", ["v"]).collect()}
+    want = {x.i: x.v for x in joins.as_of(left, right, ["k"], "d", "at", ["v"]).collect()}
+    assert got == want and len(got) == 63
+
+
+def test_overnight(spark):
+    us = [(D(2024, 1, d), a, h, lo, v) for d, a, h, lo, v in ((1, 100.0, 101.0, 99.0, 5.0), (2, 102.0, 103.0, 100.0, 6.0), (4, 99.0, 104.0, 98.0, 7.0), (5, 98.0, 99.0, 97.0, 0.0))]
+    s = spark.createDataFrame(us, "date date, adj double, high double, low double, volume double")
+    cal = spark.createDataFrame([(D(2024, 1, d),) for d in (1, 2, 3, 4, 8)], "date date")
+    got = {x.date.day: x for x in joins.overnight(s, cal, window=1).collect()}
+    pk = lambda h, lo: math.log(h / lo) ** 2 / (4 * math.log(2))
+    assert got[1].abs is None and got[2].abs is None and got[4].none == 1.0 and got[4].abs == 0.0 and got[4].lvol == 0.0
+    assert got[3].abs == pytest.approx(math.log(1.02)) and got[3].neg == 0 and got[3].lvol == pytest.approx(math.log(6 / 5)) and got[3].none == 0.0
+    assert got[8].neg == pytest.approx(math.log(98 / 102)) and got[8].pk == pytest.approx(math.sqrt(pk(104, 98) + pk(99, 97))) and got[8].lvol is None
+
+
+def test_volume_design(spark):
+    rows = [("a", p, 10.0 + p, 12.0 + p, 9.0, 1.0 + p, 0.01 * (-1) ** p, p == 3, False, -0.02) for p in range(30)]
+    d = spark.createDataFrame(rows, "code string, pos int, close double, high double, low double, volume double, ret double, limit_up_close boolean, limit_down_close boolean, gap double")
+    got = {x.pos: x for x in events.volume_design(d).collect()}
+    lv = [math.log(1 + p) for p in range(30)]
+    assert got[0].y_lv_l1 is None and got[4].y_lv_l5 is None and got[5].y_lv_l5 == pytest.approx(sum(lv[:5]) / 5) and got[22].y_lv_l22 == pytest.approx(sum(lv[:22]) / 22)
+    assert got[4].lock_up1 == 1.0 and got[2].abs_r1 == pytest.approx(0.01) and got[2].neg_r1 == pytest.approx(-0.01) and got[1].neg_r1 == 0.0 and got[7].gap_neg == -0.02
+    assert got[3].y_vol == pytest.approx(math.log(math.log(15 / 9)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardlens.functions import distributions as dist
-from boardlens.operators import frames, models, portfolio, resampling, stats
+from boardlens.operators import frames, models, portfolio, resampling, stats, strategies
 
 
 def _panel(seed=0, n=400):
@@ -240,3 +240,56 @@ def test_strategy_signals(spark):
     w = frames.ordered(["k"], "t")
     got = d.withColumn("level", portfolio.level(F.col("r"), w)).select("t", portfolio.volatility_target(F.col("r"), w, 0.24).alias("v"), portfolio.above_average(F.col("level"), w).alias("a")).orderBy("t").collect()
     assert got[10].v == 1.0 and 1.4 < got[100].v < 1.6 and got[100].a is None and got[220].a is not None
+
+
+def test_strategies(spark):
+    r = np.random.default_rng(1)
+    days = [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in range(400) if (dt.date(2023, 1, 2) + dt.timedelta(days=i)).weekday() < 5]
+    p = pd.DataFrame({"date": days, "ret": r.normal(0, 0.01, len(days))})
+    p["r_x1"], p["r_x2"] = p.ret, 2 * p.ret
+    s = strategies.signals(spark.createDataFrame(p), "ret", 0.2, (20, 60), (100, 150, 200, 250), (1.25, 1.5, 1.75)).withColumns({f"leverage_120_{k}": F.lit(1.0) for k in (1.25, 1.5, 1.75)})
+    t = strategies.targets(s, strategies.registered() | strategies.variants(), ["x1", "x2"], ["r_x1"])
+    assert t.select("strategy").distinct().count() == 4 + 25
+    rows = {(x.strategy, x.date): x for x in t.collect()}
+    assert rows["C1", days[0]].t_x1 == 0.5 and rows["C1", days[1]].t_x1 is None and rows["C2", days[0]].t_x2 == 0.0
+    assert rows["C2", days[4]].t_x1 == 1.0 and rows["C2", days[3]].t_x1 is None and rows["C3", days[150]].t_x1 == 1.0
+    assert all(0 <= x.t_x2 <= 1 for x in rows.values() if x.t_x2 is not None)
+    mix = strategies.targets(s, strategies.allocations({"m": ({"x1": 0.4, "bond": 0.6}, "quarterly")}) | {"rp": strategies.risk_parity(["x1", "x2"])}, ["x1", "x2", "bond"])
+    got = {(x.strategy, x.date): x for x in mix.collect()}
+    assert (got["m", days[0]].t_x1, got["m", days[0]].t_x2, got["m", days[0]].t_bond) == (0.4, 0.0, 0.6)
+    assert [d.month for k, d in got if k == "m" and got[k, d].t_x1 is not None and d > days[0]] == [4, 7, 10, 1]
+    later = next(d for d in days[65:] if got["rp", d].t_x1 is not None)
+    assert got["rp", days[0]].t_x1 == 0.5 and got["rp", later].t_x1 == pytest.approx(2 / 3)
+    c = strategies.Costs(0.001425, 0.6, 0.003, 0.0015, 0.001, 0.0008, 0.0001, 0.00002)
+    assert c.stock() == pytest.approx((0.000855, 0.003855, 0.0008)) and c.stock(True) == pytest.approx((0.000855, 0.002355, 0.0)) and c.future() == pytest.approx((0.00012, 0.00012, 0.0)) and c.fund() == pytest.approx((0.000855, 0.001855))
+
+
+def test_splice_and_rolling_choice(spark):
+    day = lambda i: dt.date(2024, 1, i)
+    index = spark.createDataFrame([(day(i), 0.01) for i in (1, 2, 5, 8)], "date date, ret double")
+    two = spark.createDataFrame([(day(i), 0.02) for i in (2, 5)], "date date, ret double")
+    funds = spark.createDataFrame([(day(5), 0.011, 0.021), (day(8), None, 0.03)], "date date, x1 double, x2 double")
+    got = strategies.spliced(index, two, funds, "2024-01-05", 0.0365).orderBy("date").collect()
+    assert [x.r_x1 for x in got] == [pytest.approx(math.log(math.exp(0.01) - 0.0001)), pytest.approx(math.log(math.exp(0.01) - 0.0001)), 0.011, None]
+    assert [(x.r_x2, x.o_x1, x.o_x2) for x in got] == [(None, True, True), (0.02, True, True), (0.021, True, True), (0.03, False, True)]
+    nets = spark.createDataFrame([(s, dt.date(y, 1, 2 + i), 0.1, w, 1 - w) for s, w in (("a", 1.0), ("b", 0.2)) for y in (2020, 2021, 2022) for i in (0, 1)], "strategy string, date date, net double, w_x1 double, w_x2 double")
+    choice = spark.createDataFrame([(2020, "a"), (2021, "b"), (2022, "b")], "year int, strategy string")
+    assert [round(x.net, 6) for x in strategies.rolling_choice(nets, choice, ["x1", "x2"], 0.01).orderBy("date").collect()] == [0.1, 0.1, round(1.1 * (1 - 0.008) - 1, 6), 0.1, 0.1, 0.1]
+
+
+def test_small_helpers(spark):
+    assert stats.one_sided(1.645) == pytest.approx(0.05, abs=1e-3) and stats.detectable(1.0) == pytest.approx(2.4865, abs=1e-3)
+    d = spark.createDataFrame([(i, 1.0 if i % 2 else -1.0, (1.0 if i % 2 else 0.0) + (i % 3) / 10) for i in range(60)], "t int, side double, v double")
+    diff, t, n = stats.side_difference(d, "v", "side", "t")
+    assert diff == pytest.approx(1.0, abs=0.05) and t > 5 and n == 60 and stats.side_difference(d.limit(15), "v", "side", "t") is None
+    assert [x.train for x in models.time_split(d.limit(9), "t").orderBy("t").collect()] == [True] * 7 + [False] * 2
+    p = spark.createDataFrame([(0.5, 0.3, 0.2), (0.2, 0.3, 0.5), (0.4, 0.2, 0.4)], "a double, b double, c double")
+    assert [x.x if x.x is None else round(x.x, 6) for x in p.select(models.polarity(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()] == [0.2, None, 0.2]
+    b = spark.createDataFrame([(0.5, "bullish"), (-1.0, "bullish"), (0.0, "bearish"), (None, "bearish")], "s double, l string")
+    assert tuple(models.lexicon_baseline(b, "s", "l").first()) == (0.5, 0.5)
+
+
+def test_demean_says_when_it_does_not_converge(spark):
+    d = spark.createDataFrame([(i % 3, i % 4, float(i * i)) for i in range(11)], "a int, b int, x double")
+    with pytest.raises(ArithmeticError):
+        stats.demean(d, ["x"], ["a", "b"], most=1)
