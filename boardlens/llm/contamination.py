@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardlens.llm.fm_index import FMIndex
 from boardlens.llm.hashing import Hashes, code_points, minimizers
+from boardlens.session import cut as written
 
 #: Characters of the grams that order positions, and grams per window.
 GRAM, WINDOW = 4, 8
@@ -171,16 +172,21 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
     The corpus is only scanned: no shuffle, no key that could be hot. A task cuts its rows into
     shards of bounded size, a text longer than that into overlapping parts, and indexes one at a
-    time. Items are sent to the tasks in blocks of bounded size; more items mean more passes.
+    time. Items are sent to the tasks in blocks of ITEMS characters and one item at most, in the
+    order of their keys; more items mean more passes. An item is a test item: one longer than
+    ITEMS makes its block as long as itself.
     """
-    total = items.agg(F.sum(F.char_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-total // ITEMS))
+    size = F.char_length("__t").cast("bigint")
+    before = F.coalesce(F.sum(size).over(Window.orderBy("__k", "__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = items.select(F.col(f"`{item_key}`").cast("bigint").alias("__k"), F.col(f"`{item_text}`").alias("__t")).filter("__k is not null and __t is not null")
+    own = written(own.withColumn("__block", F.floor(before / F.lit(ITEMS)).cast("int")))
+    blocks = [r[0] for r in own.select("__block").distinct().orderBy("__block").collect()] or [0]
     spark, out = docs.sparkSession, None
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).filter("k is not null and t is not null and t != ''")
     schema = f"`{key}` bigint, `{item_key}` bigint, start int, end int"
-    for block in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == block).filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull())
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.select(item_key, item_text).collect()])  # about ITEMS characters
+    for block in blocks:
+        mine = own.filter(F.col("__block") == block).select("__k", "__t")
+        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])  # about ITEMS characters
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             wanted = Items(sent.value, least)
