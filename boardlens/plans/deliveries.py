@@ -107,7 +107,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     t = drift.common_table(table(spark, d, "twtauu"), REDUCTION)
-    return t.withColumn("day", F.col("day").cast("string")).withColumn("failed", F.array_join("failed", ","))
+    rest = F.array_join(F.transform("rest", lambda x: F.concat_ws("|", x["pos"].cast("string"), F.coalesce(x["name"], F.lit("")), x["raw"])), ";")
+    return t.withColumns({"day": F.col("day").cast("string"), "failed": F.array_join("failed", ","), "rest": rest})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_totals, p4_found, p5_found, p5_good, p6_found, p6_table)}
@@ -184,6 +185,24 @@ union all select feed, seq, field, 'removed' from removed
 union all select f.feed, f.seq, f.field, 'retyped' from full_node f join walk w on w.feed = f.feed and w.seq = f.seq - 1 and w.field = f.before where f.kind <> w.known
 """
 
+def _p6_table() -> str:
+    """Each target's place in the names, its raw value, the value typed, and what is left."""
+    names = [t.name for t in REDUCTION]
+    place = ", ".join("coalesce(" + ", ".join(f"nullif(list_position(names, '{n}'), 0)" for n in t.known_as) + f") as at_{t.name}" for t in REDUCTION)
+    raw = ", ".join(f"case when trim(row[at_{n}]) not in ('', '-', '--') then row[at_{n}] end as raw_{n}" for n in names)
+    plain = "case when regexp_full_match(replace(trim({0}), ',', ''), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(replace(trim({0}), ',', '') as double) end"
+    roc = "case when regexp_full_match({0}, '[0-9]{{1,3}}(/[0-9]{{1,2}}/[0-9]{{1,2}}|年[0-9]{{1,2}}月[0-9]{{1,2}}日)') then try_cast(printf('%04d-%02d-%02d', cast(regexp_extract_all({0}, '[0-9]+')[1] as int) + 1911, cast(regexp_extract_all({0}, '[0-9]+')[2] as int), cast(regexp_extract_all({0}, '[0-9]+')[3] as int)) as date) else try_cast({0} as date) end"
+    typed = ", ".join({"number": plain, "day": roc, "text": "{0}"}[t.kind].format(f"raw_{t.name}") + f" as {t.name}" for t in REDUCTION)
+    failed = ", ".join(f"case when raw_{t.name} is not null and {t.name} is null then '{t.name}' end" for t in REDUCTION if t.kind != "text")
+    held = ", ".join(f"case when {n} is not null then at_{n} end" for n in names)
+    return _P6.split(",\npairs as")[0].replace("any_value(data) as data", "arg_min(data, file_id) as data") + f""",
+rowed as (select feed, seq, names, unnest(data) as row, unnest(range(len(data))) as row_no from named),
+placed as (select *, {place} from rowed), raws as (select *, {raw} from placed), typed as (select *, {typed} from raws),
+ended as (select *, [{held}] as held, [{failed}] as failing from typed)
+select feed, seq, cast(row_no as int) as row_no, {", ".join("cast(day as varchar) as day" if n == "day" else n for n in names)}, array_to_string(list_filter(failing, lambda x: x is not null), ',') as failed,
+ array_to_string(list_transform(list_filter(range(1, len(row) + 1), lambda i: row[i] is not null and trim(row[i]) not in ('', '-', '--') and not coalesce(list_contains(held, i), false)), lambda i: concat_ws('|', cast(i as varchar), coalesce(names[i], ''), row[i])), ';') as rest from ended"""
+
+
 SQL = {
     "p1_found": f"select delivery_id from ({_P1_RANKED}) where rn > 1",
     "p1_kept": f"select delivery_id, trim(newsid, ' ') as newsid, publishat, title, cast(coalesce(len(stock), 0) as int) as n_stock from (select * exclude (rn) from ({_P1_RANKED}) where rn = 1 union all select * from newsfeed where newsid is null)",
@@ -199,4 +218,5 @@ union all select src, code, cast(date as varchar), 'burst' from late where src =
   max(case when name = '收盤價' then try_cast(replace(v, ',', '') as double) end) as close, max(case when name = 'start' then printf('%04d-%02d-%02d', cast(y as int) + 1911, cast(nums[2] as int), cast(nums[3] as int)) end) as start,
   max(case when name = 'end' then printf('%04d-%02d-%02d', cast(y as int) + 1911, cast(nums[2] as int), cast(nums[3] as int)) end) as "end" from parts where line_id not in (select line_id from bad) group by line_id, feed""",
     "p6_found": _P6_RECURSIVE,
+    "p6_table": _p6_table(),
 }

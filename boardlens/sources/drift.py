@@ -132,12 +132,14 @@ def common_table(files: DataFrame, targets: list[Target]) -> DataFrame:
         raws.append(F.when(cell["kind"].isNotNull(), cell["raw"]).alias(f"__raw{i}"))
         places.append((at - 1).cast("int").alias(f"__at{i}"))
     rows = rows.select("feed", "seq", "row_no", "names", "paths", *raws, *places)
+    # one array per kind, as the code of each cast, once per target, would be more than Spark compiles
+    cast = {"number": number, "day": lambda x: F.coalesce(roc_day(x), x.try_cast("date")), "text": lambda x: x}
+    of = {k: [i for i, t in enumerate(targets) if t.kind == k] for k in cast}
+    rows = rows.withColumns({f"__{k}": F.transform(F.array(*[F.col(f"__raw{i}") for i in of[k]]), cast[k]) for k in of if of[k]})
     out: list[Column] = []
     failed: list[Column] = []
     for i, t in enumerate(targets):
-        raw = F.col(f"__raw{i}")
-        typed = {"number": number(raw), "day": F.coalesce(roc_day(raw), raw.try_cast("date")), "text": raw}[t.kind]
-        out.append(typed.alias(t.name))
+        out.append(F.get(f"__{t.kind}", F.lit(of[t.kind].index(i))).alias(t.name))
         if t.kind != "text":
             failed.append(F.when(F.col(f"__raw{i}").isNotNull() & F.col(t.name).isNull(), F.lit(t.name)))
     typed_rows = rows.select("feed", "seq", "row_no", "names", "paths", *[f"__{k}{i}" for k in ("raw", "at") for i in range(len(targets))], *out)
