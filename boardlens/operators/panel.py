@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardlens.operators import frames
+from boardlens.operators.calendar import week_key
 
 
 def traded(rows: DataFrame) -> DataFrame:
@@ -98,6 +101,27 @@ def targets(p: DataFrame, of: str = "ret") -> DataFrame:
     return p.withColumns({"ret_next": nxt, "up_next": F.when(nxt.isNotNull(), (nxt > 0).cast("int")), "target_date": F.lead("date").over(w), **more})
 
 
+def weekly(daily: DataFrame, last: Sequence[str], mean: Sequence[str], start: str | None = None, end: str | None = None, by: Sequence[str] = ("code", "market")) -> DataFrame:
+    """A row per Saturday-to-Friday week: date, its last day with a row, that day's `last` columns, the week's means of `mean`, ret_next, the sum of the next week's ret (null if a day's is missing), and target_end, its last day.
+
+    Only weeks that end from start on and whose next ends before end, where given; without a next week there is no target.
+    """
+    w = frames.ordered(by, "__week")
+    g = daily.groupBy(*by, week_key(F.col("date")).alias("__week")).agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in last], *[F.avg(c).alias(c) for c in mean], frames.strict_sum(F.col("ret")).alias("__ret"))
+    g = g.withColumns({"ret_next": F.lead("__ret").over(w), "target_end": F.lead("date").over(w)})
+    ok = F.lit(True)
+    if start:
+        ok = ok & (F.col("date") >= F.lit(start).cast("date"))
+    if end:
+        ok = ok & (F.col("target_end") < F.lit(end).cast("date"))
+    return g.filter(ok).drop("__week", "__ret")
+
+
+def hedged(ret: Column, market: Column) -> Column:
+    """The log return of one share held against as much of the market sold."""
+    return F.log1p(F.expm1(ret) - F.expm1(market))
+
+
 def signed(x: Column) -> Column:
     """1 up, 0 down, null when flat or unknown: the direction of a move, where targets' up_next asks for a rise."""
     return F.when(x > 0, 1).when(x < 0, 0)

@@ -283,3 +283,12 @@ def side_difference(df: DataFrame, value: str, side: str, order: str, lags: int
         return None
     fit = ols_hac(d, value, ["__long"], order, lags)
     return float(fit.beta[1]), float(fit.t[1]), fit.n
+
+
+def extreme_spread(df: DataFrame, fwd: str, low: str, high: str, controls: Sequence[str], order: str, lags: int) -> dict[str, float]:
+    """How much more fwd comes to after low days than after high ones: n, raw_diff (of the means) and diff with t and p, beside controls, Newey-West errors. df is one series."""
+    d = df.dropna(subset=[fwd, low, high, *controls]).withColumns({"__low": F.col(low).cast("double"), "__high": F.col(high).cast("double")})
+    fit = ols_hac(d, fwd, ["__low", "__high", *controls], order, lags)
+    diff, se = fit.contrast({"__low": 1.0, "__high": -1.0})
+    raw = d.agg((F.avg(F.when(F.col("__low") == 1, F.col(fwd))) - F.avg(F.when(F.col("__high") == 1, F.col(fwd)))).alias("d")).first().d
+    return {"n": fit.n, "raw_diff": raw, "diff": diff, "t": diff / se, "p": 2 * normal_sf(abs(diff / se))}

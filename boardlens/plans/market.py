@@ -360,12 +360,27 @@ def extremes(spark, d):
     return one.select("code", F.col("date").cast("string").alias("date"), f(x <= q(0.4)).alias("low40"), f(x <= q(0.1)).alias("low10"), f(x >= q(0.9)).alias("high10"))
 
 
-@R.add(f"""with {RETS}, w as (select code, market, cast(date_trunc('week', date + 2) + interval 4 days as date) as week, max_by(close, date) as close, avg(gap) as gap, case when count(ret) = count(*) then sum(ret) end as ret, count(*) as n from rets group by all)
-select code, market, cast(week as varchar) as week, close, round(gap, 6) as gap, round(ret, 6) as ret, n, round(lead(ret) over (partition by code, market order by week), 6) as ret_next from w""")
+_WEEKLY_LAST, _WEEKLY_MEAN = ["close", "ret_5", "vol_20", "vlm_z"], ["sent", "sent_chg", "bull_ratio", "log_posts"]
+
+
+@R.add(f"""with b as ({SQL['build_daily']}), p as ({SQL['price_features']}), j as (select p.code, p.market, cast(p.date as date) as date, p.ret, {', '.join(f'p.{c}' for c in _WEEKLY_LAST)}, {', '.join(f'b.{c}' for c in _WEEKLY_MEAN)} from p join b on b.code = p.code and b.market = p.market and b.date = p.date),
+w as (select code, market, cast(date_trunc('week', date + 2) + interval 4 days as date) as week, max(date) as date, {', '.join(f'arg_max_null({c}, date) as {c}' for c in _WEEKLY_LAST)}, {', '.join(f'avg({c}) as {c}' for c in _WEEKLY_MEAN)}, case when count(ret) = count(*) then sum(ret) end as r from j group by all),
+n as (select *, lead(r) over (partition by code, market order by week) as ret_next, lead(date) over (partition by code, market order by week) as target_end from w)
+select code, market, cast(date as varchar) as date, {', '.join(f'round({c}, 8) as {c}' for c in _WEEKLY_LAST + _WEEKLY_MEAN)}, round(ret_next, 8) as ret_next, cast(target_end as varchar) as target_end from n where date >= date '2022-02-01' and target_end < date '2023-12-01'""")
 def weekly(spark, d):
-    g = rets(spark, d).groupBy("code", "market", calendar.week_key(F.col("date")).alias("week")).agg(F.max_by("close", "date").alias("close"), F.avg("gap").alias("gap"), frames.strict_sum(F.col("ret")).alias("ret"), F.count("*").alias("n"))
-    g = g.withColumn("ret_next", F.lead("ret").over(frames.ordered(["code", "market"], "week")))
-    return rounded(g.withColumn("week", F.col("week").cast("string")))
+    key = ["code", "market", "date"]
+    j = price_features(spark, d).select(*key, "ret", *_WEEKLY_LAST).join(build_daily(spark, d).select(*key, *_WEEKLY_MEAN), key).withColumn("date", F.col("date").cast("date"))
+    w = panel.weekly(j, _WEEKLY_LAST, _WEEKLY_MEAN, "2022-02-01", "2023-12-01")
+    return rounded(w.withColumns({c: F.col(c).cast("string") for c in ("date", "target_end")}), 8)
+
+
+@R.add(f"""with {ALIGNED}, acct as (select code, pos, account, round(avg(score), 12) as m from aligned where pos is not null and account is not null and score is not null and {_PRE.format('08:30:00')} group by all)
+select code, pos, round(case when count(*) >= 3 then avg(m) end, 10) as sent, count(*) as n_polar from acct group by code, pos""")
+def preopen_sentiment(spark, d):
+    """The sentiment of what was said from the close before to half an hour before the open."""
+    a = aligned(spark, d).filter("pos is not null")
+    s = sentiment.sentiment(a.filter(calendar.before_clock(F.col("time"), F.col("trade_date"), "08:30")), ["code", "pos"], 3)
+    return rounded(s.select("code", F.col("pos").cast("bigint").alias("pos"), F.col("sent_mean").alias("sent"), "n_polar"), 10)
 
 
 @R.add(f"""with {RETS} select code, market, cast(date as varchar) as date, round(case when count(ret) over f = 3 then sum(ret) over f end, 6) as fwd3, round(case when count(ret) over e >= 20 then avg(ret) over e end, 6) as hist_mean,

@@ -72,6 +72,10 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text("data_dir: d\nx: 1\n")
     monkeypatch.delenv("BOARDLENS_DATA", raising=False)
     assert config.load_config(tmp_path / "c.yaml") == {"data_dir": str(tmp_path / "d"), "x": 1}
+    (tmp_path / "d.yaml").write_text("data_dir: d\nwork_dir: w\noutput_dir: /tmp\n")
+    cfg = config.load_config(tmp_path / "d.yaml")
+    assert cfg["output_dir"] == "/tmp" and config.path_in(cfg, "work_dir", "a", "b").parent.is_dir()
+    assert config.model_path(cfg, "weak", "2330") == config.model_path(cfg, "weak", "2603") != config.model_path(cfg, "own", "2330") and config.target_suffix("open_to_close") == "_oc"
     monkeypatch.setenv("BOARDLENS_DATA", "/abs")
     assert config.load_config(tmp_path / "c.yaml")["data_dir"] == "/abs"
     (tmp_path / ".env").write_text("A_KEY='v'\nB_KEY=\n# C_KEY=1\n")

@@ -260,3 +260,14 @@ def test_volume_design(spark):
     assert got[0].y_lv_l1 is None and got[4].y_lv_l5 is None and got[5].y_lv_l5 == pytest.approx(sum(lv[:5]) / 5) and got[22].y_lv_l22 == pytest.approx(sum(lv[:22]) / 22)
     assert got[4].lock_up1 == 1.0 and got[2].abs_r1 == pytest.approx(0.01) and got[2].neg_r1 == pytest.approx(-0.01) and got[1].neg_r1 == 0.0 and got[7].gap_neg == -0.02
     assert got[3].y_vol == pytest.approx(math.log(math.log(15 / 9)))
+
+
+def test_weekly(spark):
+    days = [(D(2024, 1, d), float(d), 0.01 * d if d != 18 else None) for d in (4, 5, 6, 8, 11, 15, 18, 22)]
+    d = spark.createDataFrame([("a", "TWSE", x, c, r) for x, c, r in days], "code string, market string, date date, close double, ret double").withColumn("sent", F.col("close"))
+    got = {r.date.day: r for r in panel.weekly(d, ["close"], ["sent"]).collect()}
+    assert set(got) == {5, 11, 18, 22} and got[5].close == 5.0 and got[5].sent == 4.5 and got[11].sent == pytest.approx(25 / 3)
+    assert got[5].ret_next == pytest.approx(0.25) and got[5].target_end == D(2024, 1, 11) and got[11].ret_next is None and got[22].target_end is None
+    assert [r.date.day for r in panel.weekly(d, ["close"], ["sent"], "2024-01-06", "2024-01-19").collect()] == [11]
+    x = d.limit(1).select(panel.hedged(F.lit(0.1), F.lit(0.05)).alias("x")).first().x
+    assert x == pytest.approx(math.log(1 + math.exp(0.1) - math.exp(0.05)))

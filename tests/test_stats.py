@@ -293,3 +293,12 @@ def test_demean_says_when_it_does_not_converge(spark):
     d = spark.createDataFrame([(i % 3, i % 4, float(i * i)) for i in range(11)], "a int, b int, x double")
     with pytest.raises(ArithmeticError):
         stats.demean(d, ["x"], ["a", "b"], most=1)
+
+
+def test_extreme_spread(spark):
+    r = np.random.default_rng(2)
+    p = pd.DataFrame({"t": range(300), "x": r.normal(size=300)})
+    p["low"], p["high"] = p.x < -0.5, p.x > 0.5
+    p["y"] = np.where(p.low, 0.5, 0.0) + 0.1 * r.normal(size=300)
+    got = stats.extreme_spread(spark.createDataFrame(p), "y", "low", "high", ["x"], "t", 5)
+    assert got["n"] == 300 and got["raw_diff"] == pytest.approx(0.5, abs=0.05) and got["diff"] == pytest.approx(0.5, abs=0.15) and got["t"] > 5 and got["p"] < 1e-3
