@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -106,8 +107,12 @@ def walk_forward(df: DataFrame, by: Sequence[str], order: str, features: Sequenc
 def char_ngrams(text: Column, lo: int = 1, hi: int = 3) -> Column:
     """The substrings of lo to hi characters, in order."""
     size = F.char_length(text)
-    parts = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)")) for n in range(lo, hi + 1)]
-    return F.concat(*parts)
+
+    def of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(size >= n, every).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.concat(*[of(n) for n in range(lo, hi + 1)])
 
 
 class TextClassifier:
@@ -150,12 +155,25 @@ class TextClassifier:
         return self
 
     def predict(self, df: DataFrame, text: str) -> DataFrame:
-        """df with label and p_<label> for each label."""
-        from pyspark.ml.functions import vector_to_array
-
-        p = self.model.transform(self._vectors(df, text)).withColumn("__p", vector_to_array("probability"))
-        names = F.array(*[F.lit(x) for x in self.labels])
-        return p.select(*df.columns, F.element_at(names, F.col("prediction").cast("int") + 1).alias("label"), *[F.col("__p")[i].alias(f"p_{x}") for i, x in enumerate(self.labels)])
+        """df with label and p_<label> for each label.
+
+        Texts go to Python by Arrow batches, and only probabilities come back: no vector is made
+        of a row. The vocabulary and its weights, at most `features` entries, are sent to each task.
+        """
+        k = len(self.labels)
+        matrix, intercept = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        if len(matrix) < k:  # two labels have one margin
+            matrix, intercept = np.vstack([np.zeros_like(matrix), matrix]), np.concatenate([np.zeros_like(intercept), intercept])
+        words = self.vocabulary.vocabulary
+        sent = df.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, self.weights, matrix, intercept))
+
+        def probabilities(texts: pd.Series) -> pd.Series:
+            index, weights, coefficients, base = sent.value
+            return pd.Series([_probabilities(t or "", index, weights, coefficients, base) for t in texts.fillna("")])
+
+        p = df.withColumn("__p", F.pandas_udf(probabilities, "array<double>")(F.col(text)))
+        names, best = F.array(*[F.lit(x) for x in self.labels]), F.array_position("__p", F.array_max("__p")).cast("int")
+        return p.select(*df.columns, F.element_at(names, best).alias("label"), *[F.col("__p")[i].alias(f"p_{x}") for i, x in enumerate(self.labels)])
 
     def save(self, path: str) -> None:
         self.vocabulary.write().overwrite().save(f"{path}/vocabulary")
@@ -190,6 +208,17 @@ def _weighted(v, weights: np.ndarray):
     return Vectors.sparse(v.size, v.indices, x / norm if norm else x)
 
 
+def _probabilities(text: str, index: dict[str, int], weights: np.ndarray, coefficients: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """What the fitted model gives for one text: its n-grams counted, weighed and normed as _weighted does, and the classes' shares of the margins."""
+    counts = Counter(i for n in (1, 2, 3) for a in range(len(text) - n + 1) if (i := index.get(text[a : a + n])) is not None)
+    at = np.fromiter(counts, dtype=np.int64, count=len(counts))
+    x = (1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))) * weights[at]
+    norm = np.sqrt((x * x).sum())
+    margin = base + coefficients[:, at] @ (x / norm if norm else x)
+    e = np.exp(margin - margin.max())
+    return e / e.sum()
+
+
 def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """(label, precision, recall, f1, n) of each label, from the counts of label and prediction."""
     cells = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("a"), F.col(pred).alias("b")).agg(F.count("*").alias("n"))

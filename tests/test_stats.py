@@ -223,9 +223,15 @@ def test_walk_forward_has_no_look_ahead(spark):
 def test_text_classifier(spark, tmp_path):
     texts = [("漲停 看多 創高", "long")] * 6 + [("跌停 看空 破底", "short")] * 6 + [("請問 開戶", "none")] * 6 + [(None, "none")]
     d = spark.createDataFrame(texts, "text string, label string")
+    assert spark.createDataFrame([("abca",)], "t string").select(models.char_ngrams(F.col("t")).alias("g")).first().g == ["a", "b", "c", "a", "ab", "bc", "ca", "abc", "bca"]
     m = models.TextClassifier().fit(d, "text", "label")
     got = {r.text: r.label for r in m.predict(d, "text").collect()}
     assert got["漲停 看多 創高"] == "long" and got["跌停 看空 破底"] == "short"
+    whole = {r.text: r.probability.toArray() for r in m.model.transform(m._vectors(d, "text")).collect()}
+    for r in m.predict(d, "text").collect():
+        assert [r[f"p_{x}"] for x in m.labels] == pytest.approx(list(whole[r.text]))
+    two = models.TextClassifier().fit(d.filter("label != 'none'"), "text", "label")
+    assert {(r.text, r.label) for r in two.predict(d.filter("label != 'none'"), "text").collect()} == set(texts[:12])
     m.save(str(tmp_path / "m"))
     again = models.TextClassifier.load(str(tmp_path / "m"))
     assert again.meta == m.meta and {r.text: r.label for r in again.predict(d, "text").collect()} == got
