@@ -59,8 +59,10 @@ def path_kinds(files: DataFrame) -> DataFrame:
     Null without a value; text where values of several kinds meet, the only kind that holds them all.
     """
     known = F.array(*[F.lit(k) for k in KINDS])
-    flat = cells(files).select("feed", "seq", F.explode("paths").alias("pos", "cell"))
-    flat = flat.select("feed", "seq", "pos", F.when(F.col("cell.kind").isNotNull(), F.array_position(known, F.col("cell.kind"))).alias("__k"))  # numbers, so that hashing aggregates them
+    rows = files.select("feed", "seq", F.explode("data").alias("__row")).filter(F.size("__row") > 0)
+    paths = rows.select("feed", "seq", F.map_from_arrays(F.sequence(F.lit(0), F.size("__row") - 1), F.col("__row")).alias("__paths"))
+    flat = paths.select("feed", "seq", F.explode("__paths").alias("pos", "raw")).withColumn("__kind", kind_of(F.col("raw")))
+    flat = flat.select("feed", "seq", "pos", F.when(F.col("__kind").isNotNull(), F.array_position(known, F.col("__kind"))).alias("__k"))  # numbers, so that hashing aggregates them
     per = flat.groupBy("feed", "seq", "pos").agg(F.count("__k").alias("n_values"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi"))
     kind = F.when(F.col("__lo") == F.col("__hi"), F.element_at(known, F.col("__lo").cast("int"))).when(F.col("__lo").isNotNull(), "text")
     return per.select("feed", "seq", "pos", kind.alias("kind"), "n_values", F.when(F.col("__lo") != F.col("__hi"), 2).otherwise(F.col("__lo").isNotNull().cast("int")).alias("n_kinds"))
