@@ -46,6 +46,12 @@ def rolling_quantile(x: Column, q: float, w: WindowSpec, n: int, least: int) ->
     return F.when(F.count(x).over(frame) >= least, F.percentile(x, F.lit(q)).over(frame))
 
 
+def rolling_quantiles(x: Column, qs: Sequence[float], w: WindowSpec, n: int, least: int) -> Column:
+    """rolling_quantile for several q as an array, from one reading of the frame."""
+    frame = w.rowsBetween(-n, -1)
+    return F.when(F.count(x).over(frame) >= least, F.percentile(x, F.array(*[F.lit(float(q)) for q in qs])).over(frame))
+
+
 def abnormal(n: Column, w: WindowSpec, window: int = 20) -> Column:
     """log1p(n) less its mean over the window rows before."""
     return F.log1p(n) - rolling(F.avg, F.log1p(n), w, window, until=-1)

@@ -355,7 +355,8 @@ def benchmark_cells(spark, d):
 def extremes(spark, d):
     one = table(spark, d, "windows").select("code", "date", "pre_abn").distinct()
     w, x = frames.ordered(["code"], "date"), F.col("pre_abn")
-    q = lambda p: frames.rolling_quantile(x, p, w, 250, 60)
+    one = one.withColumn("q", frames.rolling_quantiles(x, (0.4, 0.1, 0.9), w, 250, 60))
+    q = lambda p: F.get("q", F.lit((0.4, 0.1, 0.9).index(p)))
     f = lambda c: F.coalesce(c, F.lit(False))
     return one.select("code", F.col("date").cast("string").alias("date"), f(x <= q(0.4)).alias("low40"), f(x <= q(0.1)).alias("low10"), f(x >= q(0.9)).alias("high10"))
 
