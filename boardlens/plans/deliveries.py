@@ -31,7 +31,7 @@ REDUCTION = [
 ]
 
 #: Days that the rolling state of whole tables moves at a time.
-BLOCK_DAYS = 128
+BLOCK_DAYS = 256
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
