@@ -14,11 +14,22 @@ from boardlens.operators.frames import average_rank, ordered
 from boardlens.session import cut
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation in an aggregation, over rows that have both: NaN where one of them doesn't vary, as for one row, null without rows. F.corr divides by zero there, an error in ANSI mode.
+
+    That they vary is told by their extremes: a variance put together from parts may miss zero by rounding.
+    """
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    scale = F.stddev_pop(a) * F.stddev_pop(b)
+    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b)) | (scale == 0)
+    return F.when(flat, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / scale)
+
+
 def correlations(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, pearson, spearman) over rows that have both; ranks of ties are their mean."""
+    """(by, n, pearson, spearman) over rows that have both, NaN where one doesn't vary; ranks of ties are their mean."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.select(*by, x, y, average_rank(by, x).alias("__rx"), average_rank(by, y).alias("__ry"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(x, y).alias("pearson"), pearson("__rx", "__ry").alias("spearman"))
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, order: str, by: Sequence[str] = (), lags: int = 5) -> DataFrame:

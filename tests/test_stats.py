@@ -308,3 +308,22 @@ def test_extreme_spread(spark):
     p["y"] = np.where(p.low, 0.5, 0.0) + 0.1 * r.normal(size=300)
     got = stats.extreme_spread(spark.createDataFrame(p), "y", "low", "high", ["x"], "t", 5)
     assert got["n"] == 300 and got["raw_diff"] == pytest.approx(0.5, abs=0.05) and got["diff"] == pytest.approx(0.5, abs=0.15) and got["t"] > 5 and got["p"] < 1e-3
+
+
+def test_correlations_of_what_does_not_vary_are_nan(spark):
+    r = np.random.default_rng(7)
+    rows = [("a", float(x), float(x + e)) for x, e in r.normal(size=(50, 2))]
+    rows += [("x", 0.1, float(i)) for i in range(9)] + [("y", float(i), 0.1) for i in range(9)] + [("one", 1.0, 2.0), ("none", 1.0, None)]
+    rows += [("nulls", 0.3, float(i)) for i in range(5)] + [("nulls", 5.0, None), ("nulls", None, 7.0)]
+    got = {x.code: x for x in stats.correlations(spark.createDataFrame(rows, "code string, x double, y double"), "x", "y", ["code"]).collect()}
+    a = pd.DataFrame([x[1:] for x in rows if x[0] == "a"])
+    assert got["a"].n == 50 and got["a"].pearson == pytest.approx(a.corr().iloc[0, 1]) and got["a"].spearman == pytest.approx(a.rank().corr().iloc[0, 1])
+    assert {k: x.n for k, x in got.items() if k != "a"} == {"x": 9, "y": 9, "one": 1, "nulls": 5}
+    assert all(math.isnan(x.pearson) and math.isnan(x.spearman) for k, x in got.items() if k != "a")
+
+
+def test_pearson_of_a_constant_is_nan_when_put_together_from_parts(spark):
+    d = spark.range(0, 10_000, 1, 7).select("id", (F.col("id") % 3).alias("k"), F.lit(0.1).alias("x"), F.col("id").cast("double").alias("y"))
+    got = d.groupBy("k").agg(stats.pearson("x", "y").alias("r"), stats.pearson("y", "y").alias("own")).collect()
+    assert len(got) == 3 and all(math.isnan(x.r) and x.own == pytest.approx(1) for x in got)
+    assert d.filter("id < 0").agg(stats.pearson("x", "y").alias("r")).first().r is None
