@@ -33,10 +33,10 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, order: str, by: Sequence[str] = (), lags: int = 5) -> DataFrame:
-    """(by, lag, r): corr(x at t, y at t + lag), lag from -lags to lags, all in one aggregation."""
+    """(by, lag, r): corr(x at t, y at t + lag), lag from -lags to lags, all in one aggregation; NaN where one doesn't vary, null without pairs."""
     w = ordered(by, order)
     led = df.select(*by, x, *[(F.lead(y, k) if k >= 0 else F.lag(y, -k)).over(w).alias(f"__y{k + lags}") for k in range(-lags, lags + 1)])
-    one = led.groupBy(*by).agg(*[F.corr(x, f"__y{k}").alias(f"r{k}") for k in range(2 * lags + 1)])
+    one = led.groupBy(*by).agg(*[pearson(x, f"__y{k}").alias(f"r{k}") for k in range(2 * lags + 1)])
     pairs = ", ".join(f"{k - lags}, r{k}" for k in range(2 * lags + 1))
     return one.selectExpr(*by, f"stack({2 * lags + 1}, {pairs}) as (lag, r)")
 

@@ -327,3 +327,13 @@ def test_pearson_of_a_constant_is_nan_when_put_together_from_parts(spark):
     got = d.groupBy("k").agg(stats.pearson("x", "y").alias("r"), stats.pearson("y", "y").alias("own")).collect()
     assert len(got) == 3 and all(math.isnan(x.r) and x.own == pytest.approx(1) for x in got)
     assert d.filter("id < 0").agg(stats.pearson("x", "y").alias("r")).first().r is None
+
+
+def test_cross_correlation_of_what_does_not_vary_is_nan(spark):
+    x = np.random.default_rng(8).normal(size=40)
+    rows = [("a", i, float(v), float(x[i - 2]) if i > 1 else None) for i, v in enumerate(x)] + [("flat", i, 0.1, float(v)) for i, v in enumerate(x)]
+    rows += [("part", i, float(v) if i > 1 else 0.3, float(i) if i < 2 else None) for i, v in enumerate(x)] + [("empty", i, None, float(v)) for i, v in enumerate(x)]
+    got = {(r.code, r.lag): r.r for r in stats.cross_correlation(spark.createDataFrame(rows, "code string, t int, x double, y double"), "x", "y", "t", ["code"], 2).collect()}
+    assert len(got) == 4 * 5 and got["a", 2] == pytest.approx(1) and got["a", 0] == pytest.approx(np.corrcoef(x[2:], x[:-2])[0, 1])
+    assert all(math.isnan(got["flat", k]) for k in range(-2, 3)) and all(got["empty", k] is None for k in range(-2, 3))
+    assert math.isnan(got["part", 0]) and math.isnan(got["part", 1]) and got["part", 2] is None and abs(got["part", -1]) == pytest.approx(1)
